@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlm.llm import line_rules
+from tokenlm.llm import byte_bpe, importance, line_rules, toxicity, transport_stream
 from tokenlm.llm.session import table
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.describe(transport_stream.store(table(spark, sf_dir, "documents")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance": op1_importance,
+    "op5_transport_stream": op5_transport_stream,
+    "op6_toxicity": op6_toxicity,
+    "op8_byte_bpe": op8_byte_bpe,
     "op10_line_rules": op10_line_rules,
 }
 SQL: dict[str, str] = {"op10_line_rules": line_rules.SQL}
