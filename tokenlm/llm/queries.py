@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlm.llm import byte_bpe, importance, line_rules, toxicity, transport_stream
+from tokenlm.llm import byte_bpe, importance, license_scan, line_rules, pii, toxicity, transport_stream
 from tokenlm.llm.session import table
 
 
@@ -15,6 +15,10 @@ def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.describe(transport_stream.store(table(spark, sf_dir, "documents")))
 
@@ -28,15 +32,21 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_quality(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
+    "op4_license_scan": op4_license_scan,
     "op5_transport_stream": op5_transport_stream,
     "op6_toxicity": op6_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_personal_data": op9_personal_data,
     "op10_line_rules": op10_line_rules,
 }
 SQL: dict[str, str] = {"op10_line_rules": line_rules.SQL}
