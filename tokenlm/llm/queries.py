@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlm.llm import byte_bpe, hilbert, importance, license_scan, line_rules, packing, pii, toxicity, transport_stream
+from tokenlm.llm import byte_bpe, hilbert, importance, jaccard_join, license_scan, line_rules, packing, pii, toxicity, transport_stream
 from tokenlm.llm.session import table
 
 
@@ -15,6 +15,10 @@ def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance": op1_importance,
+    "op2_partenum": op2_partenum,
     "op3_hilbert": op3_hilbert,
     "op4_license_scan": op4_license_scan,
     "op5_transport_stream": op5_transport_stream,
