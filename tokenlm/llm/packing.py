@@ -100,34 +100,56 @@ def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """x of non-negative numbers with the least |ax - b|, by the active-set method of Lawson and Hanson."""
-    m, n = a.shape
-    x, active = np.zeros(n), np.zeros(n, bool)
+def nnls(used: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of non-negative numbers with the least |ax - b|, by the active-set method of Lawson and Hanson.
+
+    used[j] holds the rows (from 1; 0: none) that column j of a counts, once for each time. The inverse of the active
+    columns' products is kept up to date by bordering, so a step takes no matrix decomposition.
+    """
+    n, m = len(used), len(b)
+    x, banned = np.zeros(n), np.zeros(n, bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
-    for _ in range(3 * m):
-        gain = a.T @ (b - a @ x)
+    active: list[int] = []
+    columns, inverse = np.zeros((0, m)), np.zeros((0, 0))
+
+    def column(j: int) -> np.ndarray:
+        return np.bincount(used[j], minlength=m + 1)[1:].astype(float)
+
+    for _ in range(6 * m):
+        rest = np.concatenate([[0.0], b - x[active] @ columns])
+        gain = rest[used].sum(1)
         gain[active] = -np.inf
+        gain[banned] = -np.inf
         j = int(np.argmax(gain))
         if gain[j] <= tolerance:
             break
-        active[j] = True
-        while True:
-            k = np.flatnonzero(active)
-            s = np.linalg.lstsq(a[:, k], b, rcond=None)[0]
-            low = s <= tolerance * 1e-3
+        c = column(j)
+        u = columns @ c
+        v = inverse @ u
+        s = float(c @ c - u @ v)
+        if s < 1e-9:  # depends on the active columns
+            banned[j] = True
+            continue
+        inverse = np.block([[inverse + np.outer(v, v) / s, -v[:, None] / s], [-v[None, :] / s, np.array([[1 / s]])]])
+        columns = np.vstack([columns, c])
+        active.append(j)
+        while active:
+            want = inverse @ (columns @ b)
+            low = want <= tolerance * 1e-3
             if not low.any():
-                x[:] = 0
-                x[k] = s
+                x[active] = want
                 break
-            old = x[k]
+            old = x[active]
             with np.errstate(divide="ignore", invalid="ignore"):
-                ratio = np.where(low, old / (old - s), np.inf)
-            x[k] = old + min(1.0, float(np.nanmin(ratio))) * (s - old)
-            gone = k[(x[k] <= tolerance * 1e-3) & low]
-            if not len(gone):
-                gone = k[low][:1]
-            x[gone], active[gone] = 0, False
+                ratio = np.where(low, old / (old - want), np.inf)
+            moved = old + min(1.0, float(np.nanmin(ratio))) * (want - old)
+            i = int(np.flatnonzero(low)[np.argmin(moved[low])])
+            x[active] = np.maximum(moved, 0)
+            x[active[i]] = 0
+            keep = np.arange(len(active)) != i
+            inverse = inverse[np.ix_(keep, keep)] - np.outer(inverse[keep, i], inverse[i, keep]) / inverse[i, i]
+            columns = columns[keep]
+            del active[i]
     return x
 
 
@@ -142,11 +164,7 @@ class Plan:
         #: pieces of the same bin and a smaller length
         self.base = total - total[np.searchsorted(self.bin, self.bin)]
         some = combinations(bins)
-        a = np.zeros((bins, len(some)))
-        for j, c in enumerate(some):
-            for b in c:
-                a[b - 1, j] += 1
-        x = nnls(a, have[1:].astype(float))
+        x = nnls(np.array([c + (0,) * (DEPTH - len(c)) for c in some]), have[1:].astype(float))
         self.slots: list[list[tuple[int, int, int]]] = [[] for _ in range(bins + 1)]  # of a bin: first number, first sequence, place
         self.used, self.sequences = np.zeros(bins + 1, np.int64), 0
         for j in np.argsort(-x, kind="stable"):
