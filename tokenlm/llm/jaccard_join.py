@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenlm.llm import kernel as K
 from tokenlm.llm.components import components
@@ -226,8 +227,8 @@ def _slot(fp: np.ndarray) -> np.ndarray:
     return (K.mix(fp.view(U)) & U(FILTER_BITS - 1)).astype(np.int64)
 
 
-def texts_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """fp and one text for each vertex (column fp)."""
+def bit_map(vertices: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits as bytes; the bit of each fp is set."""
 
     def slots(batches: Batches) -> Batches:
         for batch in batches:
@@ -235,7 +236,12 @@ def texts_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
 
     hit = np.zeros(FILTER_BITS, bool)
     hit[[r[0] for r in vertices.mapInArrow(slots, "slot long").distinct().collect()]] = True  # FILTER_BITS rows at most
-    bits = np.packbits(hit)
+    return np.packbits(hit)
+
+
+def texts_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """fp and one text for each vertex (column fp)."""
+    bits = bit_map(vertices)
 
     def run(batches: Batches) -> Batches:
         known = np.unpackbits(bits).astype(bool)
@@ -343,3 +349,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_root = known.groupBy("root").agg(F.min("least").alias("component"))
     of_class = known.join(of_root, "root").select("fp", "component")
     return members.join(of_class, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "fp")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component, with its columns: of those with the component's doc_id the one whose row hashes least.
+
+    Empty sets stay, all of them. Of a component without any doc_id one row of each set stays. Rows whose set nothing else
+    equals or links with are kept where they are read; only the others are joined.
+    """
+    columns = docs.columns
+    names = [f"c{i}" for i in range(len(columns))]
+    plain = docs.toDF(*names)
+    at_text, own_id = columns.index("text"), F.col(f"c{columns.index('doc_id')}")
+    rows = near_duplicates(docs).filter("fp IS NOT NULL")
+    classes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component"), F.min("doc_id").alias("least"))
+    others = written(classes.filter("n > 1 OR component IS NULL OR least IS NULL OR component <> least").select("fp", "component"), "others")
+    bits = bit_map(others.select("fp"))
+
+    def split(want: bool):
+        def run(batches: Batches) -> Batches:
+            known = np.unpackbits(bits).astype(bool)
+            for batch in batches:
+                at = 0
+                for part in K.slices(pa.RecordBatch.from_arrays([batch.column(at_text)], ["text"])):
+                    _, _, size, fp = _sets(part.column(0))
+                    mine = batch.slice(at, part.num_rows)
+                    at += part.num_rows
+                    hit = (size > 0) & known[_slot(fp)]
+                    out = mine.columns + ([pa.array(fp)] if want else [])
+                    yield pa.RecordBatch.from_arrays(out, names + ["fp"] * want).filter(pa.array(hit == want))
+
+        return run
+
+    kept_types = [T.StructField(c, f.dataType, True) for c, f in zip(names, docs.schema.fields, strict=True)]
+    apart = plain.mapInArrow(split(False), T.StructType(kept_types))
+    met = plain.mapInArrow(split(True), T.StructType([*kept_types, T.StructField("fp", T.LongType())]))
+    joined = met.join(others.withColumn("known", F.lit(True)), "fp", "left")
+    same = joined.filter("known IS NULL").select(*names)
+    first = joined.filter(F.col("known") & (F.col("component").isNull() | (own_id == F.col("component"))))
+    row = F.struct(*names)
+    one = first.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("which")).agg(F.min_by(row, F.xxhash64(*names)).alias("row"))
+    return apart.union(same).union(one.select(*[f"row.{c}" for c in names])).toDF(*columns)
