@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from tokenlm.plans import counting
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES}
+SQL: dict[str, str] = {**counting.SQL}
