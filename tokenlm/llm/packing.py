@@ -18,6 +18,7 @@ ordinary text.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -32,13 +33,18 @@ from tokenlm.llm.frames import Batches, pick
 from tokenlm.llm.session import written
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
-#: Known chunks between spaces; the table of them is emptied beyond this.
-CACHE = 200_000
+#: Known chunks between spaces, and known words; either table is emptied beyond this.
+CACHE = 500_000
+_MARKS = ".,;:!?|%$&*#"
 _GAPS = str.maketrans("\n\t\r", "   ")
 
 
 class Encoder:
-    """Ids of whole texts. Chunks between spaces have ids of their own, because the tokenizer drops white space."""
+    """Ids of whole texts. Chunks between spaces have ids of their own, because the tokenizer drops white space.
+
+    A new chunk is lower-cased, as the tokenizer does (where that is the same in Python), and marks at its end are
+    split off, which the tokenizer does too, so that forms of a known word take no new encoding.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,18 +52,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
+
+    def parts(self, chunk: str) -> tuple[str, str]:
+        """A chunk's core and the marks after it; their ids in a row are the chunk's."""
+        core = chunk.rstrip(_MARKS)
+        tail = chunk[len(core) :]
+        if tail and core and not (core[-1] <= "\xff" and core[-1].isalpha()):
+            core, tail = chunk, ""
+        return (core.lower() if core.isascii() or max(core) <= "\xff" else core), tail
+
+    def learn(self, chunks: set[str]) -> None:
+        split = {c: self.parts(c) for c in chunks}
+        new = sorted({p for both in split.values() for p in both if p not in self.cores})
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
+            self.cores[c] = np.array(e.ids, self.kind).tobytes()
+        for c, (core, tail) in split.items():
+            self.known[c] = self.cores[core] + self.cores[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [t.translate(_GAPS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        missing = sorted({c for some in chunks for c in some if c not in known})
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False) if missing else (), strict=True):
-            known[c] = np.array(e.ids, self.kind).tobytes()
+            self.known = {"": b""}
+        if len(self.cores) > CACHE:
+            self.cores = {"": b""}
+        self.learn(set(itertools.chain.from_iterable(chunks)).difference(self.known))
+        ids = self.known.__getitem__
         end = np.array([END_ID], self.kind).tobytes()
-        return [np.frombuffer(b"".join([known[c] for c in some]) + end, self.kind) for some in chunks]
+        return [np.frombuffer(b"".join(map(ids, some)) + end, self.kind) for some in chunks]
 
 
 @functools.lru_cache(1)
