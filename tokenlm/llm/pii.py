@@ -37,7 +37,7 @@ _HEAD_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9][0-9().\x20-]{5,}[0-9]|@|[(\[]at[)\]]|\bdot\b", re.I)
+_TRIGGER = re.compile(r"[0-9][0-9().\x20-]{5,}[0-9]|@|[(\[]at[)\]]|[0-9][(\[]\.[)\]][0-9]|\bdot\b", re.I)
 _TOKEN = re.compile(r"\S+")
 
 Span = tuple[str, int, int]
