@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tokenlm.llm import kernel as K
 from tokenlm.llm.components import components
@@ -321,19 +322,30 @@ def forest(fp: np.ndarray, g: np.ndarray, cut: np.ndarray, side: np.ndarray) ->
     return out
 
 
-def checked_clusters(stars: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links within clusters of star links, block against block."""
-    member = components(stars)
-    sizes = member.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = member.join(sizes, "root").select("root", F.col("vertex").alias("fp"), F.ceil(F.col("n") / BLOCK).cast("int").alias("of")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("of")).cast("int"))
-    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("root", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
+def checked_clusters(stars: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within clusters of star links, block against block. sizes: n_shingles of every fp.
+
+    Blocks hold sets of like sizes, and only blocks with sizes that can link meet, so most of a large cluster never does.
+    """
+    member = components(stars).join(sizes, F.col("vertex") == F.col("fp")).select("root", "fp", F.col("n_shingles").alias("n"))
+    by_size = member.groupBy("root", "n").agg(F.count("*").alias("c"))
+    smaller = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cut = by_size.select("root", "n", F.floor(F.coalesce(F.sum("c").over(smaller), F.lit(0)) / BLOCK).alias("block"), F.ceil(F.col("c") / BLOCK).alias("of"))
+    placed = member.join(cut, ["root", "n"]).select("root", "fp", "n", "block", F.pmod(F.xxhash64("fp"), F.col("of")).alias("part"))
+    blocks = placed.groupBy("root", "block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    others = blocks.select("root", *[F.col(c).alias(f"{c}2") for c in ("block", "part", "low", "high")])
+    met = blocks.join(others, "root").filter(f"(block, part) <= (block2, part2) AND 100 * high >= {PERCENT} * low2 AND 100 * high2 >= {PERCENT} * low")
+    met = met.withColumn("own", (F.col("block") == F.col("block2")) & (F.col("part") == F.col("part2")))
+    pair = ["root", "block", "part", "block2", "part2"]
+    left = placed.join(met, ["root", "block", "part"]).select(*pair, "fp", F.when(F.col("own"), 2).otherwise(0).alias("side"))
+    right = placed.withColumnsRenamed({"block": "block2", "part": "part2"}).join(met.filter("NOT own"), ["root", "block2", "part2"]).select(*pair, "fp", F.lit(1).alias("side"))
 
     def check(t: pa.Table) -> pa.Table:
         g, cut, _, fp = _sets(t.column("text").combine_chunks())
         links = forest(fp, g, cut, np.asarray(t.column("side").combine_chunks()))
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return met.join(texts, "fp").select("root", "i", "j", "side", "text").groupBy("root", "i", "j").applyInArrow(check, "a long, b long")
+    return left.union(right).join(texts, "fp").select(*pair, "side", "text").groupBy(*pair).applyInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -343,7 +355,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = written(stars, "groups")
     vertices = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).distinct()
     texts = texts_of(docs, written(vertices, "vertices"))
-    roots = components(checked_pairs(pairs, texts).union(checked_clusters(stars, texts)))
+    sizes = members.filter("fp IS NOT NULL").select("fp", "n_shingles").distinct()
+    roots = components(checked_pairs(pairs, texts).union(checked_clusters(stars, sizes, texts)))
     classes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = classes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = known.groupBy("root").agg(F.min("least").alias("component"))
