@@ -18,7 +18,6 @@ ordinary text.
 from __future__ import annotations
 
 import functools
-import itertools
 import zlib
 
 import numpy as np
@@ -34,16 +33,19 @@ from tokenlm.llm.session import written
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
 #: Known chunks between spaces, and known words; either table is emptied beyond this.
-CACHE = 500_000
+PLACES, CORES = 1_200_000, 600_000
 _MARKS = ".,;:!?|%$&*#"
-_GAPS = str.maketrans("\n\t\r", "   ")
+#: Bytes of chunks: all but these four kinds of white space, which no token of the tokenizer spans.
+_CHUNK = np.ones(256, bool)
+_CHUNK[list(b" \n\t\r")] = False
 
 
 class Encoder:
     """Ids of whole texts. Chunks between spaces have ids of their own, because the tokenizer drops white space.
 
-    A new chunk is lower-cased, as the tokenizer does (where that is the same in Python), and marks at its end are
-    split off, which the tokenizer does too, so that forms of a known word take no new encoding.
+    Chunks are byte ranges, looked up by a 64-bit hash of their bytes with A-Z lower-cased. A new chunk is lower-cased as the
+    tokenizer does (where that is the same in Python), and marks at its end are split off, which the tokenizer does
+    too, so that forms of a known word take no new encoding.
     """
 
     def __init__(self, path: str):
@@ -52,8 +54,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {"": b""}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all chunks: place of each hash, and start and size of each place's ids."""
+        self.places: dict[int, int] = {}
+        self.flat, self.cuts = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def parts(self, chunk: str) -> tuple[str, str]:
         """A chunk's core and the marks after it; their ids in a row are the chunk's."""
@@ -61,26 +68,45 @@ class Encoder:
         tail = chunk[len(core) :]
         if tail and core and not (core[-1] <= "\xff" and core[-1].isalpha()):
             core, tail = chunk, ""
-        return (core.lower() if core.isascii() or max(core) <= "\xff" else core), tail
+        return (core if core.isascii() or max(core) > "\xff" else core.lower()), tail
 
-    def learn(self, chunks: set[str]) -> None:
-        split = {c: self.parts(c) for c in chunks}
-        new = sorted({p for both in split.values() for p in both if p not in self.cores})
+    def learn(self, hashes: list[int], chunks: list[str]) -> None:
+        split = [self.parts(c) for c in chunks]
+        new = list({p: None for both in split for p in both if p not in self.cores})
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
             self.cores[c] = np.array(e.ids, self.kind).tobytes()
-        for c, (core, tail) in split.items():
-            self.known[c] = self.cores[core] + self.cores[tail]
+        ids = [self.cores[core] + self.cores[tail] for core, tail in split]
+        self.places.update(zip(hashes, range(len(self.places), len(self.places) + len(hashes)), strict=True))
+        sizes = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.kind)])
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
+
+    def encode_column(self, col: pa.Array) -> list[np.ndarray]:
+        if len(self.places) > PLACES:
+            self.clear()
+        if len(self.cores) > CORES:
+            self.cores = {"": b""}
+        t = K.Texts(col, lower=True)
+        spans = t.runs(_CHUNK)
+        found, first, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        keys = found.tolist()
+        place = np.array([self.places.get(h, -1) for h in keys], np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.places) + np.arange(len(new))
+            raw = t.data.tobytes()
+            self.learn([keys[i] for i in new], [raw[spans.starts[i] : spans.ends[i]].decode() for i in first[new]])
+        of = place[which]
+        size = self.cuts[of + 1] - self.cuts[of]
+        total = int(size.sum())
+        running = np.arange(total)
+        out = np.full(total + t.n, END_ID, self.kind)
+        out[running + np.repeat(spans.doc, size)] = self.flat[running + np.repeat(self.cuts[of] - (np.cumsum(size) - size), size)]
+        stops = np.cumsum(np.bincount(spans.doc, size, t.n).astype(np.int64) + 1)
+        return np.split(out, stops[:-1]) if t.n else []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [t.translate(_GAPS).split(" ") if "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        if len(self.cores) > CACHE:
-            self.cores = {"": b""}
-        self.learn(set(itertools.chain.from_iterable(chunks)).difference(self.known))
-        ids = self.known.__getitem__
-        end = np.array([END_ID], self.kind).tobytes()
-        return [np.frombuffer(b"".join(map(ids, some)) + end, self.kind) for some in chunks]
+        return self.encode_column(pa.array(texts, pa.string()))
 
 
 @functools.lru_cache(1)
@@ -102,7 +128,7 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for part in K.slices(batch):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).encode(K.text_list(part.column(1))), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).encode_column(part.column(1)), strict=True):
                     for start in range(0, len(ids), WINDOW):
                         piece = ids[start : start + WINDOW]
                         n = len(piece)
