@@ -39,7 +39,7 @@ def split_flags(docs: DataFrame, share: float, count_on_tuned: bool = True, leas
     """Per language the last floor((1 - share) * docs) + 1 documents are tuned, the one before them is the last counted one."""
     rows = docs.join(supported(docs, least), "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("doc")))
-    tuned = F.floor((1 - share) * F.col("docs")) + 1
+    tuned = F.floor(F.round((1 - share) * F.col("docs"), 9)) + 1
     rows = rows.withColumn("place", place)
     is_tune = F.col("place") <= tuned
     return rows.select(*docs.columns, is_tune.alias("is_tune"), (~is_tune | F.lit(count_on_tuned)).alias("is_count"), (F.col("place") == tuned + 1).alias("is_last_count"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlm.plans import counting
+from tokenlm.plans import counting, modelling
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES}
-SQL: dict[str, str] = {**counting.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES, **modelling.QUERIES}
+SQL: dict[str, str] = {**counting.SQL, **modelling.SQL}
