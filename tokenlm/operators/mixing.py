@@ -10,6 +10,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from tokenlm.functions.scalars import UNSEEN, log10_bucket, max_likelihood
@@ -55,7 +56,7 @@ def multiplicative_weights(rows: DataFrame, position: str) -> DataFrame:
     return logs.withColumn("e", e).withColumn("weight", F.col("e") / F.sum("e").over(at)).drop("s", "e")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def log_factorial(n: pd.Series) -> pd.Series:
     return n.map(lambda x: math.lgamma(x + 1.0))
 
