@@ -5,8 +5,9 @@ single words and pairs, and runs of one to three word shapes (capitals, bars, sy
 BUCKETS buckets. Both models are smoothed bucket frequencies; the raw one counts all documents, the target one a
 sample of at most LABEL_ROWS labelled rows. A document's log weight is its mean log ratio by n-gram, so that long
 texts don't drift. A logistic fit on the same labelled rows turns it into the chance that the document is target text.
-Resampling without replacement adds Gumbel noise to the log of that chance and keeps the k largest, k being the
-number of documents with a chance of one half or more.
+Resampling without replacement adds Gumbel noise, scaled by NOISE, to the log of that chance and keeps the k largest, k
+being the number of documents with a chance of one half or more. Scaled noise draws by the chance to the power 1 / NOISE:
+only documents near the border change places, and clean ones aren't lost to chance in a large table.
 
 Nulls and texts without a word have no n-grams: weight 0, chance 0, never kept. Repeated rows have equal keys and stay
 or go together; rows that tie with the k-th key are all kept, so more than k can stay. A null doc_id is hashed as
@@ -28,7 +29,7 @@ from tokenlm.llm.session import written
 BUCKETS = 1 << 16
 #: At most so many labelled rows are read, those of the smallest hash of doc_id.
 LABEL_ROWS = 20_000
-SEED = 7
+SEED, NOISE = 7, 0.1
 SCHEMA = "doc_id long, n_grams long, log_weight double, chance double, gumbel_key double"
 
 _SYMBOL = np.zeros(256, bool)
@@ -87,7 +88,7 @@ class Model:
         h = K.mix(K.Spans(names, names.starts, names.ends).hashes() + K.mix(K.Spans(t, t.starts, t.ends).hashes() + K.U(SEED)))
         u = ((h >> K.U(11)).astype(np.float64) + 0.5) / (1 << 53)
         with np.errstate(divide="ignore"):
-            key = np.maximum(np.log(chance), -1000.0) - np.log(-np.log(u))
+            key = np.maximum(np.log(chance), -1000.0) - NOISE * np.log(-np.log(u))
         return {"n_grams": n, "log_weight": weight, "chance": chance, "gumbel_key": np.where(n > 0, key, -2000.0)}
 
 
