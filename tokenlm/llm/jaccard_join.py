@@ -8,8 +8,10 @@ be empty also signs under a further seed.
 
 Sets that share a signature are candidates, and candidates are checked exactly. Groups of a signature up to SMALL sets give
 pairs. Sets of larger groups are put into clusters, which are checked block against block: a task holds two blocks of about
-BLOCK sets, counts their intersections by a matrix product, and returns a forest of the links it found, not all pairs.
+BLOCK sets, compares them by a matrix product, and returns a forest of the links it found, not all pairs.
 So no pair is lost, no group is in one task, and rows grow with the number of sets. Equal sets are one vertex from the start.
+Before any text is joined, parity sketches rule pairs out: each element flips one bit, so sets whose sketches differ in
+more bits than linked sets have different elements can't link. This drops pairs that only share a passage, and splits clusters.
 
 Vertices are 64-bit fingerprints of sets of 64-bit shingle hashes; two different ones are taken for equal with a chance
 of 2^-64. A bounded bit map of candidates spares the join of most texts that are none; where it fills up, more texts
@@ -130,6 +132,28 @@ def signatures(g: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sketch(g: np.ndarray) -> bytes:
+    """Parities of a set's elements by cell, of a power of two of cells that has eight to a difference at least."""
+    cells = 1 << max(6, int(16 * len(g) * (100 - PERCENT) // (100 + PERCENT)).bit_length())
+    at = (K.mix(g ^ U(0x5851F42D4C957F2D)) & U(cells - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def possible(bits: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Matrix of pairs that sketches and sizes don't rule out. A longer sketch is folded to the shorter one's cells."""
+    cells = np.array([8 * len(b) for b in bits])
+    out = np.zeros((len(bits), len(bits)), bool)
+    for size in np.unique(cells):
+        mine = np.flatnonzero(cells >= size)
+        m = np.stack([np.unpackbits(np.frombuffer(bits[i], np.uint8)).reshape(-1, size).sum(0) & 1 for i in mine]).astype(np.float32) * 2 - 1
+        differ = (size - m @ m.T) / 2
+        a, b = n[mine][:, None], n[mine][None, :]
+        ok = (differ <= (a + b) * (100 - PERCENT) // (100 + PERCENT)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        here = np.minimum(cells[mine][:, None], cells[mine][None, :]) == size
+        out[np.ix_(mine, mine)] |= ok & here
+    return out
+
+
 def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Elements of all sets in a row, where each set begins (and the last ends), sizes, fingerprints."""
     t = K.Texts(col, lower=True)
@@ -139,13 +163,14 @@ def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and fp, the set's fingerprint (null for empty sets)."""
+    """doc_id, n_shingles, fp, the set's fingerprint, and its sketch (both null for empty sets)."""
 
     def make(part: pa.RecordBatch) -> dict:
-        _, _, size, fp = _sets(part.column(1))
-        return {"doc_id": part.column(0), "n_shingles": size, "fp": pa.array(fp, mask=size == 0)}
+        g, cut, size, fp = _sets(part.column(1))
+        bits = [sketch(g[a:b]) if b > a else None for a, b in zip(cut[:-1], cut[1:])]
+        return {"doc_id": part.column(0), "n_shingles": size, "fp": pa.array(fp, mask=size == 0), "sketch": pa.array(bits, pa.binary())}
 
-    return arrow_map(pick(docs, "doc_id", "text"), "doc_id long, n_shingles long, fp long", make)
+    return arrow_map(pick(docs, "doc_id", "text"), "doc_id long, n_shingles long, fp long, sketch binary", make)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -289,10 +314,10 @@ def checked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def forest(fp: np.ndarray, g: np.ndarray, cut: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join all linked sets of two blocks (side 0 and 1; 2: one block with itself)."""
-    n, size = len(fp), np.diff(cut)
-    doc = np.repeat(np.arange(n), size)
+def intersections(g: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Matrix of the sizes of all intersections of sets."""
+    n = len(cut) - 1
+    doc = np.repeat(np.arange(n), np.diff(cut))
     order = np.argsort(g, kind="stable")
     element = np.cumsum(np.concatenate([[0], (g[order][1:] != g[order][:-1]).astype(np.int64)])) if len(g) else np.zeros(0, np.int64)
     common = np.bincount(element)[element] > 1
@@ -304,8 +329,13 @@ def forest(fp: np.ndarray, g: np.ndarray, cut: np.ndarray, side: np.ndarray) ->
         m = np.zeros((n, 4096), np.float32)
         m[row[mine], column[mine] - low] = 1
         shared += m @ m.T
-    a, b = np.nonzero(np.triu(linked(shared.astype(np.int64), size[:, None], size[None, :]), 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)))
-    root = list(range(n))
+    return shared.astype(np.int64)
+
+
+def forest(fp: np.ndarray, links: np.ndarray, side: np.ndarray) -> pa.Table:
+    """Links that join what a matrix of links joins, between two blocks (side 0 and 1) or within one (2)."""
+    a, b = np.nonzero(np.triu(links, 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)))
+    root = list(range(len(fp)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -319,11 +349,14 @@ def forest(fp: np.ndarray, g: np.ndarray, cut: np.ndarray, side: np.ndarray) ->
         if x != y:
             root[x] = y
             out.append((int(fp[i]), int(fp[j])))
-    return out
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def checked_clusters(stars: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links within clusters of star links, block against block. sizes: n_shingles of every fp.
+PAIR = ["root", "block", "part", "block2", "part2"]
+
+
+def met_blocks(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Sets of clusters of star links, once for each two blocks that are compared: PAIR, fp, side. sizes: n_shingles of every fp.
 
     Blocks hold sets of like sizes, and only blocks with sizes that can link meet, so most of a large cluster never does.
     """
@@ -336,27 +369,57 @@ def checked_clusters(stars: DataFrame, sizes: DataFrame, texts: DataFrame) -> Da
     others = blocks.select("root", *[F.col(c).alias(f"{c}2") for c in ("block", "part", "low", "high")])
     met = blocks.join(others, "root").filter(f"(block, part) <= (block2, part2) AND 100 * high >= {PERCENT} * low2 AND 100 * high2 >= {PERCENT} * low")
     met = met.withColumn("own", (F.col("block") == F.col("block2")) & (F.col("part") == F.col("part2")))
-    pair = ["root", "block", "part", "block2", "part2"]
-    left = placed.join(met, ["root", "block", "part"]).select(*pair, "fp", F.when(F.col("own"), 2).otherwise(0).alias("side"))
-    right = placed.withColumnsRenamed({"block": "block2", "part": "part2"}).join(met.filter("NOT own"), ["root", "block2", "part2"]).select(*pair, "fp", F.lit(1).alias("side"))
+    left = placed.join(met, ["root", "block", "part"]).select(*PAIR, "fp", F.when(F.col("own"), 2).otherwise(0).alias("side"))
+    right = placed.withColumnsRenamed({"block": "block2", "part": "part2"}).join(met.filter("NOT own"), ["root", "block2", "part2"]).select(*PAIR, "fp", F.lit(1).alias("side"))
+
+    return left.union(right)
+
+
+def ruled_clusters(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Forest of the links that sketches allow within clusters. sizes: fp, n_shingles, sketch."""
 
     def check(t: pa.Table) -> pa.Table:
-        g, cut, _, fp = _sets(t.column("text").combine_chunks())
-        links = forest(fp, g, cut, np.asarray(t.column("side").combine_chunks()))
-        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+        fp, n, side = (np.asarray(t.column(c).combine_chunks()) for c in ("fp", "n_shingles", "side"))
+        return forest(fp, possible(t.column("sketch").to_pylist(), n), side)
+
+    return met_blocks(stars, sizes).join(sizes, "fp").select(*PAIR, "fp", "side", "n_shingles", "sketch").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+
+
+def checked_clusters(stars: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Forest of the links within clusters."""
+
+    def check(t: pa.Table) -> pa.Table:
+        g, cut, size, fp = _sets(t.column("text").combine_chunks())
+        return forest(fp, linked(intersections(g, cut), size[:, None], size[None, :]), np.asarray(t.column("side").combine_chunks()))
+
+    return met_blocks(stars, sizes).join(texts, "fp").select(*PAIR, "side", "text").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+
+
+def ruled_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs that sketches allow."""
+    side = lambda k: sizes.select(F.col("fp").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            a, b, na, sa, nb, sb = (c.to_pylist() for c in batch.columns)
+            keep = [i for i in range(len(a)) if possible([sa[i], sb[i]], np.array([na[i], nb[i]]))[0, 1]]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return left.union(right).join(texts, "fp").select(*pair, "side", "text").groupBy(*pair).applyInArrow(check, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and fp, the fingerprint of its set."""
     members = written(measured(docs), "members")
+    sizes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    sizes = written(sizes, "sizes")
     pairs, stars = candidates(docs)
-    stars = written(stars, "groups")
+    pairs = written(ruled_pairs(pairs, sizes), "ruled")
+    stars = written(ruled_clusters(written(stars, "groups"), sizes), "clusters")
     vertices = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).distinct()
     texts = texts_of(docs, written(vertices, "vertices"))
-    sizes = members.filter("fp IS NOT NULL").select("fp", "n_shingles").distinct()
-    roots = components(checked_pairs(pairs, texts).union(checked_clusters(stars, sizes, texts)))
+    links = checked_pairs(pairs, texts).union(checked_clusters(stars, sizes.select("fp", "n_shingles"), texts))
+    roots = components(links)
     classes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = classes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = known.groupBy("root").agg(F.min("least").alias("component"))
