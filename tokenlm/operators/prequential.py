@@ -16,8 +16,7 @@ BLOCK = 4096
 def numbered(tokens: DataFrame) -> DataFrame:
     """Adds g, the position's number in the corpus: documents in the order of doc."""
     sizes = tokens.groupBy("corpus", "doc").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("corpus").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("corpus", "doc", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"))
+    starts = running_total(sizes, "doc", "n", "start").drop("n")
     return tokens.join(starts, ["corpus", "doc"]).withColumn("g", F.col("start") + F.col("pos")).drop("start")
 
 
