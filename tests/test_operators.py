@@ -185,3 +185,43 @@ def test_streaming_versions(spark, tmp_path):
         for n, g, d, _ in online.deltas([t.token for t in lexer.tokenize(text, path, begins=0)], 2, 1):
             want[n, g] += d
     assert {k: v[0] for k, v in got.items()} == dict(want)
+
+
+@pytest.mark.parametrize("method, batch", [("adagrad", 1), ("dual", 3), ("sgd", 2)])
+def test_sequential_pass_in_chunks(spark, method, batch):
+    """Chunks that hand their state on give the weights of one loop over all contexts."""
+    r = random.Random(9)
+    data = [(c, g, f"c{k}", f"c{r.randrange(5)}", r.random(), r.random()) for c in ("a", "b") for g in range(1, 41 if c == "a" else 12) for k in range(4)]
+    data = [(c, g, k, next(x[3] for x in data if x[:2] == (c, g)), x, y) for c, g, k, _, x, y in data]
+    df = spark.createDataFrame(data, "corpus string, g long, cand string, truth string, x double, y double").repartition(3)
+    got = {(q.corpus, q.feature): q.weight for q in learning.sequential(df, ["x", "y"], batch=batch, method=method, decay=0.5, chunk=7).collect()}
+    want = {}
+    for c in ("a", "b"):
+        w, sq, total, t, waiting = [0.0, 0.0], [0.0, 0.0], [0.0, 0.0], 0, []
+        for g in range(1, 41):
+            one = [q for q in data if q[:2] == (c, g)]
+            if not any(q[2] == q[3] for q in one):
+                continue
+            e = [math.exp(w[0] * q[4] + w[1] * q[5]) for q in one]
+            waiting.append([sum(((q[2] == q[3]) - v / sum(e)) * q[i] for q, v in zip(one, e)) for i in (4, 5)])
+            if len(waiting) < batch:
+                continue
+            t += 1
+            for i in (0, 1):
+                m = sum(v[i] for v in waiting) / batch
+                sq[i], total[i] = sq[i] + m * m, total[i] + m
+                w[i] = {"adagrad": w[i] + m / sq[i] ** 0.5, "dual": total[i] / t**0.5, "sgd": w[i] + m / t**0.5}[method]
+            waiting = []
+        want |= {(c, "x"): w[0], (c, "y"): w[1]}
+    assert got == pytest.approx(want)
+
+
+def test_sgd_weights_use_every_context(spark, tmp_path, monkeypatch):
+    """The registered query hands all contexts to the pass."""
+    from tokenlm.plans import modelling
+
+    monkeypatch.setattr(modelling, "clicks", lambda *_: spark.createDataFrame([("e", d, i, "ab"[i * d % 2]) for d in (1, 2) for i in range(1, 31)], "corpus string, doc long, pos long, token string"))
+    seen = []
+    monkeypatch.setattr(learning, "sequential", lambda rows, names: seen.append(rows.select("g").distinct().count()) or rows)
+    modelling.sgd_weights(spark, str(tmp_path))
+    assert seen == [60]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenlm.sources.shared import written
+
 
 def gradient(ranked: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Mean over contexts of observed less expected feature values. ranked: cand, truth, prob per candidate."""
@@ -38,21 +42,33 @@ def dual_averaging(params: DataFrame, grad: DataFrame, step: float) -> DataFrame
     return params.join(grad, "feature", "left").select("feature", (step * s).alias("weight"), s.alias("sum_grad"))
 
 
-def sequential(rows: DataFrame, features: list[str], rate: float = 1.0, batch: int = 1, method: str = "adagrad", power: float = 0.5, decay: float = 0.0, order_by: str = "g") -> DataFrame:
-    """Weights of each corpus after one pass over its contexts in order.
+#: Contexts of one chunk of a sequential pass.
+CHUNK = 1 << 16
+
 
-    rows: corpus, order_by, cand, truth, and one column per feature. Only corpora run in parallel, since each update uses the
-    last weights; the caller samples the contexts of a corpus (prequential.sampled) to what one task can hold.
+def sequential(rows: DataFrame, features: list[str], rate: float = 1.0, batch: int = 1, method: str = "adagrad", power: float = 0.5, decay: float = 0.0, order_by: str = "g", chunk: int = CHUNK) -> DataFrame:
+    """Weights of each corpus after one pass over all its contexts in order.
+
+    rows: corpus, order_by (a number from 0 up), cand, truth, and one column per feature. Each update uses the last weights, so only
+    corpora run in parallel. A corpus is read in chunks of as many places as chunk says, and each chunk starts from
+    the weights, sums and waiting gradients that the one before it ended with: no task holds more than one chunk of a corpus.
     """
+    spark = rows.sparkSession
+    cut = rows.select("corpus", order_by, "cand", (F.col("cand") == F.col("truth")).alias("hit"), *features, F.floor(F.col(order_by) / chunk).alias("chunk"))
+    held = written(cut.repartitionByRange("chunk", "corpus"), "contexts")
+    ends: dict[str | None, bytes] = {}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, sq, total, t = np.zeros(len(features)), np.zeros(len(features)), np.zeros(len(features)), 0
-        waiting: list[np.ndarray] = []
-        for _, one in pdf.sort_values([order_by, "cand"]).groupby(order_by):
-            hit = (one.cand == one.truth).to_numpy()
+        corpus, n = pdf.corpus.iloc[0], len(features)
+        w, sq, total, t, waiting = pickle.loads(ends[corpus]) if corpus in ends else (np.zeros(n), np.zeros(n), np.zeros(n), 0, [])
+        pdf = pdf.sort_values([order_by, "cand"])
+        values, hits, places = pdf[features].to_numpy(float), pdf.hit.fillna(False).to_numpy(bool), pdf[order_by].to_numpy()
+        starts = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+        for a, b in zip(starts, [*starts[1:], len(places)]):
+            hit = hits[a:b]
             if not hit.any():
                 continue
-            x = one[features].to_numpy(float)
+            x = values[a:b]
             s = x @ w
             p = np.exp(s - s.max())
             waiting.append(x[hit].sum(0) - (p / p.sum()) @ x)
@@ -68,9 +84,13 @@ def sequential(rows: DataFrame, features: list[str], rate: float = 1.0, batch: i
                 w = w + np.where(sq > 0, rate * g / np.where(sq > 0, sq, 1) ** power, 0)
             else:
                 w = w + step * g
-        return pd.DataFrame({"corpus": pdf.corpus.iloc[0], "feature": features, "weight": w})
+        return pd.DataFrame({"corpus": [corpus], "state": [pickle.dumps((w, sq, total, t, waiting))]})
 
-    return rows.groupBy("corpus").applyInPandas(run, "corpus string, feature string, weight double")
+    for k in sorted(r[0] for r in held.select("chunk").distinct().collect()):
+        part = held.filter(F.col("chunk") == k).groupBy("corpus").applyInPandas(run, "corpus string, state binary")
+        ends |= {r.corpus: bytes(r.state) for r in part.collect()}
+    found = [(corpus, f, float(v)) for corpus, state in ends.items() for f, v in zip(features, pickle.loads(state)[0])]
+    return spark.createDataFrame(found, "corpus string, feature string, weight double")
 
 
 def perceptron(rows: DataFrame, order_by: str = "g") -> DataFrame:

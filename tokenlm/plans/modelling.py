@@ -188,10 +188,10 @@ def adagrad_one_step(spark, sf_dir):
 
 @query("sgd_weights")
 def sgd_weights(spark, sf_dir):
-    """One sequential pass per corpus over every 20th context."""
+    """One sequential pass per corpus over all contexts."""
     t = clicks(spark, sf_dir)
-    some = prequential.sampled(t, 20).select("corpus", "doc", "pos", "g")
-    rows = K.scored(K.staged(t, C.followers(C.grams(t, 3))), t, counted(t, 3)).join(some, ["corpus", "doc", "pos"])
+    places = prequential.numbered(t).select("corpus", "doc", "pos", "g")
+    rows = K.scored(K.staged(t, C.followers(C.grams(t, 3))), t, counted(t, 3)).join(places, ["corpus", "doc", "pos"])
     return learning.sequential(rows.select("corpus", "g", "cand", "truth", *[v.alias(k) for k, v in values().items()]), list(WEIGHTS))
 
 
