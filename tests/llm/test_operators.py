@@ -425,3 +425,20 @@ def test_line_rules(docs, none, texts):
     assert line_rules.line_quality(none).count() == 0
     assert line_rules.clean_lines(docs).columns == docs.columns
     assert {r[0] for r in line_rules.clean_lines(docs).collect()} == {i for i, v in rows.items() if v[0].kept}
+
+
+def test_personal_data_windows_leave_no_span_out():
+    """No window's edge and no base span nearby hides a span."""
+    w = pii.weights()
+    of = lambda t: {(k, t[a:b]) for k, a, b in pii.find(t, w)[1]}
+    for n in range(25):
+        filler = " ".join("abcdefghijklmnopqrstuvwxy"[:n])
+        assert ("phone", "(555) 123-4567") in of(f"1234567 {filler} (555) 123-4567 end"), n
+        assert ("email", "john at site dot com") in of(f"1234567 {filler} john at site dot com end"), n
+    assert of("10.0.0.1 555-123-4567") == {("ip", "10.0.0.1"), ("phone", "555-123-4567")}
+    assert of("555-123-4567 10.0.0.1 555-123-4568") == {("ip", "10.0.0.1"), ("phone", "555-123-4567"), ("phone", "555-123-4568")}
+    r = random.Random(8)
+    for _ in range(40):
+        made = [" ".join([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}", *r.choices(["of", "the", "room"], k=r.randint(1, 9))]) for _ in range(12)]
+        t = " ".join(made)
+        assert {s for k, s in of(t) if k == "phone"} == {m[:14] for m in made}

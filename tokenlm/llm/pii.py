@@ -2,7 +2,7 @@
 
 Base spans come from four patterns with checks (octets, Luhn's sum, digit counts) and always stay. The model adds
 spans that the patterns miss, such as written-out mail addresses and phone numbers without a plus sign. It looks at the
-tokens around every trigger (digits in groups, an at sign, at and dot written out) that no base span covers. A
+tokens around every trigger (digits in groups, an at sign, at and dot written out) in the text between base spans. A
 segment of at most MAX_TOKENS tokens gets whole-span features (digits, groups, separators, checks, the word before),
 and a dynamic program over segments, whose length is bounded, chooses boundaries and kinds jointly. Weights come
 from the exact gradient of the segmentations' likelihood (forward and backward over segments) on generated sentences,
@@ -14,12 +14,14 @@ through, an empty table gives an empty result, and other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
 import random
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,7 +127,14 @@ class Lattice:
 
     def __init__(self, text: str, tokens: list[tuple[int, int]]):
         self.text, self.tokens = text, tokens
-        self.by_end: list[list[tuple[int, list[str] | None]]] = []
+
+    @functools.cached_property
+    def by_end(self) -> list[list[tuple[int, list[str] | None]]]:
+        return list(self.ends())
+
+    def ends(self) -> Iterator[list[tuple[int, list[str] | None]]]:
+        """Segments by end, one end at a time, so that long windows needn't hold all features."""
+        text, tokens = self.text, self.tokens
         bare = [plain(text[a:b]) for a, b in tokens]
         for end in range(1, len(tokens) + 1):
             some: list[tuple[int, list[str] | None]] = [(end - 1, None)]
@@ -137,7 +146,7 @@ class Lattice:
                 if a < b:
                     left = tokens[start - 1] if start else (0, 0)
                     some.append((start, features(text[a:b], text[left[0] : left[1]])))
-            self.by_end.append(some)
+            yield some
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         return trimmed(self.text, self.tokens[start][0], self.tokens[end - 1][1])
@@ -154,12 +163,12 @@ def best(lattice: Lattice, w: Weights) -> list[Span]:
     """The likeliest segmentation's spans."""
     top: list[float] = [0.0]
     back: list[tuple[int, str | None]] = [(0, None)]
-    for end, some in enumerate(lattice.by_end, 1):
+    for end, some in enumerate(lattice.ends(), 1):
         options = [(top[start], start, None) if facts is None else (top[start] + score(w, kind, facts), start, kind) for start, facts in some for kind in ((None,) if facts is None else KINDS)]
         value, start, kind = max(options, key=lambda o: o[0])
         top.append(value)
         back.append((start, kind))
-    out, end = [], len(lattice.by_end)
+    out, end = [], len(lattice.tokens)
     while end:
         start, kind = back[end]
         if kind:
@@ -248,40 +257,40 @@ def weights() -> Weights:
 
 
 def model_spans(text: str, base: list[Span], w: Weights) -> list[Span]:
-    """Spans that the model finds around triggers outside base spans; none overlaps a base span."""
-    taken = sorted((a, b) for _, a, b in base)
-    covered = lambda a, b: any(x < b and a < y for x, y in taken)
+    """Spans that the model finds around triggers in the text between base spans."""
     out: list[Span] = []
-    reach = 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() < reach or covered(*m.span()):
-            continue
-        left, right = m.start(), m.end()
-        for _ in range(MAX_TOKENS + CONTEXT_TOKENS):
-            left = _before(text, left, reach)
-            right = _after(text, right)
-        tokens = [(left + a, left + b) for a, b in (x.span() for x in _TOKEN.finditer(text[left:right]))]
-        out += [s for s in best(Lattice(text, tokens), w) if not covered(s[1], s[2])]
-        reach = max([right, *(s[2] for s in out)]) if right < len(text) else right
+    for a, b in gaps(text, base):
+        for tokens in windows(text, a, b):
+            out += best(Lattice(text, tokens), w)
     return out
 
 
-def _before(text: str, at: int, least: int) -> int:
-    """Start of the token before a place."""
-    while at > least and text[at - 1].isspace():
-        at -= 1
-    while at > least and not text[at - 1].isspace():
-        at -= 1
-    return at
-
-
-def _after(text: str, at: int) -> int:
-    """End of the token after a place."""
-    while at < len(text) and text[at].isspace():
-        at += 1
-    while at < len(text) and not text[at].isspace():
-        at += 1
-    return at
+def gaps(text: str, spans: list[Span]) -> list[tuple[int, int]]:
+    """Ranges of the text that no span covers."""
+    out, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if a > at:
+            out.append((at, a))
+        at = max(at, b)
+    return out + [(at, len(text))] * (at < len(text))
+
+
+def windows(text: str, a: int, b: int) -> list[list[tuple[int, int]]]:
+    """Tokens of a range that lie at most a longest segment and its context from a trigger; windows that meet are one."""
+    triggers = [m.span() for m in _TRIGGER.finditer(text, a, b)]
+    if not triggers:
+        return []
+    tokens = [m.span() for m in _TOKEN.finditer(text, a, b)]
+    starts = [t[0] for t in tokens]
+    out: list[tuple[int, int]] = []
+    for x, y in triggers:
+        first = max(0, bisect.bisect_right(starts, x) - 1 - MAX_TOKENS - CONTEXT_TOKENS)
+        last = min(len(tokens), bisect.bisect_left(starts, y) + MAX_TOKENS + CONTEXT_TOKENS)
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], last)
+        else:
+            out.append((first, last))
+    return [tokens[first:last] for first, last in out]
 
 
 def find(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
