@@ -442,3 +442,12 @@ def test_personal_data_windows_leave_no_span_out():
         made = [" ".join([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}", *r.choices(["of", "the", "room"], k=r.randint(1, 9))]) for _ in range(12)]
         t = " ".join(made)
         assert {s for k, s in of(t) if k == "phone"} == {m[:14] for m in made}
+
+
+@pytest.mark.parametrize("sign", ["(at)", "[at]", "(AT)"])
+def test_personal_data_without_digits(sign):
+    """Written-out addresses are found whether or not the text holds a digit elsewhere."""
+    w = pii.weights()
+    t = f"Write to jane {sign} example.com"
+    assert [t[a:b] for _, a, b in pii.find(t, w)[1]] == [f"jane {sign} example.com"]
+    assert pii.find(t + " now 7", w)[1] == pii.find(t + " now", w)[1]

@@ -295,8 +295,10 @@ def windows(text: str, a: int, b: int) -> list[list[tuple[int, int]]]:
 
 def find(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
-    if not any(c in text for c in "0123456789@") and "dot" not in text.lower():
-        return [], []
+    if not any(c in text for c in "0123456789@"):
+        low = text.lower()
+        if not any(sign in low for sign in ("dot", "(at", "[at")):
+            return [], []
     base = base_spans(text)
     return base, base + model_spans(text, base, w)
 
