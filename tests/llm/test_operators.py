@@ -451,3 +451,47 @@ def test_personal_data_without_digits(sign):
     t = f"Write to jane {sign} example.com"
     assert [t[a:b] for _, a, b in pii.find(t, w)[1]] == [f"jane {sign} example.com"]
     assert pii.find(t + " now 7", w)[1] == pii.find(t + " now", w)[1]
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_license_search_matches_brute_force():
+    """Longer words don't hide a match, and all places come out that edit distances between whole words give."""
+    for t, want in (("under the mit licenses", "mit"), ("under the mit licensee", "mit"), ("gnu general public licenses", "gpl"), ("under the mit licence under the mit licenses", "mit"), ("apache license version 20", "")):
+        assert license_scan.scan(t)["labels"] == want, t
+    assert [e for _, _, e in license_scan.Notice("under the mit license", "mit").search(license_scan.normal("under the mit licence under the mit licenses x")[0])] == [1, 1]
+    r = random.Random(6)
+    for phrase in ("under the mit license", "apache license version 2", "cc by nc", "gnu general public license"):
+        n, head = license_scan.Notice(phrase, "x"), phrase.rstrip("0123456789")
+        tail = phrase[len(head) :]
+        for _ in range(150):
+            parts = []
+            for _ in range(r.randint(1, 3)):
+                v = list(phrase)
+                for _ in range(r.randint(0, 3)):
+                    k = r.randrange(len(v))
+                    v[k : k + 1] = r.choice([[], ["x"], [v[k], "q"], [" "]])
+                parts.append("".join(v) + r.choice(["", "s", "ee", " a", " of it", " license"]))
+            text = license_scan.normal(" ".join(parts))[0]
+            s = text.decode()
+            places = [i for i, c in enumerate(s) if c == " "]
+            found = []
+            for i in places:
+                for j in places:
+                    x = s[i + 1 : j]
+                    if j > i and abs(len(x) - len(phrase)) <= n.edits and x.endswith(tail):
+                        e = levenshtein(x[: len(x) - len(tail)], head)
+                        if e <= n.edits:
+                            found.append((e, i + 1, j))
+            want = []
+            for e, a, b in sorted(found):
+                if all(b < c or d < a for c, d, _ in want):
+                    want.append((a, b, e))
+            assert n.search(text) == sorted(want), s

@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z) and reduced to words joined by one space. A notice of n characters may differ by
 n // CHARS_PER_EDIT edits (a letter more, less or another). Cut into one piece more than it has edits, it has at least
-one piece without any: the pieces are exact seeds, and around each place of a seed the regex library searches
-the notice with that bound on edits and gives the span and the edits it took. A version number at the end takes no
+one piece without any: the pieces are exact seeds, and around each place of a seed the regex library matches
+the notice with every range of whole words of a fitting length, which gives the span and the edits it took. A version number at the end takes no
 edit, and notices too short for an edit must be exact. Where notices overlap, those that took the fewest edits count.
 
 Base places are those where a base phrase's words stand consecutively; their labels always stay. score is the largest
@@ -15,6 +15,7 @@ through, an empty table gives an empty result, and other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import pyarrow as pa
@@ -59,36 +60,37 @@ class Notice:
         self.seeds = [(self.phrase[a:b], a) for a, b in zip(cuts, cuts[1:])]
         head = self.phrase.rstrip(b"0123456789")
         exact = self.phrase[len(head) :]
-        self.pattern = regex.compile(rb"(?b)(?:%s){e<=%d}%s" % (regex.escape(head, special_only=True), self.edits, exact))
+        #: One pattern by bound: the least that matches is the number of edits.
+        self.patterns = [regex.compile(rb"(?:%s){e<=%d}%s" % (regex.escape(head, special_only=True), k, exact)) for k in range(n)]
 
-    def windows(self, text: bytes) -> list[tuple[int, int]]:
-        """Ranges that hold every match, joined where they overlap."""
-        found = []
+    def windows(self, text: bytes) -> set[tuple[int, int]]:
+        """Ranges around the places of seeds; each holds every match with that seed."""
+        found = set()
         for seed, offset in self.seeds:
             at = text.find(seed)
             while at >= 0:
-                found.append((max(0, at - offset - self.edits), at - offset + len(self.phrase) + self.edits))
+                found.add((max(0, at - offset - self.edits), min(len(text), at - offset + len(self.phrase) + self.edits)))
                 at = text.find(seed, at + 1)
-        out: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], max(b, out[-1][1]))
-            else:
-                out.append((a, b))
-        return out
+        return found
+
+    def distance(self, text: bytes, start: int, end: int) -> int | None:
+        """Edits between the notice and a range of the text, if within the bound."""
+        if not self.patterns[-1].fullmatch(text, start, end):
+            return None
+        return next(k for k, p in enumerate(self.patterns) if p.fullmatch(text, start, end))
 
     def search(self, text: bytes) -> list[tuple[int, int, int]]:
-        """Start, end and edits of matches from a word's start to a word's end."""
-        out = []
+        """Start, end and edits of matches from a word's start to a word's end; of those that overlap, the one of fewest edits."""
+        n, ranges = len(self.phrase), set()
         for a, b in self.windows(text):
-            for m in self.pattern.finditer(text, a, min(b, len(text))):
-                start, end, edits = m.start(), m.end(), sum(m.fuzzy_counts)
-                if text[start] == 32:  # a space before the words, taken for an edit
-                    start += 1
-                if text[end - 1] == 32:
-                    end -= 1
-                if text[start - 1 : start] == b" " and text[end : end + 1] == b" ":
-                    out.append((start, end, edits))
+            spaces = [i for i in range(max(a - 1, 0), min(b + 1, len(text))) if text[i] == 32]
+            ranges |= {(i + 1, j) for i in spaces for j in spaces if abs(j - i - 1 - n) <= self.edits}
+        found = [(e, start, end) for start, end in ranges if (e := self.distance(text, start, end)) is not None]
+        out: list[tuple[int, int, int]] = []
+        for e, start, end in sorted(found):
+            k = bisect.bisect(out, (start,))
+            if (k == len(out) or end < out[k][0]) and (k == 0 or out[k - 1][1] < start):
+                out.insert(k, (start, end, e))
         return out
 
 
