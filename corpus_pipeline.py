@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenlm.llm import importance, jaccard_join, line_rules, packing, pii
 from tokenlm.llm.session import table, written
 
+#: Near duplicates share this percentage of shingles of so many words; op2_partenum has its own, stricter constants.
+SHINGLE, PERCENT = 5, 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling doesn't draw go."""
@@ -23,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays, that of the smallest doc_id."""
-    return jaccard_join.keep_first(docs)
+    return jaccard_join.keep_first(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

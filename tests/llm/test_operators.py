@@ -495,3 +495,33 @@ def test_license_search_matches_brute_force():
                 if all(b < c or d < a for c, d, _ in want):
                     want.append((a, b, e))
             assert n.search(text) == sorted(want), s
+
+
+def test_near_duplicates_with_other_shingles(spark):
+    """Shingle size and percentage are the caller's: a copy with a fifth more text goes at 5 words and 80, and stays at 4 and 85."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    rows = []
+    for i in range(60):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.randint(40, 300))]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(w + [f"x{r.randrange(10**6)}" for _ in range(int(len(w) * r.choice([0.1, 0.2, 0.23, 0.3])))]))]
+        v = list(w)
+        v[len(v) // 2] = "changed"
+        rows.append((3 * i + 2, " ".join(v)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def components_of(size, percent):
+        sets = [{tuple(t.split()[k : k + size]) for k in range(len(t.split()) - size + 1)} for _, t in rows]
+        root = list(range(len(rows)))
+        for a in range(len(rows)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    root = [root[b] if x == root[a] else x for x in root]
+        return {i: min(j for j, x in enumerate(root) if x == root[i]) for i in range(len(rows))}
+
+    for size, percent in ((5, 80), (4, 85), (3, 60)):
+        got = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(docs, size, percent).collect()}
+        assert got == components_of(size, percent)
+    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(components_of(5, 80).values()) != set(components_of(4, 85).values())

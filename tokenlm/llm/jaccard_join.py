@@ -46,13 +46,13 @@ REMEMBERED = 1 << 20
 U = K.U
 
 
-def sets(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
+def sets(t: K.Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted within each, and their texts."""
     words = t.runs(K.NOT_SPACE)
     h, n = words.hashes(), words.per_text()
-    at = K.windows(words.doc, SHINGLE)
-    g, doc = K.ngrams(h, at, SHINGLE), words.doc[at]
-    short = np.flatnonzero((n > 0) & (n < SHINGLE))
+    at = K.windows(words.doc, shingle)
+    g, doc = K.ngrams(h, at, shingle), words.doc[at]
+    short = np.flatnonzero((n > 0) & (n < shingle))
     if len(short):
         first = np.cumsum(n) - n
         whole = np.array([int(K.ngrams(h, first[i : i + 1], int(n[i]))[0]) for i in short], U)
@@ -81,30 +81,32 @@ class Band:
     is a signature. slack parts more make sure that some such subset isn't empty.
     """
 
-    def __init__(self, low: int, high: int):
+    def __init__(self, low: int, high: int, percent: int = PERCENT):
         self.low, self.high = low, high
-        self.k = 2 * high * (100 - PERCENT) // (100 + PERCENT)
+        self.k = 2 * high * (100 - percent) // (100 + percent)
         self.spare, self.pieces = (1, 3) if 0 < self.k <= 12 else (0, 1)
         self.slack = max(2, int(SLACK * self.k)) if self.k else 0
         self.parts = self.k // (self.spare + 1) + 1 + self.slack
-        self.least = -(-PERCENT * low // 100)
+        self.least = -(-percent * low // 100)
 
 
-_bands: list[Band] = []
+#: Bands by percentage, as far as they were needed.
+_bands: dict[int, list[Band]] = {}
 
 
-def bands(size: int) -> list[tuple[int, Band]]:
+def bands(size: int, percent: int = PERCENT) -> list[tuple[int, Band]]:
     """The bands whose pairs a set of that size can be in, with their numbers."""
-    while not _bands or _bands[-1].high < 2 * size + 2:
-        low = _bands[-1].high + 1 if _bands else 1
-        _bands.append(Band(low, max(low, int(low * GROWTH))))
-    return [(j, b) for j, b in enumerate(_bands) if b.least <= size <= b.high]
+    known = _bands.setdefault(percent, [])
+    while not known or known[-1].high < 2 * size + 2:
+        low = known[-1].high + 1 if known else 1
+        known.append(Band(low, max(low, int(low * GROWTH)), percent))
+    return [(j, b) for j, b in enumerate(known) if b.least <= size <= b.high]
 
 
-def signatures(g: np.ndarray) -> np.ndarray:
+def signatures(g: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Signatures of one set, which every set similar enough shares at least one of."""
     out = []
-    for j, b in bands(len(g)):
+    for j, b in bands(len(g), percent):
         for seed in range(SEEDS + 1):
             if seed == SEEDS:
                 out.append(K.mix(np.full(1, U(j * 1000 + 999))))
@@ -132,14 +134,14 @@ def signatures(g: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(g: np.ndarray) -> bytes:
+def sketch(g: np.ndarray, percent: int = PERCENT) -> bytes:
     """Parities of a set's elements by cell, of a power of two of cells that has eight to a difference at least."""
-    cells = 1 << max(6, int(16 * len(g) * (100 - PERCENT) // (100 + PERCENT)).bit_length())
+    cells = 1 << max(6, int(16 * len(g) * (100 - percent) // (100 + percent)).bit_length())
     at = (K.mix(g ^ U(0x5851F42D4C957F2D)) & U(cells - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8)).tobytes()
 
 
-def possible(bits: list[bytes], n: np.ndarray) -> np.ndarray:
+def possible(bits: list[bytes], n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Matrix of pairs that sketches and sizes don't rule out. A longer sketch is folded to the shorter one's cells."""
     cells = np.array([8 * len(b) for b in bits])
     out = np.zeros((len(bits), len(bits)), bool)
@@ -148,46 +150,46 @@ def possible(bits: list[bytes], n: np.ndarray) -> np.ndarray:
         m = np.stack([np.unpackbits(np.frombuffer(bits[i], np.uint8)).reshape(-1, size).sum(0) & 1 for i in mine]).astype(np.float32) * 2 - 1
         differ = (size - m @ m.T) / 2
         a, b = n[mine][:, None], n[mine][None, :]
-        ok = (differ <= (a + b) * (100 - PERCENT) // (100 + PERCENT)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        ok = (differ <= (a + b) * (100 - percent) // (100 + percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
         here = np.minimum(cells[mine][:, None], cells[mine][None, :]) == size
         out[np.ix_(mine, mine)] |= ok & here
     return out
 
 
-def _sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sets(col: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Elements of all sets in a row, where each set begins (and the last ends), sizes, fingerprints."""
     t = K.Texts(col, lower=True)
-    g, doc = sets(t)
+    g, doc = sets(t, shingle)
     size = np.bincount(doc, minlength=t.n)
     return g, np.concatenate([[0], np.cumsum(size)]), size, fingerprints(g, doc, t.n).view(np.int64)
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, fp, the set's fingerprint, and its sketch (both null for empty sets)."""
 
     def make(part: pa.RecordBatch) -> dict:
-        g, cut, size, fp = _sets(part.column(1))
-        bits = [sketch(g[a:b]) if b > a else None for a, b in zip(cut[:-1], cut[1:])]
+        g, cut, size, fp = _sets(part.column(1), shingle)
+        bits = [sketch(g[a:b], percent) if b > a else None for a, b in zip(cut[:-1], cut[1:])]
         return {"doc_id": part.column(0), "n_shingles": size, "fp": pa.array(fp, mask=size == 0), "sketch": pa.array(bits, pa.binary())}
 
     return arrow_map(pick(docs, "doc_id", "text"), "doc_id long, n_shingles long, fp long, sketch binary", make)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Signatures: key and fp of each set that a task sees for the first time."""
 
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
         for batch in batches:
             for part in K.slices(batch):
-                g, cut, size, fp = _sets(part.column(0))
+                g, cut, size, fp = _sets(part.column(0), shingle)
                 keys, own = [], []
                 for i in np.flatnonzero(size):
                     if (f := int(fp[i])) not in seen:
                         if len(seen) > REMEMBERED:
                             seen.clear()
                         seen.add(f)
-                        keys.append(np.unique(signatures(g[cut[i] : cut[i + 1]])))
+                        keys.append(np.unique(signatures(g[cut[i] : cut[i + 1]], percent)))
                         own.append(np.full(len(keys[-1]), f, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own))], ["key", "fp"])
@@ -234,10 +236,10 @@ def _grouped(batches: Batches) -> Batches:
         yield out(2, rest_key, rest_fp)
 
 
-def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of fingerprints from small groups, and star links (a, b) of larger groups."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = signed(docs).repartitionByRange(n, "key", "fp").sortWithinPartitions("key", "fp").mapInArrow(_grouped, "kind int, a long, b long")
+    rows = signed(docs, shingle, percent).repartitionByRange(n, "key", "fp").sortWithinPartitions("key", "fp").mapInArrow(_grouped, "kind int, a long, b long")
     found = written(rows, "candidates")
     edge = found.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
     groups = edge.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).filter("n > 1")
@@ -265,7 +267,7 @@ def bit_map(vertices: DataFrame) -> np.ndarray:
     return np.packbits(hit)
 
 
-def texts_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, vertices: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """fp and one text for each vertex (column fp)."""
     bits = bit_map(vertices)
 
@@ -274,7 +276,7 @@ def texts_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for part in K.slices(batch):
-                _, _, size, fp = _sets(part.column(0))
+                _, _, size, fp = _sets(part.column(0), shingle)
                 take = []
                 for i in np.flatnonzero((size > 0) & known[_slot(fp)]):
                     if (f := int(fp[i])) not in seen:
@@ -289,20 +291,20 @@ def texts_of(docs: DataFrame, vertices: DataFrame) -> DataFrame:
     return written(found.join(vertices, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
 
 
-def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * shared >= PERCENT * (a + b - shared)
+def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return 100 * shared >= percent * (a + b - shared)
 
 
-def checked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def checked_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The pairs that link."""
     left = texts.select(F.col("fp").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
 
     def make(part: pa.RecordBatch) -> dict:
-        x, cx, nx, _ = _sets(part.column(2))
-        y, cy, ny, _ = _sets(part.column(3))
+        x, cx, nx, _ = _sets(part.column(2), shingle)
+        y, cy, ny, _ = _sets(part.column(3), shingle)
         shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(cx, cx[1:], cy, cy[1:])], np.int64)
-        keep = pa.array(np.flatnonzero(linked(shared, nx, ny)))
+        keep = pa.array(np.flatnonzero(linked(shared, nx, ny, percent)))
         return {"a": part.column(0).take(keep), "b": part.column(1).take(keep)}
 
     def run(batches: Batches) -> Batches:
@@ -355,7 +357,7 @@ def forest(fp: np.ndarray, links: np.ndarray, side: np.ndarray) -> pa.Table:
 PAIR = ["root", "block", "part", "block2", "part2"]
 
 
-def met_blocks(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+def met_blocks(stars: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Sets of clusters of star links, once for each two blocks that are compared: PAIR, fp, side. sizes: n_shingles of every fp.
 
     Blocks hold sets of like sizes, and only blocks with sizes that can link meet, so most of a large cluster never does.
@@ -367,7 +369,7 @@ def met_blocks(stars: DataFrame, sizes: DataFrame) -> DataFrame:
     placed = member.join(cut, ["root", "n"]).select("root", "fp", "n", "block", F.pmod(F.xxhash64("fp"), F.col("of")).alias("part"))
     blocks = placed.groupBy("root", "block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     others = blocks.select("root", *[F.col(c).alias(f"{c}2") for c in ("block", "part", "low", "high")])
-    met = blocks.join(others, "root").filter(f"(block, part) <= (block2, part2) AND 100 * high >= {PERCENT} * low2 AND 100 * high2 >= {PERCENT} * low")
+    met = blocks.join(others, "root").filter(f"(block, part) <= (block2, part2) AND 100 * high >= {percent} * low2 AND 100 * high2 >= {percent} * low")
     met = met.withColumn("own", (F.col("block") == F.col("block2")) & (F.col("part") == F.col("part2")))
     left = placed.join(met, ["root", "block", "part"]).select(*PAIR, "fp", F.when(F.col("own"), 2).otherwise(0).alias("side"))
     right = placed.withColumnsRenamed({"block": "block2", "part": "part2"}).join(met.filter("NOT own"), ["root", "block2", "part2"]).select(*PAIR, "fp", F.lit(1).alias("side"))
@@ -375,50 +377,50 @@ def met_blocks(stars: DataFrame, sizes: DataFrame) -> DataFrame:
     return left.union(right)
 
 
-def ruled_clusters(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+def ruled_clusters(stars: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Forest of the links that sketches allow within clusters. sizes: fp, n_shingles, sketch."""
 
     def check(t: pa.Table) -> pa.Table:
         fp, n, side = (np.asarray(t.column(c).combine_chunks()) for c in ("fp", "n_shingles", "side"))
-        return forest(fp, possible(t.column("sketch").to_pylist(), n), side)
+        return forest(fp, possible(t.column("sketch").to_pylist(), n, percent), side)
 
-    return met_blocks(stars, sizes).join(sizes, "fp").select(*PAIR, "fp", "side", "n_shingles", "sketch").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+    return met_blocks(stars, sizes, percent).join(sizes, "fp").select(*PAIR, "fp", "side", "n_shingles", "sketch").groupBy(*PAIR).applyInArrow(check, "a long, b long")
 
 
-def checked_clusters(stars: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+def checked_clusters(stars: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Forest of the links within clusters."""
 
     def check(t: pa.Table) -> pa.Table:
-        g, cut, size, fp = _sets(t.column("text").combine_chunks())
-        return forest(fp, linked(intersections(g, cut), size[:, None], size[None, :]), np.asarray(t.column("side").combine_chunks()))
+        g, cut, size, fp = _sets(t.column("text").combine_chunks(), shingle)
+        return forest(fp, linked(intersections(g, cut), size[:, None], size[None, :], percent), np.asarray(t.column("side").combine_chunks()))
 
-    return met_blocks(stars, sizes).join(texts, "fp").select(*PAIR, "side", "text").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+    return met_blocks(stars, sizes, percent).join(texts, "fp").select(*PAIR, "side", "text").groupBy(*PAIR).applyInArrow(check, "a long, b long")
 
 
-def ruled_pairs(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def ruled_pairs(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that sketches allow."""
     side = lambda k: sizes.select(F.col("fp").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             a, b, na, sa, nb, sb = (c.to_pylist() for c in batch.columns)
-            keep = [i for i in range(len(a)) if possible([sa[i], sb[i]], np.array([na[i], nb[i]]))[0, 1]]
+            keep = [i for i in range(len(a)) if possible([sa[i], sb[i]], np.array([na[i], nb[i]]), percent)[0, 1]]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and fp, the fingerprint of its set."""
-    members = written(measured(docs), "members")
+    members = written(measured(docs, shingle, percent), "members")
     sizes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     sizes = written(sizes, "sizes")
-    pairs, stars = candidates(docs)
-    pairs = written(ruled_pairs(pairs, sizes), "ruled")
-    stars = written(ruled_clusters(written(stars, "groups"), sizes), "clusters")
+    pairs, stars = candidates(docs, shingle, percent)
+    pairs = written(ruled_pairs(pairs, sizes, percent), "ruled")
+    stars = written(ruled_clusters(written(stars, "groups"), sizes, percent), "clusters")
     vertices = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).distinct()
-    texts = texts_of(docs, written(vertices, "vertices"))
-    links = checked_pairs(pairs, texts).union(checked_clusters(stars, sizes.select("fp", "n_shingles"), texts))
+    texts = texts_of(docs, written(vertices, "vertices"), shingle)
+    links = checked_pairs(pairs, texts, shingle, percent).union(checked_clusters(stars, sizes.select("fp", "n_shingles"), texts, shingle, percent))
     roots = components(links)
     classes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = classes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -427,7 +429,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return members.join(of_class, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "fp")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with its columns: of those with the component's doc_id the one whose row hashes least.
 
     Empty sets stay, all of them. Of a component without any doc_id one row of each set stays. Rows whose set nothing else
@@ -437,7 +439,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     names = [f"c{i}" for i in range(len(columns))]
     plain = docs.toDF(*names)
     at_text, own_id = columns.index("text"), F.col(f"c{columns.index('doc_id')}")
-    rows = near_duplicates(docs).filter("fp IS NOT NULL")
+    rows = near_duplicates(docs, shingle, percent).filter("fp IS NOT NULL")
     classes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component"), F.min("doc_id").alias("least"))
     others = written(classes.filter("n > 1 OR component IS NULL OR least IS NULL OR component <> least").select("fp", "component"), "others")
     bits = bit_map(others.select("fp"))
@@ -448,7 +450,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
             for batch in batches:
                 at = 0
                 for part in K.slices(pa.RecordBatch.from_arrays([batch.column(at_text)], ["text"])):
-                    _, _, size, fp = _sets(part.column(0))
+                    _, _, size, fp = _sets(part.column(0), shingle)
                     mine = batch.slice(at, part.num_rows)
                     at += part.num_rows
                     hit = (size > 0) & known[_slot(fp)]
