@@ -525,3 +525,16 @@ def test_near_duplicates_with_other_shingles(spark):
         assert got == components_of(size, percent)
     kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == set(components_of(5, 80).values()) != set(components_of(4, 85).values())
+
+
+def test_importance_fit_with_repeated_labelled_rows(spark, monkeypatch):
+    """Repeated doc_ids don't push labelled rows with large ratios out of the fit."""
+    seen = []
+    monkeypatch.setattr(importance, "LABEL_ROWS", 40)
+    monkeypatch.setattr(importance, "logistic", lambda x, y: seen.append((x, y)) or (1.0, 0.0))
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices(["alpha", "beta", "gamma"] if i % 2 else ["one", "TWO|", "three", "##"], k=20))) for i in range(40) for _ in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    importance.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    x, y = seen[0]
+    assert len(y) == 40 and sum(y) == 20 and min(x[y == 1]) > max(x[y == 0])

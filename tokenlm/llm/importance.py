@@ -4,7 +4,7 @@ Target text is what labels call good (quality 1), raw text is every document. Ea
 single words and pairs, and runs of one to three word shapes (capitals, bars, symbols, final marks, repeats), in
 BUCKETS buckets. Both models are smoothed bucket frequencies; the raw one counts all documents, the target one a
 sample of at most LABEL_ROWS labelled rows. A document's log weight is its mean log ratio by n-gram, so that long
-texts don't drift. A logistic fit on the same labelled rows turns it into the chance that the document is target text.
+texts don't drift. A logistic fit on one row of each labelled doc_id turns it into the chance that the document is target text.
 Resampling without replacement adds Gumbel noise, scaled by NOISE, to the log of that chance and keeps the k largest, k
 being the number of documents with a chance of one half or more. Scaled noise draws by the chance to the power 1 / NOISE:
 only documents near the border change places, and clean ones aren't lost to chance in a large table.
@@ -119,8 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(BUCKETS), 0.0, 50.0)
     model = Model(np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum()))
     small = F.broadcast(two.sparkSession.createDataFrame([(int(i), int(v)) for i, v in zip(ids, y, strict=True)], "doc_id long, y int"))
-    scored = arrow_map(two.join(small, "doc_id").select("doc_id", "text", "y"), "y int, x double", lambda p: {"y": p.column(2), "x": (s := model.score(p.column(0), p.column(1)))["log_weight"] + np.where(s["n_grams"] > 0, 0, np.nan)})
-    rows = np.array([(r[0], r[1]) for r in scored.filter(~F.isnan("x")).orderBy("x", "y").limit(LABEL_ROWS).collect()]).reshape(-1, 2)
+    scored = arrow_map(two.join(small, "doc_id").select("doc_id", "text", "y"), "doc_id long, y int, x double", lambda p: {"doc_id": p.column(0), "y": p.column(2), "x": (s := model.score(p.column(0), p.column(1)))["log_weight"] + np.where(s["n_grams"] > 0, 0, np.nan)})
+    one = scored.filter(~F.isnan("x")).groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("x", F.xxhash64("x")).alias("x"))
+    rows = np.array([(r[0], r[1]) for r in one.select("y", "x").orderBy("x", "y").collect()]).reshape(-1, 2)  # one row a label, so LABEL_ROWS at most
     model.slope, model.offset = logistic(rows[:, 1], rows[:, 0])
     return model
 
