@@ -225,3 +225,10 @@ def test_sgd_weights_use_every_context(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(learning, "sequential", lambda rows, names: seen.append(rows.select("g").distinct().count()) or rows)
     modelling.sgd_weights(spark, str(tmp_path))
     assert seen == [60]
+
+
+def test_prequential_queries_predict_words():
+    """Words of documents are counted and predicted too, and five candidates are listed."""
+    from tokenlm.plans import registry
+
+    assert {"word_prequential_counts", "word_prequential_entropy", "top5_candidates"} <= set(registry.SQL)

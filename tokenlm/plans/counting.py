@@ -293,6 +293,38 @@ def prequential_entropy(spark, sf_dir):
     return prequential.entropy(_before(spark, sf_dir), 3).withColumn("entropy", F.round("entropy", 6))
 
 
+WORD_PREQ = f"""WITH {WORDS},
+sized AS (SELECT corpus, doc, count(*) AS m FROM words GROUP BY corpus, doc),
+starts AS (SELECT corpus, doc, coalesce(sum(m) OVER (PARTITION BY corpus ORDER BY doc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM sized),
+{grams_sql('words', 3)},
+gg AS (SELECT g.*, CAST(s.s + g.pos AS BIGINT) AS g FROM grams g JOIN starts s ON s.corpus = g.corpus AND s.doc = g.doc),
+c0 AS (SELECT *, count(*) OVER (PARTITION BY corpus, n, ngram ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM gg),
+c1 AS (SELECT *, CASE WHEN c = 0 THEN 1 ELSE 0 END AS new FROM c0),
+c2 AS (SELECT a.*, CASE WHEN a.whole THEN 1 ELSE coalesce(b.new, 0) END AS kd FROM c1 a LEFT JOIN c1 b ON b.corpus = a.corpus AND b.g = a.g AND b.n = a.n + 1),
+past AS (SELECT corpus, doc, pos, g, n, ngram, c, count(*) OVER q AS total, CAST(coalesce(sum(new) OVER q, 0) AS BIGINT) AS followers,
+  CAST(coalesce(sum(kd) OVER (PARTITION BY corpus, n, ngram ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS kn, CAST(coalesce(sum(kd) OVER q, 0) AS BIGINT) AS kn_total
+  FROM c2 WINDOW q AS (PARTITION BY corpus, n, ctx ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _words_before(spark, sf_dir):
+    t = written(prequential.numbered(words(spark, sf_dir)), "numbered")
+    return prequential.counts_before(C.grams(t, 3), t)
+
+
+@query("word_prequential_counts", f"{WORD_PREQ} SELECT corpus, g, n, ngram, c, total, followers, kn, kn_total FROM past")
+def word_prequential_counts(spark, sf_dir):
+    return _words_before(spark, sf_dir).select("corpus", "g", "n", "ngram", "c", "total", "followers", "kn", "kn_total")
+
+
+@query("word_prequential_entropy", f"""{WORD_PREQ},
+p1 AS (SELECT corpus, g, followers, CASE WHEN kn_total > 0 THEN (greatest(kn - 0.5::DOUBLE, 0) + 0.5::DOUBLE * followers * (1::DOUBLE / (followers + 1))) / kn_total ELSE 1::DOUBLE / (followers + 1) END AS p FROM past WHERE n = 1),
+p2 AS (SELECT a.corpus, a.g, CASE WHEN b.kn_total > 0 THEN (greatest(b.kn - 0.5::DOUBLE, 0) + 0.5::DOUBLE * b.followers * a.p) / b.kn_total ELSE a.p END AS p FROM p1 a LEFT JOIN past b ON b.corpus = a.corpus AND b.g = a.g AND b.n = 2),
+p3 AS (SELECT a.corpus, a.g, CASE WHEN b.total > 0 THEN (greatest(b.c - 0.5::DOUBLE, 0) + 0.5::DOUBLE * b.followers * a.p) / b.total ELSE a.p END AS p FROM p2 a LEFT JOIN past b ON b.corpus = a.corpus AND b.g = a.g AND b.n = 3)
+SELECT corpus, count(*) AS n_tokens, round(avg(-ln(p)), 6) AS entropy FROM p3 GROUP BY corpus""")
+def word_prequential_entropy(spark, sf_dir):
+    return prequential.entropy(_words_before(spark, sf_dir), 3).withColumn("entropy", F.round("entropy", 6))
+
+
 @query("retract_update", f"""WITH base AS (SELECT lang AS corpus, doc_id AS doc, CASE WHEN doc_id % 2 = 0 THEN upper(text) ELSE text END AS text FROM documents),
 words AS (SELECT corpus, doc, unnest(generate_series(1, len(t))) AS pos, unnest(t) AS token FROM (SELECT corpus, doc, regexp_extract_all(text, '{WORDS.split("text, '")[1].split("') AS t")[0]}') AS t FROM base)),
 {grams_sql('words', 2)},
@@ -386,6 +418,12 @@ def top3_candidates(spark, sf_dir):
     return ranked(spark, sf_dir).filter("rank < 3").groupBy("doc", "pos").agg(best.alias("best"))
 
 
+@query("top5_candidates", f"{CAND} SELECT doc, pos, string_agg(cand, ' ' ORDER BY rank) AS best FROM ranked WHERE rank < 5 GROUP BY doc, pos")
+def top5_candidates(spark, sf_dir):
+    best = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cand"))), lambda x: x["cand"]), " ")
+    return ranked(spark, sf_dir).filter("rank < 5").groupBy("doc", "pos").agg(best.alias("best"))
+
+
 @query("eval_metrics", f"""{CAND} SELECT corpus, count(*) AS n_tokens, round(avg(CASE WHEN correct THEN 1::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(CASE WHEN oracle THEN 1::DOUBLE ELSE 0 END), 6) AS oracle, round(avg(rank), 6) AS rank, round(avg(rr), 6) AS reciprocal_rank, round(avg(entropy), 6) AS entropy,
   round(avg(CASE WHEN regexp_matches(truth, '^\\w+$') THEN CASE WHEN correct THEN 1::DOUBLE ELSE 0 END END), 6) AS ident_accuracy, round(avg(CASE WHEN regexp_matches(truth, '^\\w+$') THEN entropy END), 6) AS ident_entropy, round(exp(avg(entropy)), 6) AS perplexity FROM states GROUP BY corpus""")
 def eval_metrics(spark, sf_dir):
