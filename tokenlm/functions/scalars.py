@@ -72,6 +72,11 @@ def indicator(name: str, count: Column, top: int = 2) -> Column:
     return F.when(count <= top, F.struct(label.alias("fname"), F.lit(1.0).alias("fval"))).otherwise(F.struct(F.lit(f"{name}.log").alias("fname"), F.log(count.cast("double")).alias("fval")))
 
 
+def upper_by_character(text: Column) -> Column:
+    """Capitals one by one, so that a sharp s becomes one capital and not two."""
+    return F.upper(F.translate(text, "ß", "ẞ"))
+
+
 def html_escape(text: Column) -> Column:
     """Markup characters, then line breaks."""
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "<br/>")):

@@ -123,8 +123,8 @@ def kn_explain(spark, sf_dir):
 
 @query("longest_seen_context", f"""WITH {WORDS},
 bench AS (SELECT 'en' AS corpus, item_id AS doc, unnest(generate_series(1, len(t))) AS pos, unnest(t) AS token FROM (SELECT item_id, regexp_extract_all(text, '{{pattern}}') AS t FROM benchmark)),
-wl AS (SELECT corpus, token, lag(token, 1) OVER w AS p1, lag(token, 2) OVER w AS p2 FROM words WINDOW w AS (PARTITION BY corpus, doc ORDER BY pos)),
-known AS (SELECT DISTINCT corpus, '' AS ctx FROM words UNION SELECT DISTINCT corpus, p1 FROM wl WHERE p1 IS NOT NULL UNION SELECT DISTINCT corpus, p2 || ' ' || p1 FROM wl WHERE p2 IS NOT NULL),
+wl AS MATERIALIZED (SELECT corpus, token, lag(token, 1) OVER w AS p1, lag(token, 2) OVER w AS p2 FROM words WINDOW w AS (PARTITION BY corpus, doc ORDER BY pos)),
+known AS MATERIALIZED (SELECT DISTINCT corpus, '' AS ctx FROM words UNION SELECT DISTINCT corpus, p1 FROM wl WHERE p1 IS NOT NULL UNION SELECT DISTINCT corpus, p2 || ' ' || p1 FROM wl WHERE p2 IS NOT NULL),
 bl AS (SELECT corpus, doc, pos, lag(token, 1) OVER w AS p1, lag(token, 2) OVER w AS p2 FROM bench WINDOW w AS (PARTITION BY corpus, doc ORDER BY pos))
 SELECT b.doc, b.pos, CAST(CASE WHEN k2.ctx IS NOT NULL THEN 2 WHEN k1.ctx IS NOT NULL THEN 1 WHEN k0.ctx IS NOT NULL THEN 0 ELSE -1 END AS INTEGER) AS context_max_n
 FROM bl b LEFT JOIN known k2 ON k2.corpus = b.corpus AND k2.ctx = b.p2 || ' ' || b.p1 LEFT JOIN known k1 ON k1.corpus = b.corpus AND k1.ctx = b.p1 LEFT JOIN known k0 ON k0.corpus = b.corpus AND k0.ctx = ''""".replace("{pattern}", WORDS.split("text, '")[1].split("') AS t")[0]))
@@ -335,7 +335,7 @@ def retract_update(spark, sf_dir):
 
     docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), F.col("doc_id").alias("doc"), "text")
     changed = docs.filter("doc % 2 = 0")
-    return deltas.update(counted(lex(docs), 2), lex(changed), lex(changed.withColumn("text", F.upper("text"))), 2).select("corpus", "n", "ngram", "c", "w")
+    return deltas.update(counted(lex(docs), 2), lex(changed), lex(changed.withColumn("text", S.upper_by_character(F.col("text")))), 2).select("corpus", "n", "ngram", "c", "w")
 
 
 # --- candidates over event types: small vocabulary, all contexts ---
