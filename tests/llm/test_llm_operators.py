@@ -538,3 +538,68 @@ def test_importance_fit_with_repeated_labelled_rows(spark, monkeypatch):
     importance.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
     x, y = seen[0]
     assert len(y) == 40 and sum(y) == 20 and min(x[y == 1]) > max(x[y == 0])
+
+
+def thue_morse(n):
+    """Two words of a and b, of n letters, that agree under every sum of letters times powers of an even number's size."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [256, 1024, 2048])
+def test_regular_words_are_told_apart(spark, size):
+    """Words and lines of a regular build are different words to near duplicates, packing and line rules."""
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(size)
+    t = K.Texts(pa.array([a, b]))
+    assert len(set(t.runs(K.NOT_SPACE).hashes().tolist())) == 2
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}\n{a}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3}
+    path = P.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    for got, x in zip(packing.Encoder(path).encode([a, b, f"{b} {a}"]), [a, b, f"{b} {a}"]):
+        assert got.tolist() == [*tk.encode(x, add_special_tokens=False).ids, 1]
+    assert {r.doc_id: r.n_dup_lines for r in line_rules.line_quality(docs).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_unequal_bytes_of_one_hash_are_told_apart(monkeypatch):
+    """Whatever two ranges hash to, only equal bytes count as equal."""
+    monkeypatch.setattr(K.Spans, "hashes", lambda self: (self.ends - self.starts).astype(np.uint64) % np.uint64(3))
+    r = random.Random(3)
+    texts = ["\n".join(" ".join(r.choice(["ab", "cd", "abc", "xyz", "longer-than-eight", "longer-than-ninee"]) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 8))) for _ in range(60)]
+    out = line_rules.measure(pa.array(texts))[0]
+    for i, t in enumerate(texts):
+        assert tuple(int(out[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == slow_rules(t)
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tk, e = Tokenizer.from_file(path), packing.Encoder(path)
+    for _ in range(2):
+        for got, x in zip(e.encode(texts), texts):
+            assert got.tolist() == [*tk.encode(x, add_special_tokens=False).ids, 1]
+
+
+def test_least_squares_matches_brute_force():
+    """The solver's rest is the smallest over all sets of columns, and no column could make it smaller."""
+    import itertools
+
+    r = np.random.default_rng(4)
+    for bins in (4, 5, 6, 7):
+        some = packing.combinations(bins)
+        used = np.array([c + (0,) * (packing.DEPTH - len(c)) for c in some])
+        a = np.stack([np.bincount(u, minlength=bins + 1)[1:] for u in used], 1).astype(float)
+        for _ in range(12):
+            b = r.integers(0, 30, bins).astype(float) * (r.random(bins) < 0.8)
+            x = packing.nnls(used, b)
+            best = b @ b
+            for k in range(1, min(bins, len(some)) + 1):
+                for chosen in itertools.combinations(range(len(some)), k):
+                    y = np.linalg.lstsq(a[:, chosen], b, rcond=None)[0]
+                    if (y >= -1e-9).all():
+                        best = min(best, float(((b - a[:, chosen] @ y) ** 2).sum()))
+            assert (x >= 0).all() and float(((b - a @ x) ** 2).sum()) == pytest.approx(best, abs=1e-6)
+            gain = a.T @ (b - a @ x)
+            assert (gain <= 1e-6).all() and np.abs(gain[x > 1e-9]).max(initial=0) < 1e-6

@@ -1,13 +1,14 @@
 """Numpy kernels over Arrow string columns: words, spans and hashes without a Python object per word.
 
 A column's bytes lie in one buffer. Words and lines are byte ranges in it, found by table look-ups and
-differences; a range's 64-bit hash comes from one running sum of its bytes' table values times powers of an odd
-number (mod 2^64). Work goes slice by slice, so memory is bounded by the slice or one long text.
+differences. A range's 64-bit hash is the sum of its eights of bytes, each mixed with its place, mixed again with the
+length: no sum of powers, so that words of a regular build don't share a hash. Where a result rests on equality, ranges of
+one hash are compared byte by byte (equal). Work goes slice by slice, so memory is bounded by the slice or one long text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,9 @@ import pyarrow.compute
 U = np.uint64
 #: Text bytes of a slice, except that a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.int64).view(U) * U(2) + U(1)
+_STEP = U(0x9E3779B97F4A7C15)
+#: Of the last eight bytes of a range, those that are in it.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 #: Byte classes: white space of the words contract, and letters, digits and bytes of other scripts.
 SPACES = np.zeros(256, bool)
@@ -29,19 +30,6 @@ ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the base and of its inverse; kept between calls."""
-    if len(_powers[0]) < n:
-        for i, b in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, SLICE_BYTES + 1), U(b))
-            x[0] = U(1)
-            _powers[i] = np.cumprod(x, dtype=U)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits of x."""
     x = x ^ (x >> U(33))
@@ -77,7 +65,7 @@ class Texts:
         data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
         self.data = LOWER[data] if lower else data
         self.starts, self.ends, self.n = at[:-1] - at[0], at[1:] - at[0], n
-        self._sums: np.ndarray | None = None
+        self._eights: np.ndarray | None = None
 
     def bounds(self) -> np.ndarray:
         return np.append(self.starts, self.ends[-1:] if self.n else 0)
@@ -108,11 +96,12 @@ class Texts:
         out.doc = np.sort(np.concatenate([np.arange(self.n), np.searchsorted(self.ends, feeds, "right")]), kind="stable")
         return out
 
-    def sums(self) -> np.ndarray:
-        if self._sums is None:
-            p, _ = powers(len(self.data) + 1)
-            self._sums = np.concatenate([np.zeros(1, U), np.cumsum(_TABLE[self.data] * p[:-1], dtype=U)])
-        return self._sums
+    def eights(self) -> np.ndarray:
+        """Of each byte, it and the seven after it as one number; zeros follow the last one."""
+        if self._eights is None:
+            held = np.concatenate([self.data, np.zeros(8, np.uint8)])
+            self._eights = np.ndarray(len(self.data) + 1, "<u8", held, strides=(1,))
+        return self._eights
 
 
 class Spans:
@@ -129,9 +118,14 @@ class Spans:
         return np.bincount(self.doc, minlength=self.texts.n)
 
     def hashes(self) -> np.ndarray:
-        s = self.texts.sums()
-        _, inverse = powers(len(self.texts.data) + 1)
-        return mix((s[self.ends] - s[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(U))
+        size = self.ends - self.starts
+        n = (size + 7) >> 3
+        stop = np.cumsum(n)
+        k = np.arange(stop[-1] if len(n) else 0) - np.repeat(stop - n, n)
+        at = np.repeat(self.starts, n) + 8 * k
+        x = self.texts.eights()[at] & _MASKS[np.minimum(np.repeat(self.ends, n) - at, 8)]
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(mix(x) + _STEP * (k + 1).astype(U)), dtype=U)])
+        return mix(sums[stop] - sums[stop - n] + _STEP * size.astype(U))
 
     def count(self, mask: np.ndarray) -> np.ndarray:
         c = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
@@ -141,6 +135,13 @@ class Spans:
         return self.count(mask) > 0
 
 
+def ranges(data: np.ndarray, cuts: np.ndarray) -> Spans:
+    """Spans of bytes that lie one after the other, cut at these places."""
+    texts = Texts(pa.array([], pa.string()))
+    texts.data, texts.starts, texts.ends, texts.n = data, cuts[:-1], cuts[1:], len(cuts) - 1
+    return Spans(texts, texts.starts, texts.ends)
+
+
 def windows(doc: np.ndarray, size: int) -> np.ndarray:
     """Places where size entries in a row are of one text."""
     if len(doc) < size:
@@ -152,20 +153,47 @@ def ngrams(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Hashes of size entries in a row, from each place in at."""
     out = np.full(len(at), U(size))
     for i in range(size):
-        out = out * U(0x9E3779B97F4A7C15) + h[at + i]
+        out = out * _STEP + h[at + i]
         out ^= out >> U(31)
     return mix(out)
 
 
-def repeated(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For entries in order: whether an equal one is in the same text, and whether an earlier one is."""
+def equal(a: Spans, i: np.ndarray, b: Spans, j: np.ndarray) -> np.ndarray:
+    """Whether entries i of a hold the same bytes as entries j of b."""
+    start, other, size = a.starts[i], b.starts[j], a.ends[i] - a.starts[i]
+    out = size == b.ends[j] - other
+    n = np.where(out, (size + 7) >> 3, 0)
+    own = np.repeat(np.arange(len(n)), n)
+    k = 8 * (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n))
+    differ = (a.texts.eights()[start[own] + k] ^ b.texts.eights()[other[own] + k]) & _MASKS[np.minimum(size[own] - k, 8)]
+    out[own[differ != 0]] = False
+    return out
+
+
+def repeated(doc: np.ndarray, h: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For entries in order: whether an equal one is in the same text, and whether an earlier one is.
+
+    same says whether entries i equal entries j; only those of one hash are asked about.
+    """
     key = mix(h ^ mix(doc.astype(U) + U(1)))
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = np.zeros(len(k) + 1, bool)
-    same[1:-1] = k[1:] == k[:-1]
+    while True:
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        alike = np.flatnonzero(k[1:] == k[:-1])
+        i, j = order[alike], order[alike + 1]
+        wrong = (doc[i] != doc[j]) | ~same(i, j)
+        if not wrong.any():
+            break
+        for one in np.unique(k[alike[wrong]]):  # unequal entries of one hash get hashes of their own
+            firsts: list[int] = []
+            for m in np.flatnonzero(key == one):
+                r = next((r for r, f in enumerate(firsts) if doc[f] == doc[m] and same(np.array([f]), np.array([m]))[0]), len(firsts))
+                firsts += [m] * (r == len(firsts))
+                key[m] = mix(key[m : m + 1] + _STEP * np.full(1, r, U))[0] if r else one
+    again = np.zeros(len(k) + 1, bool)
+    again[1:-1] = k[1:] == k[:-1]
     twice, later = np.empty(len(k), bool), np.empty(len(k), bool)
-    twice[order], later[order] = same[1:] | same[:-1], same[:-1]
+    twice[order], later[order] = again[1:] | again[:-1], again[:-1]
     return twice, later
 
 

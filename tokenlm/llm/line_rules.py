@@ -55,7 +55,7 @@ def measure(col: pa.Array) -> tuple[dict, K.Spans, np.ndarray]:
 
     later = np.zeros(n_lines, bool)
     at = np.flatnonzero(some)
-    later[at] = K.repeated(lines.doc[at], lines.hashes()[at])[1]
+    later[at] = K.repeated(lines.doc[at], lines.hashes()[at], lambda i, j: K.equal(lines, at[i], lines, at[j]))[1]
 
     last = data[words.ends - 1] if len(words) else np.zeros(0, np.uint8)
     long = words.ends - words.starts > 1
@@ -64,6 +64,8 @@ def measure(col: pa.Array) -> tuple[dict, K.Spans, np.ndarray]:
     up = (words.count(_UP[data]) >= 2) & ~words.contain(_DOWN[data])
     same = np.zeros(len(words), bool)
     same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+    one = np.flatnonzero(same)
+    same[one] = K.equal(words, one, words, one - 1)
     bar = ~long & (last == 124)
     final = np.zeros(n_lines, bool)
     final[line] = _STOP[last]  # of a line's words the last one's stays
@@ -81,7 +83,8 @@ def measure(col: pa.Array) -> tuple[dict, K.Spans, np.ndarray]:
     )
 
     places = K.windows(words.doc, WINDOW)
-    twice = places[K.repeated(words.doc[places], K.ngrams(h, places, WINDOW))[0]]
+    same_words = lambda i, j: np.logical_and.reduce([K.equal(words, places[i] + d, words, places[j] + d) for d in range(WINDOW)])
+    twice = places[K.repeated(words.doc[places], K.ngrams(h, places, WINDOW), same_words)[0]]
     cover = np.zeros(len(words) + WINDOW + 1, np.int64)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + WINDOW, -1)

@@ -17,6 +17,7 @@ ordinary text.
 
 from __future__ import annotations
 
+import array
 import functools
 import zlib
 
@@ -32,8 +33,10 @@ from tokenlm.llm.frames import Batches, pick
 from tokenlm.llm.session import written
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
-#: Known chunks between spaces, and known words; either table is emptied beyond this.
-PLACES, CORES = 1_200_000, 600_000
+#: Bytes of the table of known chunks, and known words; either is emptied beyond this, and both when a task ends.
+TABLE_BYTES, CORES = 32 << 20, 100_000
+#: Longer chunks are encoded anew each time.
+CHUNK_BYTES = 64
 _MARKS = ".,;:!?|%$&*#"
 #: Bytes of chunks: all but these four kinds of white space, which no token of the tokenizer spans.
 _CHUNK = np.ones(256, bool)
@@ -43,9 +46,10 @@ _CHUNK[list(b" \n\t\r")] = False
 class Encoder:
     """Ids of whole texts. Chunks between spaces have ids of their own, because the tokenizer drops white space.
 
-    Chunks are byte ranges, looked up by a 64-bit hash of their bytes with A-Z lower-cased. A new chunk is lower-cased as the
-    tokenizer does (where that is the same in Python), and marks at its end are split off, which the tokenizer does
-    too, so that forms of a known word take no new encoding.
+    Chunks are byte ranges with A-Z lower-cased. Known ones are found by a hash and then compared byte by byte, so
+    chunks that share a hash are told apart. A new chunk is lower-cased as the tokenizer does (where that is the same
+    in Python), and marks at its end are split off, which the tokenizer does too, so that forms of a known word take
+    no new encoding. The table of known chunks is a few arrays, whose bytes are bounded.
     """
 
     def __init__(self, path: str):
@@ -54,12 +58,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cores: dict[str, bytes] = {"": b""}
         self.clear()
 
     def clear(self) -> None:
-        """Forgets all chunks: place of each hash, and start and size of each place's ids."""
-        self.places: dict[int, int] = {}
+        """Forgets all words and chunks: hashes in order, their places, and the bytes and ids of each place."""
+        self.cores: dict[str, bytes] = {"": b""}
+        self.keys, self.place = np.zeros(0, K.U), np.zeros(0, np.int32)
+        self.data, self.data_cuts = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.flat, self.cuts = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def parts(self, chunk: str) -> tuple[str, str]:
@@ -70,38 +75,70 @@ class Encoder:
             core, tail = chunk, ""
         return (core if core.isascii() or max(core) > "\xff" else core.lower()), tail
 
-    def learn(self, hashes: list[int], chunks: list[str]) -> None:
+    def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in a row, and where each chunk's end."""
+        if len(self.cores) > CORES:
+            self.cores = {"": b""}
+        code = "H" if self.kind.itemsize == 2 else "I"
         split = [self.parts(c) for c in chunks]
         new = list({p: None for both in split for p in both if p not in self.cores})
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            self.cores[c] = np.array(e.ids, self.kind).tobytes()
-        ids = [self.cores[core] + self.cores[tail] for core, tail in split]
-        self.places.update(zip(hashes, range(len(self.places), len(self.places) + len(hashes)), strict=True))
-        sizes = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), self.kind)])
-        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
+            self.cores[c] = array.array(code, e.ids).tobytes()
+        found = [self.cores[core] + self.cores[tail] for core, tail in split]
+        return np.frombuffer(b"".join(found), self.kind), np.cumsum(np.array([len(x) for x in found], np.int64)) // self.kind.itemsize
+
+    def known(self, spans: K.Spans, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of chunks (-1: not in the table), and which are new to the table rather than at odds with it."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int64), np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        place, met = self.place[at].astype(np.int64), self.keys[at] == hashes
+        same = np.flatnonzero(met)
+        same = same[K.equal(spans, first[same], K.ranges(self.data, self.data_cuts), place[same])]
+        out = np.full(len(hashes), -1, np.int64)
+        out[same] = place[same]
+        return out, ~met
+
+    def keep(self, hashes: np.ndarray, chunks: list[bytes], flat: np.ndarray, cuts: np.ndarray) -> None:
+        """Adds chunks to the table. hashes: in order; flat, cuts: their ids and where each chunk's end."""
+        where = np.searchsorted(self.keys, hashes)
+        self.place = np.insert(self.place, where, np.arange(len(self.cuts) - 1, len(self.cuts) - 1 + len(hashes)))
+        self.keys = np.insert(self.keys, where, hashes)
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(chunks), np.uint8)])
+        self.data_cuts = np.concatenate([self.data_cuts, self.data_cuts[-1] + np.cumsum([len(c) for c in chunks])])
+        self.flat, self.cuts = np.concatenate([self.flat, flat]), np.concatenate([self.cuts, self.cuts[-1] + cuts])
 
     def encode_column(self, col: pa.Array) -> list[np.ndarray]:
-        if len(self.places) > PLACES:
+        if sum(x.nbytes for x in (self.keys, self.place, self.data, self.data_cuts, self.flat, self.cuts)) > TABLE_BYTES:
             self.clear()
-        if len(self.cores) > CORES:
-            self.cores = {"": b""}
         t = K.Texts(col, lower=True)
         spans = t.runs(_CHUNK)
-        found, first, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
-        keys = found.tolist()
-        place = np.array([self.places.get(h, -1) for h in keys], np.int64)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            place[new] = len(self.places) + np.arange(len(new))
-            raw = t.data.tobytes()
-            self.learn([keys[i] for i in new], [raw[spans.starts[i] : spans.ends[i]].decode() for i in first[new]])
+        hashes, first, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~K.equal(spans, np.arange(len(spans)), spans, first[which]))  # unequal chunks of one hash
+        which[odd] = len(hashes) + np.arange(len(odd))
+        place, fresh = self.known(spans, hashes, first)
+        first = np.concatenate([first, odd])
+        fresh = np.concatenate([fresh & (spans.ends[first[: len(hashes)]] - spans.starts[first[: len(hashes)]] <= CHUNK_BYTES), np.zeros(len(odd), bool)])
+        place = np.concatenate([place, np.full(len(odd), -1)])
+        flat, cuts = self.flat, self.cuts
+        raw = t.data.tobytes()
+        for store in (True, False):
+            new = np.flatnonzero((place < 0) & (fresh == store))
+            if not len(new):
+                continue
+            chunks = [raw[spans.starts[i] : spans.ends[i]] for i in first[new]]
+            ids, ends = self.ids([c.decode() for c in chunks])
+            place[new] = len(cuts) - 1 + np.arange(len(new))
+            if store:
+                self.keep(hashes[new], chunks, ids, ends)
+                flat, cuts = self.flat, self.cuts
+            else:
+                flat, cuts = np.concatenate([flat, ids]), np.concatenate([cuts, cuts[-1] + ends])
         of = place[which]
-        size = self.cuts[of + 1] - self.cuts[of]
-        total = int(size.sum())
-        running = np.arange(total)
-        out = np.full(total + t.n, END_ID, self.kind)
-        out[running + np.repeat(spans.doc, size)] = self.flat[running + np.repeat(self.cuts[of] - (np.cumsum(size) - size), size)]
+        size = cuts[of + 1] - cuts[of]
+        running = np.arange(int(size.sum()))
+        out = np.full(len(running) + t.n, END_ID, self.kind)
+        out[running + np.repeat(spans.doc, size)] = flat[running + np.repeat(cuts[of] - (np.cumsum(size) - size), size)]
         stops = np.cumsum(np.bincount(spans.doc, size, t.n).astype(np.int64) + 1)
         return np.split(out, stops[:-1]) if t.n else []
 
@@ -125,17 +162,22 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(WINDOW + 1, np.int64)
-        for batch in batches:
-            for part in K.slices(batch):
-                rows: list[tuple] = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).encode_column(part.column(1)), strict=True):
-                    for start in range(0, len(ids), WINDOW):
-                        piece = ids[start : start + WINDOW]
-                        n = len(piece)
-                        rows.append((doc_id, start, n, len(ids), crc(piece), None if n == WINDOW else piece.tobytes(), task, int(seen[n])))
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "task", "number"])
-
+        try:
+            for batch in batches:
+                for part in K.slices(batch):
+                    rows: list[tuple] = []
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).encode_column(part.column(1)), strict=True):
+                        for start in range(0, len(ids), WINDOW):
+                            piece = ids[start : start + WINDOW]
+                            n = len(piece)
+                            rows.append((doc_id, start, n, len(ids), crc(piece), None if n == WINDOW else piece.tobytes(), task, int(seen[n])))
+                            seen[n] += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        finally:
+            encoder(path).clear()
+
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "task", "number"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, start long, length int, doc_tokens long, ids_crc32 long, ids binary, task int, number long")
 
 
@@ -153,31 +195,30 @@ def nnls(used: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x of non-negative numbers with the least |ax - b|, by the active-set method of Lawson and Hanson.
 
     used[j] holds the rows (from 1; 0: none) that column j of a counts, once for each time. The inverse of the active
-    columns' products is kept up to date by bordering, so a step takes no matrix decomposition.
+    columns' products is kept up to date by bordering, so a step takes no matrix decomposition. Every step that counts
+    makes the rest smaller, so no set of active columns comes back; a column whose step doesn't waits for one that does.
     """
     n, m = len(used), len(b)
-    x, banned = np.zeros(n), np.zeros(n, bool)
+    x, waits = np.zeros(n), np.zeros(n, bool)
     tolerance = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     active: list[int] = []
     columns, inverse = np.zeros((0, m)), np.zeros((0, 0))
+    least = float(b @ b)
 
-    def column(j: int) -> np.ndarray:
-        return np.bincount(used[j], minlength=m + 1)[1:].astype(float)
-
-    for _ in range(6 * m):
+    while True:
         rest = np.concatenate([[0.0], b - x[active] @ columns])
         gain = rest[used].sum(1)
         gain[active] = -np.inf
-        gain[banned] = -np.inf
+        gain[waits] = -np.inf
         j = int(np.argmax(gain))
         if gain[j] <= tolerance:
-            break
-        c = column(j)
+            return x
+        c = np.bincount(used[j], minlength=m + 1)[1:].astype(float)
         u = columns @ c
         v = inverse @ u
         s = float(c @ c - u @ v)
         if s < 1e-9:  # depends on the active columns
-            banned[j] = True
+            waits[j] = True
             continue
         inverse = np.block([[inverse + np.outer(v, v) / s, -v[:, None] / s], [-v[None, :] / s, np.array([[1 / s]])]])
         columns = np.vstack([columns, c])
@@ -199,7 +240,12 @@ def nnls(used: np.ndarray, b: np.ndarray) -> np.ndarray:
             inverse = inverse[np.ix_(keep, keep)] - np.outer(inverse[keep, i], inverse[i, keep]) / inverse[i, i]
             columns = columns[keep]
             del active[i]
-    return x
+        off = b - x[active] @ columns
+        now = float(off @ off)
+        if now < least * (1 - 1e-12):
+            least, waits[:] = now, False
+        else:
+            waits[j] = True
 
 
 class Plan:
