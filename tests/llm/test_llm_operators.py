@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables with nulls, empties, ties, repeats and clashing columns."""
 
 import collections
+import glob
 import hashlib
 import random
 import re
@@ -209,11 +210,45 @@ def test_hilbert(docs, none):
     assert hilbert.shard(none).count() == 0
 
 
+def test_hilbert_order(spark):
+    """Shards are runs of the curve's order, which a sort by hand gives too, with ranks of strings however many there are."""
+    r = random.Random(7)
+    rows = [(i if i % 50 else None, r.choice(["x", "yy" * 40, "z" * 3000, None]), r.choice(["de", "en", "fr", None]), f"s{r.randrange(5000):05d}", r.choice([None, 0, 3, 77, 5000, 123456])) for i in range(6000)]
+    docs = spark.createDataFrame(rows, COLUMNS.split(", kept")[0])
+    values = sorted({x[3] for x in rows})
+    assert len(values) > 3000
+
+    def cell(v, some):
+        return 0 if v is None else 1 + some.index(v) * 63 // len(some)
+
+    place = {v: 1 + k * 63 // len(values) for k, v in enumerate(values)}
+    size = lambda n: 0 if n is None else min(int(np.floor(np.log2(n + 1) * 2)) + 1, 63)
+    cells = np.array([[size(x[4]), cell(x[2], ["de", "en", "fr"]), place[x[3]]] for x in rows])
+    index = hilbert.curve_index(cells, hilbert.BITS)
+    got = hilbert.shard(docs).collect()
+    byte = lambda t: (t or "").encode()
+    key = lambda k: (index[k], rows[k][0] is not None, rows[k][0] or 0, zlib.crc32(byte(rows[k][1])), len(byte(rows[k][1])))
+    want = [(int(index[k]), rows[k][0], zlib.crc32(byte(rows[k][1]))) for k in sorted(range(6000), key=key)]
+    assert [(x.curve, x.doc_id, x.text_crc32) for x in sorted(got, key=lambda x: (x.shard, x.slot))] == want
+    for x in got[:200]:
+        assert x.min_source <= x.max_source and x.min_lang <= x.max_lang
+
+
 def test_shard_files(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"text {i}", "abcd"[i % 4], f"s{i % 5}", i * 7 % 100) for i in range(200)], COLUMNS.split(", kept")[0])
-    ranges = hilbert.write_shards(hilbert.shard(docs, 8), docs, str(tmp_path / "out"))
-    hit = hilbert.prune(ranges, "n_chars", 90, 99)
-    assert spark.read.parquet(str(tmp_path / "out")).filter("n_chars >= 90").select("shard").distinct().count() <= len(hit) <= 8
+    """Files hold all rows, and a predicate's shards are few and miss none that has a matching row."""
+    r = random.Random(3)
+    rows = [(i % 900, f"text {i}", r.choice("abcd"), f"s{r.randrange(400):03d}", r.randrange(1, 20000), i) for i in range(4000)]
+    docs = spark.createDataFrame(rows, COLUMNS.split(", kept")[0] + ", shard int")
+    ranges = hilbert.write_shards(docs, str(tmp_path / "out"), 40).cache()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(rows)
+    assert sorted(x.rows for x in ranges.collect()) == [100] * 40
+    home = {x.shard: x.hilbert_shard for x in back.select("shard", "hilbert_shard").collect()}
+    for column, at, low, high in (("source", 3, "s100", "s110"), ("n_chars", 4, 100, 300), ("lang", 2, "b", "b"), ("source", 3, "s399", "s399")):
+        need = {home[x[5]] for x in rows if low <= x[at] <= high}
+        hit = set(hilbert.prune(ranges, column, low, high))
+        assert need <= hit and len(hit) <= 20
+    assert set(hilbert.prune(ranges, "lang", "e", "z")) == set()
 
 
 def test_license_scan(docs, none, texts):
@@ -530,14 +565,68 @@ def test_near_duplicates_with_other_shingles(spark):
 def test_importance_fit_with_repeated_labelled_rows(spark, monkeypatch):
     """Repeated doc_ids don't push labelled rows with large ratios out of the fit."""
     seen = []
-    monkeypatch.setattr(importance, "LABEL_ROWS", 40)
+    monkeypatch.setattr(importance, "LABEL_ROWS", 120)
     monkeypatch.setattr(importance, "logistic", lambda x, y: seen.append((x, y)) or (1.0, 0.0))
     r = random.Random(5)
-    rows = [(i, " ".join(r.choices(["alpha", "beta", "gamma"] if i % 2 else ["one", "TWO|", "three", "##"], k=20))) for i in range(40) for _ in range(4)]
+    rows = [(i, " ".join(r.choices(["alpha", "beta", "gamma"] if i % 2 else ["one", "TWO|", "three", "##"], k=20))) for i in range(120) for _ in range(4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    importance.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    importance.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
     x, y = seen[0]
-    assert len(y) == 40 and sum(y) == 20 and min(x[y == 1]) > max(x[y == 0])
+    mine = [i for i in range(120) if zlib.crc32(str(i).encode()) % 10 in importance.CALIBRATION]
+    assert len(y) == len(mine) and sum(y) == sum(i % 2 for i in mine) and min(x[y == 1]) > max(x[y == 0])
+
+
+def test_importance_matches_brute_force(spark):
+    """Weights, keys and the k largest, counted word by word; target and calibration labels are apart."""
+    r = random.Random(11)
+    good = ["alpha", "beta", "Gamma.", "delta", "x1"]
+    rows = [(i, " ".join(r.choices(good if i % 3 else [*good, "BUY", "##", "|", "now!!"], k=r.randint(1, 30)))) for i in range(300)] + [(300, None), (301, " "), (5, "alpha beta"), (None, "alpha beta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+
+    def shape(words, k):
+        w = words[k]
+        up, down = sum("A" <= c <= "Z" for c in w), any("a" <= c <= "z" for c in w)
+        traits = (up >= 2 and not down, len(w) > 1 and w[-1] == w[-2] and w[-1] in ".!?", any(c in "#*$%&|<>" for c in w), w == "|", k > 0 and words[k - 1] == w, w[-1] in ".!?", "A" <= w[0] <= "Z" and down, any(c.isdigit() for c in w))
+        return int(K.mix(np.array([sum(int(t) << i for i, t in enumerate(traits)) + 1], np.uint64))[0])
+
+    def bag(text):
+        words = WORD.findall(text or "")
+        h = [int(K.Texts(pa.array([w])).runs(K.NOT_SPACE).hashes()[0]) for w in words]
+        shapes, out = [shape(words, k) for k in range(len(words))], []
+        for entries, sizes in ((h, (1, 2)), (shapes, (1, 2, 3))):
+            for n in sizes:
+                out += [int(K.ngrams(np.array(entries[i : i + n], np.uint64), np.array([0]), n)[0] >> np.uint64(48)) for i in range(len(entries) - n + 1)]
+        return out
+
+    bags = [bag(t) for _, t in rows]
+    raw, target = collections.Counter(), collections.Counter()
+    part = lambda i: zlib.crc32(str(i).encode()) % 10
+    for (i, _), b in zip(rows, bags):
+        raw.update(b)
+        if i is not None and i < 300 and i % 2 == 0 and i % 3 and part(i) in importance.TARGET:
+            target.update(b)
+    top, bottom = sum(target.values()) + importance.BUCKETS, sum(raw.values()) + importance.BUCKETS
+    mean = [np.mean([np.log((target[x] + 1) / top) - np.log((raw[x] + 1) / bottom) for x in b]) if b else 0.0 for b in bags]
+    labelled = [k for k, (i, _) in enumerate(rows[:300]) if i % 2 == 0 and part(i) in importance.CALIBRATION]
+    slope, offset = importance.logistic(np.array([mean[k] for k in labelled]), np.array([int(rows[k][0] % 3 > 0) for k in labelled], float))
+    p = 1 / (1 + np.exp(-(slope * np.array([mean[k] for k in labelled]) + offset)))
+    assert abs(np.sum(p - [rows[k][0] % 3 > 0 for k in labelled])) < 0.05  # the likelihood's gradient, but for the ridge
+    weight = [slope * m + offset if b else 0.0 for m, b in zip(mean, bags)]
+
+    def gumbel(i, text):
+        one = lambda s: int(K.Spans(t := K.Texts(pa.array([s])), t.starts, t.ends).hashes()[0])
+        mix = lambda x: int(K.mix(np.array([x % (1 << 64)], np.uint64))[0])
+        u = ((mix(one("" if i is None else str(i)) + mix(one(text or "") + importance.SEED)) >> 11) + 0.5) / (1 << 53)
+        return -np.log(-np.log(u))
+
+    key = [w + gumbel(i, t) if b else -2000.0 for w, (i, t), b in zip(weight, rows, bags)]
+    for k in (None, 50):
+        got = importance.resample(docs, labels, k).collect()
+        n = sum(w > 0 and bool(b) for w, b in zip(weight, bags)) if k is None else k
+        least = sorted((x for x, b in zip(key, bags) if b), reverse=True)[n - 1]
+        want = sorted((str(i), len(b), round(w, 6), round(x, 6), bool(b) and x >= least) for (i, _), b, w, x in zip(rows, bags, weight, key))
+        assert sorted((str(x.doc_id), x.n_grams, round(x.log_weight, 6), round(x.gumbel_key, 6), x.kept) for x in got) == want
 
 
 def thue_morse(n):
@@ -603,3 +692,219 @@ def test_least_squares_matches_brute_force():
             assert (x >= 0).all() and float(((b - a @ x) ** 2).sum()) == pytest.approx(best, abs=1e-6)
             gain = a.T @ (b - a @ x)
             assert (gain <= 1e-6).all() and np.abs(gain[x > 1e-9]).max(initial=0) < 1e-6
+
+
+HAND_WRITTEN = [
+    ("Write to jane (at) example.com for details", [("email", "jane (at) example.com")]),
+    ("my address is john.smith at gmail dot com, thanks", [("email", "john.smith at gmail dot com")]),
+    ("mail bob[at]corp[dot]org now", [("email", "bob[at]corp[dot]org")]),
+    ("anna_b (at) uni-bonn (dot) de schrieb", [("email", "anna_b (at) uni-bonn (dot) de")]),
+    ("You can ping 10 dot 0 dot 0 dot 1 at night", [("ip", "10 dot 0 dot 0 dot 1")]),
+    ("server 192[.]168[.]0[.]1 is down", [("ip", "192[.]168[.]0[.]1")]),
+    ("Ring 020 7946 0958 after six", [("phone", "020 7946 0958")]),
+    ("Call (212) 555-0187 today", [("phone", "(212) 555-0187")]),
+    ("Tel. 030/1234567 oder per Mail", [("phone", "030/1234567")]),
+    ("Appelez le 06 12 34 56 78 demain", [("phone", "06 12 34 56 78")]),
+    ("Llame al 912 345 678 por la tarde", [("phone", "912 345 678")]),
+    ("Rufen Sie 0171-1234567 an", [("phone", "0171-1234567")]),
+    ("Meine Nummer ist 0151 23456789.", [("phone", "0151 23456789")]),
+    ("card 4111.1111.1111.1111 expired", [("card", "4111.1111.1111.1111")]),
+    *[(t, []) for t in (
+        "Version 1.2.3.4000 released on 2024-01-15", "In 1914 1918 the war", "We met at noon dot and left", "The score was 12-10 and 9-7", "population 1 234 567 in 2020", "meet me at home", "ISBN 978-3-16-148410-0 is printed",
+        "Order 4711-0815 shipped", "on 12.05.2021 at 10:30", "page 123 456", "costs 1,234,567 dollars", "look at example.com for more", "he is at work. com is a word", "from 2001 2002 2003 2004 on", "the ratio 3.14159 2.71828", "look at the red dot on the map",
+    )],
+]
+
+
+@pytest.mark.parametrize("text, want", HAND_WRITTEN)
+def test_pii_hand_written(text, want):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text, pii.weights())[1]] == want
+
+
+@pytest.mark.parametrize("text", ["a(@)b" + "dotb" * 4000 + "%", "a(@)b" + "dotb" * 100 + "%", "1" * 200_000, "1." * 100_000, "+1(((" * 40_000, "a@" * 40_000, "@b.c" * 20_000, "(at)" * 20_000, "a dot " * 2000, "1 " * 4000])
+def test_pii_takes_linear_time(text):
+    import time
+
+    w = pii.weights()
+    began = time.process_time()
+    pii.find(text, w)
+    assert time.process_time() - began < 6
+
+
+def test_license_spans_match_brute_force():
+    """Of all places of all notices, those that meet none with fewer edits; places by word, labels and score."""
+    r = random.Random(21)
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(0, 5)):
+            v = list(r.choice(license_scan.NOTICES)[0].replace("|", ""))
+            for _ in range(r.randint(0, 3)):
+                k = r.randrange(len(v))
+                v[k : k + 1] = r.choice([[], ["x"], [v[k], "q"], [" "]])
+            parts.append("".join(v) + r.choice(["", "s", " a", " of it", ", license", ".\n"]))
+        text = " ".join(parts)
+        norm, n = license_scan.normal(text)
+        found = set()
+        for notice in license_scan.notices():
+            for a, b, e in notice.search(norm):
+                first = norm[:a].count(b" ") - 1
+                found.add((first, first + norm[a:b].count(b" "), notice.label, e))
+        want = sorted(s for s in found if not any(t[3] < s[3] and t[0] <= s[1] and s[0] <= t[1] for t in found))
+        got = license_scan.scan(text)
+        assert got["spans"] == ",".join(f"{label}:{a}:{b}:{e}" for a, b, label, e in want)
+        base = {label for _, label in license_scan.base_places(norm)}
+        assert got["labels"] == ",".join(sorted(base | {s[2] for s in want})) and got["n_words"] == n
+    for text, labels in (("under the mit licens under the mit license", "mit"), ("under the mit licens xunder the mit license", "mit"), ("the MIT license", "mit"), ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: MPL-2.0", ""), ("under the MPL license", "mpl"), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this", "mit")):
+        assert license_scan.scan(text)["labels"] == labels
+    assert license_scan.scan("under the mit licens under the mit license")["spans"] == "mit:0:3:1,mit:4:7:0,mit:5:7:0"
+
+
+def test_license_scan_takes_linear_time():
+    import time
+
+    times = []
+    for n in (2000, 16_000):
+        began = time.process_time()
+        license_scan.scan("Released under the mit licens, see file.\n" * n)
+        times.append(time.process_time() - began)
+    assert times[1] < 20 * times[0] + 1
+
+
+def slow_demux(media):
+    """A transport stream read packet by packet, with every field by hand: payload, timestamps and random-access flags."""
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    pid = lambda p: (p[1] & 31) << 8 | p[2]
+    body = lambda p: p[4 + (1 + p[4] if p[3] & 32 else 0) :]
+
+    def section(p):
+        b = body(p)
+        b = b[1 + b[0] :]
+        return b[: 3 + ((b[1] & 15) << 8 | b[2])]
+
+    pmt = section(next(p for p in packets if pid(p) == 0))
+    assert transport_stream.crc32_mpeg(pmt) == 0
+    at = (pmt[10] & 31) << 8 | pmt[11]
+    table = section(next(p for p in packets if pid(p) == at))
+    assert transport_stream.crc32_mpeg(table) == 0
+    info = (table[10] & 15) << 8 | table[11]
+    own = (table[12 + info + 1] & 31) << 8 | table[12 + info + 2]
+    found, count = [], None
+    for p in packets:
+        if pid(p) != own:
+            continue
+        assert p[0] == 0x47 and (count is None or p[3] & 15 == (count + 1) % 16)
+        count = p[3] & 15
+        if p[1] & 64:
+            found.append([b"", bool(p[3] & 32 and p[4] and p[5] & 64)])
+        found[-1][0] += body(p)
+    payload, stamps = b"", []
+    for pes, _ in found:
+        assert pes[:3] == b"\0\0\1" and len(pes) == 6 + (pes[4] << 8 | pes[5]) and pes[7] >> 6 == 2
+        t = pes[9:14]
+        stamps.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
+        payload += pes[9 + pes[8] :]
+    return payload, stamps, [x for _, x in found]
+
+
+def test_transport_stream_matches_a_reader_by_hand(docs, texts):
+    rows = of(transport_stream.describe(transport_stream.stored_media(docs)))
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        media = transport_stream.mux(transport_stream.payload_of(b))
+        payload, stamps, random_access = slow_demux(media)
+        x = rows[i][0]
+        assert payload == transport_stream.payload_of(b) and (x.media_bytes, x.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert [(u.pts, u.offset, u.random_access) for u in x.units] == [(s, 576 * k, a) for k, (s, a) in enumerate(zip(stamps, random_access))]
+        assert x.feature == f"pid=257;type=6;packets={len(media) // 188};units={len(stamps)};cc_errors=0;repeats=0;damaged=0;pts={stamps[0]}-{stamps[-1]};random_access={sum(random_access)}"
+
+
+def test_transport_stream_with_faults():
+    """Repeated packets count once; a lost one is a counter error and costs its unit; a flagged jump is no error."""
+    payload = bytes(range(256)) * 18
+    media = transport_stream.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    own = [k for k, p in enumerate(packets) if (p[1] & 31) << 8 | p[2] == transport_stream.STREAM_PID]
+    units = [k for k in own if packets[k][1] & 64]
+    twice = b"".join(p * (2 if k in own[::3] else 1) for k, p in enumerate(packets))
+    s = transport_stream.demux(twice)
+    assert s.payload == payload and s.repeats == len(own[::3]) and (s.cc_errors, s.damaged) == (0, 0)
+    for k in own:
+        s = transport_stream.demux(b"".join(p for j, p in enumerate(packets) if j != k))
+        n = max(u for u in units if u <= k)
+        lost = units.index(n)
+        assert s.payload == payload[: 576 * lost] + payload[576 * (lost + 1) :] or (k in units and lost and s.payload == payload[: 576 * (lost - 1)] + payload[576 * (lost + 1) :])
+        assert s.damaged >= 1 and s.cc_errors == (k not in (own[0], own[-1]))
+    error = bytearray(media)
+    error[188 * own[4] + 1] |= 0x80
+    assert transport_stream.demux(bytes(error)).cc_errors == 1
+    jump = bytearray(b"".join(packets[: units[3]] + packets[units[4] :]))
+    at = 188 * units[3]
+    assert transport_stream.demux(bytes(jump)).cc_errors == 1
+    jump[at + 5] |= 0x80
+    s = transport_stream.demux(bytes(jump))
+    assert s.cc_errors == 0 and s.damaged == 0 and s.payload == payload[: 576 * 3] + payload[576 * 4 :]
+
+
+def test_toxicity_forward_and_gradient():
+    """The forward pass word by word, and gradients by differences."""
+    net = toxicity.Net()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["e"] *= 30
+    col = pa.array(["a bad word here and there", "", "nice text", None, "one", "der schlimme Satz, mit Wörtern"])
+    words, counts = toxicity.encode(col)
+    label = np.array([1.0, 0, 0, 1, 0, 1])
+
+    def slow():
+        out, at = [], 0
+        for n in counts:
+            x = [sum(net.p["e"][i] for i in words[at + k]) for k in range(n)] or [net.p["e"][0] * 7]
+            at += n
+            z = net.p["c"][0]
+            for i, w in enumerate(toxicity.WIDTHS):
+                for f in range(toxicity.FILTERS):
+                    reach = [sum(float(x[k + j] @ net.p[f"w{w}"][j][:, f]) for j in range(w) if k + j < len(x)) for k in range(len(x))]
+                    z += max(0.0, max(reach) + net.p["b"][i * toxicity.FILTERS + f]) * net.p["v"][i * toxicity.FILTERS + f]
+            out.append(z)
+        return np.array(out)
+
+    fast = net.forward(*net.rows(words, counts))[-1]
+    assert np.allclose(fast, slow())
+    loss = lambda: float(np.mean(np.logaddexp(0, z := net.forward(*net.rows(words, counts))[-1]) - label * z))
+    grad, rows, d = net.gradients(words, counts, label)
+    r = np.random.default_rng(0)
+    for name, g in grad.items():
+        for k in r.choice(g.size, min(g.size, 12), replace=False):
+            p = net.p[name].reshape(-1)
+            p[k] += 1e-6
+            up = loss()
+            p[k] -= 2e-6
+            down = loss()
+            p[k] += 1e-6
+            assert g.reshape(-1)[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+    for i, row in enumerate(rows[:20]):
+        if row:
+            net.p["e"][row, 0] += 1e-6
+            up = loss()
+            net.p["e"][row, 0] -= 2e-6
+            down = loss()
+            net.p["e"][row, 0] += 1e-6
+            assert d[i, 0] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Texts beyond the bound aren't fetched, and repeated doc_ids give one row each."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    docs = spark.createDataFrame([(i, "x" * (150 if i % 3 else 100_000), "en") for i in range(40) for _ in range(3)], "doc_id long, text string, lang string")
+    rows = toxicity.chosen(docs, [(i, i % 2) for i in range(60)])
+    assert len(set(rows["doc_id"].to_pylist())) == rows.num_rows > 10 and sum(map(len, rows["text"].to_pylist())) <= 4000
+
+
+@pytest.mark.skipif(not glob.glob("/root/testdata/sf0.01/labels.parquet"), reason="no test data")
+def test_held_out_figures(spark):
+    """On rows that training never sees, both classifiers tell the labels apart."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    y = {x.doc_id: (x.quality, x.toxic) for x in labels.collect()}
+    tox = [(x.predicted, y[x.doc_id][1]) for x in toxicity.toxicity(docs, labels).collect() if x.held_out and x.doc_id in y]
+    assert np.mean([a == b for a, b in tox]) > 0.97
+    good = [(x.log_weight > 0, y[x.doc_id][0]) for x in importance.resample(docs, labels).collect() if x.doc_id in y and zlib.crc32(str(x.doc_id).encode()) % 10 == 9]
+    assert len(good) > 20 and np.mean([a == b for a, b in good]) > 0.95

@@ -2,7 +2,8 @@
 
 Every round joins vertices to the smallest neighbour they have, until the links form stars whose centre is their component's
 smallest vertex. Rounds are written to the shared folder; nothing but a row count and a checksum of the links comes to
-the driver. Minima are pre-aggregated, and links go back to them by joins, so a hub's links are split over tasks.
+the driver. Minima are pre-aggregated and written, and links go back to them by joins of two tables that Spark can split
+where a hub has many links (adaptive skew joins).
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ MAX_ROUNDS = 60
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
     return both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("m").alias("a"), "b")
 
 
 def _small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m")
+    least = written(links.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m"), "least")
     moved = links.join(least, F.col("b") == F.col("u")).select(F.col("m").alias("x"), F.col("a").alias("y"))
     return moved.union(least.select(F.col("m").alias("x"), F.col("u").alias("y"))).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -33,10 +34,12 @@ def components(links: DataFrame) -> DataFrame:
     now = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(MAX_ROUNDS):
-        now = written(_small(_large(now).distinct()).distinct(), "stars")
+        now = written(_small(written(_large(now).distinct(), "large")).distinct(), "stars")
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if seen == mark or not seen[0]:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"links have not settled after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("b").alias("vertex"), F.col("a").alias("root"))
     return roots.union(now.select(F.col("a").alias("vertex"), F.col("a").alias("root")).distinct())

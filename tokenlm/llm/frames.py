@@ -9,11 +9,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenlm.llm.session import bounded
+
 Batches = Iterator[pa.RecordBatch]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first columns of exactly these names. Others may repeat them or differ in case only."""
+    bounded(df.sparkSession)
     columns = df.columns
     plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
     return plain.select(*[F.col(f"c{columns.index(n)}").alias(n) for n in names])
@@ -40,6 +43,7 @@ def arrow_rewrite(df: DataFrame, change: Callable[[pa.RecordBatch], tuple]) -> D
     """
     from tokenlm.llm import kernel
 
+    bounded(df.sparkSession)
     columns = df.columns
     at_id, at_text = columns.index("doc_id"), columns.index("text")
     at_n = columns.index("n_chars") if "n_chars" in columns else None

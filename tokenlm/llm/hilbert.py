@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve over metadata, for files that can be pruned by several columns.
 
 Columns are quantised to BITS bits: numbers by the logarithm of their size, strings by their rank among the column's distinct
-values (by a hash where there are more than MAX_VALUES of them). The cell's index on the curve orders the documents, ties by
+values, however many there are: a range sort numbers the values, and the first value of each cell (2^BITS - 2 at most) comes
+to the driver. Either keeps the column's order. The cell's index on the curve orders the documents, ties by
 doc_id and the text's checksum, and runs of that order are cut so that shards' counts differ by one at most (law
 rows). Neighbours on the curve are neighbours in every column, so a shard covers few cells and its ranges prune well.
 
@@ -17,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenlm.llm.frames import Batches, pick
 from tokenlm.llm.session import written
 
-SHARDS, BITS, MAX_VALUES, ROW_BYTES = 40, 6, 4096, 16
+SHARDS, BITS, ROW_BYTES = 40, 6, 16
 NUMBERS, STRINGS = ("n_chars",), ("lang", "source")
 
 
@@ -59,81 +61,99 @@ def number_cell(c: Column, bits: int = BITS) -> Column:
     return F.coalesce(F.least(F.floor(size * 2) + 1, F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
 
 
-def string_cells(df: DataFrame, column: str, bits: int = BITS) -> dict[str, int] | None:
-    """Cell of each distinct value, by rank; None where there are too many values."""
-    values = df.select(column).filter(F.col(column).isNotNull()).groupBy(column).count().limit(MAX_VALUES + 1).collect()
-    if len(values) > MAX_VALUES:
-        return None
-    names = sorted(r[0] for r in values)
+def numbered(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with their rank in the order of keys, as written; the ranks' starts by part of the sort, and how many rows there are."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    kept = written(placed, name)
+    total, starts = 0, []
+    for r in sorted(kept.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).collect()):  # a row for each part of the sort
+        starts.append((r.part, total))
+        total += r.n
+    small = F.broadcast(rows.sparkSession.createDataFrame(starts, "part int, before long"))
+    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    return kept.join(small, F.shiftright("place", 33) == F.col("part")).withColumn("rank", rank).drop("part", "before"), kept, total
+
+
+def first_values(df: DataFrame, column: str, bits: int = BITS) -> list[tuple[int, str]]:
+    """The first value of each cell, in order, if the column's distinct values fall into 2^bits - 1 cells by rank."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    ranked, _, total = numbered(values, [column], "values")
     room = (1 << bits) - 1
-    return {v: 1 + i * room // len(names) for i, v in enumerate(names)}
+    cell = lambda rank: F.floor(rank * room / F.lit(max(total, 1)))
+    starts = ranked.filter((F.col("rank") == 0) | (cell(F.col("rank")) > cell(F.col("rank") - 1))).select(cell(F.col("rank")).alias("cell"), column)
+    return [(int(r[0]), r[1]) for r in starts.orderBy("cell").collect()]
 
 
-def ordered(docs: DataFrame, numbers: tuple = NUMBERS, strings: tuple = STRINGS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """Documents with size, text_crc32, curve and place in the curve's order, as written; counts of its partitions."""
+def string_cell(c: Column, starts: list[tuple[int, str]]) -> Column:
+    """One more than the cell of the last first value that isn't larger; 0 for nulls."""
+    if not starts:
+        return F.lit(0).cast("long")
+    known = F.array(*[F.lit(v) for _, v in starts])
+    cells = F.array(*[F.lit(k + 1).cast("long") for k, _ in starts])
+    return F.when(c.isNull(), F.lit(0).cast("long")).otherwise(F.element_at(cells, F.greatest(F.size(F.filter(known, lambda v: v <= c)), F.lit(1))))
+
+
+def curved(docs: DataFrame, numbers: tuple = NUMBERS, strings: tuple = STRINGS, bits: int = BITS, whole: bool = False) -> DataFrame:
+    """Documents with size, text_crc32, the named columns and curve; whole: with all columns, as a struct."""
     rows = pick(docs, "doc_id", "text", *numbers, *strings)
-    maps = {c: string_cells(rows, c, bits) for c in strings}
+    if whole:
+        plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+        at = [plain[f"c{docs.columns.index(n)}"].alias(n) for n in ("doc_id", "text", *numbers, *strings)]
+        rows = plain.select(*at, F.struct(*plain.columns).alias("row"))
     text = F.coalesce("text", F.lit(""))
-    narrow = rows.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *[number_cell(F.col(c), bits).alias(c) for c in numbers], *strings)
-    width = len(numbers)
+    cells = [number_cell(F.col(c), bits) for c in numbers] + [string_cell(F.col(c), first_values(rows, c, bits)) for c in strings]
+    narrow = rows.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *numbers, *strings, *["row"] * whole, *[c.alias(f"cell{i}") for i, c in enumerate(cells)])
+    kept = narrow.schema[: len(narrow.columns) - len(cells)]
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cells = [np.asarray(c) for c in batch.columns[3 : 3 + width]]
-            for name, col in zip(strings, batch.columns[3 + width :], strict=True):
-                known = maps[name]
-                place = (lambda v, m=known: m[v]) if known is not None else (lambda v: 1 + hash_cell(v, bits))
-                cells.append(np.array([0 if v is None else place(v) for v in col.to_pylist()], np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(curve_index(np.stack(cells, 1), bits))], ["doc_id", "size", "text_crc32", "curve"])
+            if batch.num_rows:
+                n = len(kept)
+                index = curve_index(np.stack([np.asarray(c) for c in batch.columns[n:]], 1), bits)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(index)], [*kept.names, "curve"])
 
-    curved = narrow.mapInArrow(run, "doc_id long, size long, text_crc32 long, curve long").withColumn("tie", F.monotonically_increasing_id())
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["curve", "doc_id", "text_crc32", "size", "tie"]
-    placed = curved.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("tie").withColumn("place", F.monotonically_increasing_id())
-    kept = written(placed, "curve")
-    counts = kept.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n"))
-    return kept, counts
+    return narrow.mapInArrow(run, T.StructType([*kept.fields, T.StructField("curve", T.LongType())]))
 
 
-def hash_cell(value: str, bits: int) -> int:
-    import zlib
+KEYS = ["curve", "doc_id", "text_crc32", "size"]
 
-    return zlib.crc32(value.encode()) % ((1 << bits) - 1)
 
-
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null), curve."""
-    kept, counts = ordered(docs)
-    spark = docs.sparkSession
-    total, offsets = 0, []
-    for r in sorted(counts.collect()):  # a row for each partition of the sort
-        offsets.append((r.part, total))
-        total += r.n
-    small = F.broadcast(spark.createDataFrame(offsets, "part int, before long"))
+def cut(ranked: DataFrame, total: int, shards: int) -> DataFrame:
+    """Adds shard and slot: runs of ranks, the first ones longer by one."""
     least, more = divmod(total, shards)
-    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
     wide = F.lit(more * (least + 1))
-    ranked = kept.join(small, F.shiftright("place", 33) == F.col("part")).withColumn("rank", rank)
-    one = F.lit(least + 1)
-    in_wide = F.col("rank") < wide
-    rest = F.col("rank") - wide
-    number = F.when(in_wide, F.floor(F.col("rank") / one)).otherwise(more + F.floor(rest / F.lit(max(least, 1))))
-    slot = F.when(in_wide, F.col("rank") % one).otherwise(rest % F.lit(max(least, 1)))
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), number.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    in_wide, rest = F.col("rank") < wide, F.col("rank") - wide
+    number = F.when(in_wide, F.floor(F.col("rank") / F.lit(least + 1))).otherwise(more + F.floor(rest / F.lit(max(least, 1))))
+    slot = F.when(in_wide, F.col("rank") % F.lit(least + 1)).otherwise(rest % F.lit(max(least, 1)))
+    return ranked.withColumns({"shard": number.cast("int"), "slot": slot.cast("long")})
+
+
+def shard_ranges(sharded: DataFrame, columns: tuple = NUMBERS + STRINGS) -> DataFrame:
+    """Each shard's number of rows, and least and largest value of each column."""
+    return sharded.groupBy("shard").agg(F.count("*").alias("rows"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))])
+
+
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null), curve, and the shard's range of
+    each column (min_ and max_)."""
+    ranked, _, total = numbered(curved(docs), KEYS, "curve")
+    placed = cut(ranked, total, shards)
+    ranges = F.broadcast(shard_ranges(placed).drop("rows"))  # a row for each shard
+    out = placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return out.join(ranges, "shard").select(*out.columns, *[c for c in ranges.columns if c != "shard"])
 
 
-def write_shards(sharded: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
     """Writes documents to one folder per shard, in the curve's order, and returns the shards' ranges of each column.
 
-    doc_id must be unique and not null here, since texts are joined by it.
-    """
-    full = docs.join(sharded.select("doc_id", "shard", "slot"), "doc_id")
-    full.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    back = docs.sparkSession.read.parquet(path)
-    columns = [c for c in (*NUMBERS, *STRINGS) if c in back.columns]
-    return back.groupBy("shard").agg(F.count("*").alias("rows"), *[f(c).alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))])
+    A shard's rows are written by as many tasks as the sort has for them, each a run of slots. The folders are named
+    shard=0 and so on, or hilbert_shard=0 where the documents have a column shard of their own."""
+    ranked, _, total = numbered(curved(docs, whole=True), KEYS, "rows")
+    placed = cut(ranked, total, shards)
+    folder = "shard" if "shard" not in {c.lower() for c in docs.columns} else "hilbert_shard"
+    placed.sortWithinPartitions("shard", "slot").select("row.*", "shard").toDF(*docs.columns, folder).write.partitionBy(folder).parquet(path)
+    return shard_ranges(docs.sparkSession.read.parquet(path).withColumnRenamed(folder, "shard"))
 
 
 def prune(ranges: DataFrame, column: str, low, high) -> list[int]:

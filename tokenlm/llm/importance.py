@@ -2,12 +2,14 @@
 
 Target text is what labels call good (quality 1), raw text is every document. Each text is a bag of hashed n-grams:
 single words and pairs, and runs of one to three word shapes (capitals, bars, symbols, final marks, repeats), in
-BUCKETS buckets. Both models are smoothed bucket frequencies; the raw one counts all documents, the target one a
-sample of at most LABEL_ROWS labelled rows. A document's log weight is its mean log ratio by n-gram, so that long
-texts don't drift. A logistic fit on one row of each labelled doc_id turns it into the chance that the document is target text.
-Resampling without replacement adds Gumbel noise, scaled by NOISE, to the log of that chance and keeps the k largest, k
-being the number of documents with a chance of one half or more. Scaled noise draws by the chance to the power 1 / NOISE:
-only documents near the border change places, and clean ones aren't lost to chance in a large table.
+BUCKETS buckets. Both models are smoothed bucket frequencies; the raw one counts all documents, the target one those
+of good label in the parts TARGET of a sample of at most LABEL_ROWS labelled doc_ids. Labelled doc_ids fall into ten parts by
+crc32; the parts CALIBRATION, which the target model doesn't see, fit a slope and an offset for the mean log ratio by
+n-gram, so that long texts don't drift. The log weight is that line: the log odds that a text is target text. Part 9 is
+never used, so that a figure on it is one on held-out labels. If a part lacks a kind of label, all of the sample stands in for it.
+
+Resampling without replacement is Gumbel top-k: key = log weight + standard Gumbel noise, and the k largest keys stay. k is a
+parameter; by default it is the number of documents with a log weight over 0, likelier target than not.
 
 Nulls and texts without a word have no n-grams: weight 0, chance 0, never kept. Repeated rows have equal keys and stay
 or go together; rows that tie with the k-th key are all kept, so more than k can stay. A null doc_id is hashed as
@@ -17,6 +19,8 @@ text with a word is kept. Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,9 @@ from tokenlm.llm.session import written
 BUCKETS = 1 << 16
 #: At most so many labelled rows are read, those of the smallest hash of doc_id.
 LABEL_ROWS = 20_000
-SEED, NOISE = 7, 0.1
+#: Parts of the labelled doc_ids, by crc32(doc_id as text) mod 10, for the target model and for slope and offset.
+TARGET, CALIBRATION = range(6), range(6, 9)
+SEED = 7
 SCHEMA = "doc_id long, n_grams long, log_weight double, chance double, gumbel_key double"
 
 _SYMBOL = np.zeros(256, bool)
@@ -39,8 +45,8 @@ _UP[0x41:0x5B] = _DOWN[0x61:0x7B] = _DIGIT[0x30:0x3A] = True
 _STOP[list(b".!?")] = True
 
 
-def features(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams and their texts."""
+def features(t: K.Texts, shapes: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams and their texts; without shapes, of words only."""
     words = t.runs(K.NOT_SPACE)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -55,7 +61,7 @@ def features(t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     )
     shape = K.mix(sum(x.astype(K.U) << K.U(i) for i, x in enumerate(traits)) + K.U(1))
     parts, docs = [], []
-    for entries, sizes in ((h, (1, 2)), (shape, (1, 2, 3))):
+    for entries, sizes in ((h, (1, 2)), (shape, (1, 2, 3)))[: 1 + shapes]:
         for size in sizes:
             at = K.windows(doc, size)
             parts.append(K.ngrams(entries, at, size))
@@ -71,42 +77,56 @@ def label_sample(labels: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray
     return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
 
 
+def parts(ids: np.ndarray, some: range) -> np.ndarray:
+    """Which doc_ids are in some of the ten parts."""
+    return np.array([zlib.crc32(str(int(i)).encode()) % 10 in some for i in ids], bool)
+
+
+def share(ids: np.ndarray, y: np.ndarray, some: range, kinds: set) -> np.ndarray:
+    """Mask of the labels in some parts, or of all where these lack one of the kinds."""
+    mine = parts(ids, some)
+    return mine if kinds <= set(y[mine].tolist()) else np.ones(len(ids), bool)
+
+
 class Model:
-    """Log ratios by bucket, and the logistic fit from a mean log ratio to a chance."""
+    """Log ratios by bucket, and the line from a mean log ratio to a log weight."""
 
-    def __init__(self, ratio: np.ndarray, slope: float = 1.0, offset: float = 0.0):
-        self.ratio, self.slope, self.offset = ratio.astype(np.float64), slope, offset
+    def __init__(self, ratio: np.ndarray, slope: float = 1.0, offset: float = 0.0, shapes: bool = True):
+        self.ratio, self.slope, self.offset, self.shapes = ratio.astype(np.float64), slope, offset, shapes
+
+    def means(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Number of n-grams and mean log ratio of each text."""
+        bucket, doc = features(t, self.shapes)
+        n = np.bincount(doc, minlength=t.n)
+        return n, np.bincount(doc, self.ratio[bucket], t.n) / np.maximum(n, 1)
 
     def score(self, ids: pa.Array, col: pa.Array) -> dict:
         t = K.Texts(col)
-        bucket, doc = features(t)
-        n = np.bincount(doc, minlength=t.n)
-        weight = np.bincount(doc, self.ratio[bucket], t.n) / np.maximum(n, 1)
-        z = np.clip(self.slope * weight + self.offset, -700, 700)
-        chance = np.where(n > 0, 1 / (1 + np.exp(-z)), 0.0)
+        n, mean = self.means(t)
+        weight = np.where(n > 0, np.clip(self.slope * mean + self.offset, -700, 700), 0.0)
+        chance = np.where(n > 0, 1 / (1 + np.exp(-weight)), 0.0)
         names = K.Texts(ids.cast(pa.string()))
         h = K.mix(K.Spans(names, names.starts, names.ends).hashes() + K.mix(K.Spans(t, t.starts, t.ends).hashes() + K.U(SEED)))
         u = ((h >> K.U(11)).astype(np.float64) + 0.5) / (1 << 53)
-        with np.errstate(divide="ignore"):
-            key = np.maximum(np.log(chance), -1000.0) - NOISE * np.log(-np.log(u))
-        return {"n_grams": n, "log_weight": weight, "chance": chance, "gumbel_key": np.where(n > 0, key, -2000.0)}
+        return {"n_grams": n, "log_weight": weight, "chance": chance, "gumbel_key": np.where(n > 0, weight - np.log(-np.log(u)), -2000.0)}
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Counts over all documents, and the fit on the labelled rows among them."""
+def fit(docs: DataFrame, labels: DataFrame, shapes: bool = True) -> Model:
+    """Counts over all documents, and the line fitted to labelled rows that the target model doesn't count."""
     two = pick(docs, "doc_id", "text")
     ids, y = label_sample(labels, "quality")
-    good = ids[y == 1]
+    if len(set(y.tolist())) < 2:
+        return Model(np.zeros(BUCKETS), 0.0, 50.0, shapes)
+    good = ids[share(ids, y, TARGET, {1}) & (y == 1)]
 
     def count(batches: Batches) -> Batches:
-        raw, target, some = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), False
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in K.slices(batch):
                 t = K.Texts(part.column(1))
-                bucket, doc = features(t)
+                bucket, doc = features(t, shapes)
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 hit = np.isin(np.asarray(part.column(0).fill_null(-1)), good) & np.asarray(part.column(0).is_valid())
-                some |= bool(hit.any())
                 if hit.any():
                     target += np.bincount(bucket[hit[doc]], minlength=BUCKETS)
         at = np.flatnonzero(raw)
@@ -116,10 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for r in two.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[r[0]], target[r[0]] = r[1], r[2]
     if not target.any():
-        return Model(np.zeros(BUCKETS), 0.0, 50.0)
-    model = Model(np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum()))
-    small = F.broadcast(two.sparkSession.createDataFrame([(int(i), int(v)) for i, v in zip(ids, y, strict=True)], "doc_id long, y int"))
-    scored = arrow_map(two.join(small, "doc_id").select("doc_id", "text", "y"), "doc_id long, y int, x double", lambda p: {"doc_id": p.column(0), "y": p.column(2), "x": (s := model.score(p.column(0), p.column(1)))["log_weight"] + np.where(s["n_grams"] > 0, 0, np.nan)})
+        return Model(np.zeros(BUCKETS), 0.0, 50.0, shapes)
+    model = Model(np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum()), shapes=shapes)
+    use = share(ids, y, CALIBRATION, {0, 1})
+    small = F.broadcast(two.sparkSession.createDataFrame([(int(i), int(v)) for i, v in zip(ids[use], y[use], strict=True)], "doc_id long, y int"))
+
+    def mean(part: pa.RecordBatch) -> dict:
+        n, x = model.means(K.Texts(part.column(1)))
+        return {"doc_id": part.column(0), "y": part.column(2), "x": np.where(n > 0, x, np.nan)}
+
+    scored = arrow_map(two.join(small, "doc_id").select("doc_id", "text", "y"), "doc_id long, y int, x double", mean)
     one = scored.filter(~F.isnan("x")).groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("x", F.xxhash64("x")).alias("x"))
     rows = np.array([(r[0], r[1]) for r in one.select("y", "x").orderBy("x", "y").collect()]).reshape(-1, 2)  # one row a label, so LABEL_ROWS at most
     model.slope, model.offset = logistic(rows[:, 1], rows[:, 0])
@@ -129,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the chance that y is 1, by Newton's method with a small ridge."""
     if not len(y) or y.min() == y.max():
-        return 0.0, 50.0 if not len(y) or y.min() == 1 else -50.0
+        return 0.0, 50.0
     scale = max(float(np.std(x)), 1e-9)
     a = np.stack([x / scale, np.ones(len(x))], 1)
     w = np.zeros(2)
@@ -157,23 +183,24 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, float]:
+def score_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[DataFrame, Model, float]:
     """All documents' scores, written to the shared folder; the model; the smallest key that is kept."""
     model = fit(docs, labels)
     scores = written(arrow_map(pick(docs, "doc_id", "text"), SCHEMA, lambda p: {"doc_id": p.column(0)} | model.score(p.column(0), p.column(1))), "importance")
-    k = scores.filter("chance >= 0.5").count()
-    return scores, model, kth_largest(scores, "gumbel_key", k) if k else float("inf")
+    some = scores.filter("n_grams > 0")
+    k = some.filter("log_weight > 0").count() if k is None else min(k, some.count())
+    return scores, model, kth_largest(some, "gumbel_key", k) if k else float("inf")
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_grams, log_weight, chance, gumbel_key, kept."""
-    scores, _, least = score_documents(docs, labels)
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_grams, log_weight, chance (of being target text), gumbel_key, kept."""
+    scores, _, least = score_documents(docs, labels, k)
     return scores.withColumn("kept", (F.col("gumbel_key") >= F.lit(least)) & (F.col("n_grams") > 0))
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_sampled(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The documents that resampling keeps, with their columns."""
-    _, model, least = score_documents(docs, labels)
+    _, model, least = score_documents(docs, labels, k)
 
     def change(part: pa.RecordBatch) -> tuple:
         s = model.score(part.column(0), part.column(1))

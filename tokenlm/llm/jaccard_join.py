@@ -4,18 +4,23 @@ A document is the set of its distinct SHINGLE-word shingles. Two sets link when
 then they differ in at most k elements, k following from the larger one's size band. The shingle domain is
 cut into more parts than k, so any two linked sets agree in some part (or in some subset of a part's pieces): every such
 part's content is a signature, and linked sets share one at least. A set with so many empty parts that the shared one could
-be empty also signs under a further seed.
-
-Sets that share a signature are candidates, and candidates are checked exactly. Groups of a signature up to SMALL sets give
-pairs. Sets of larger groups are put into clusters, which are checked block against block: a task holds two blocks of about
-BLOCK sets, compares them by a matrix product, and returns a forest of the links it found, not all pairs.
-So no pair is lost, no group is in one task, and rows grow with the number of sets. Equal sets are one vertex from the start.
+be empty also signs under a further seed. Signatures are made once and written with the sets' sizes and sketches.
+
+Sets that share a signature are candidates, and candidates are checked exactly, in two steps.
+1. Groups of a signature up to SMALL sets give all their pairs, larger ones the pairs of their smallest fingerprint with
+   all others. A family of copies mostly becomes one component here, with as many pairs as it has members.
+2. Only groups that still hold sets of several components go on. They form clusters, which are compared block against
+   block, where two blocks of one large component never meet. Sketches are compared first; texts are joined only for
+   sets that sketches leave possible. A task holds two blocks, bounded in sets and in shingles, compares them by a matrix
+   product, and returns a forest of the links it found, not all pairs.
+So no pair is lost, no group is in one task, rows grow with the number of sets for families of copies, and with the
+sets outside the family's component times its blocks beyond them. Equal sets are one vertex from the start.
 Before any text is joined, parity sketches rule pairs out: each element flips one bit, so sets whose sketches differ in
 more bits than linked sets have different elements can't link. This drops pairs that only share a passage, and splits clusters.
 
-Vertices are 64-bit fingerprints of sets of 64-bit shingle hashes; two different ones are taken for equal with a chance
-of 2^-64. A bounded bit map of candidates spares the join of most texts that are none; where it fills up, more texts
-are joined, with the same result.
+Shingles are 64-bit hashes of their words. Vertices are 64-bit fingerprints of sets; a second fingerprint finds sets
+that share the first by chance, and these get another one, so that only equal sets are one vertex. A bounded bit map of
+candidates spares the join of most texts that are none; where it fills up, more texts are joined, with the same result.
 
 Nulls, empty texts and texts without words are empty sets, linked with nothing: their component is their own doc_id.
 Repeated rows are equal sets. A null doc_id takes part in links but is nobody's component; a component without any other
@@ -40,9 +45,13 @@ SHINGLE = 4
 #: Two sets link when PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 85
 GROWTH, SLACK, SEEDS = 1.6, 0.15, 8
-SMALL, BLOCK, FILTER_BITS = 8, 256, 1 << 20
+SMALL, FILTER_BITS = 8, 1 << 22
+#: A block's sets and shingles at most, for comparing sketches and for comparing sets.
+SKETCH_BLOCK, SET_BLOCK = (1024, 1 << 20), (256, 1 << 17)
 #: Fingerprints that a task remembers, to sign equal sets once.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
+#: Fingerprints that several sets share by chance, at most; n sets have n^2 / 2^65 of them.
+CLASHES = 10_000
 U = K.U
 
 
@@ -64,9 +73,9 @@ def sets(t: K.Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return g[new], doc[new]
 
 
-def fingerprints(g: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+def fingerprints(g: np.ndarray, doc: np.ndarray, n: int, seed: int = 0xA5A5A5A5DEADBEEF) -> np.ndarray:
     """A 64-bit number for each set, equal for equal sets."""
-    x = K.mix(g ^ U(0xA5A5A5A5DEADBEEF))
+    x = K.mix(g ^ U(seed))
     sums = np.concatenate([np.zeros(1, U), np.cumsum(x, dtype=U)])
     size = np.bincount(doc, minlength=n)
     end = np.cumsum(size)
@@ -156,131 +165,168 @@ def possible(bits: list[bytes], n: np.ndarray, percent: int = PERCENT) -> np.nda
     return out
 
 
-def _sets(col: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Elements of all sets in a row, where each set begins (and the last ends), sizes, fingerprints."""
+def _sets(col: pa.Array, shingle: int = SHINGLE, clashes: tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Elements of all sets in a row, where each set begins (and the last ends), sizes, and two fingerprints.
+
+    clashes: first fingerprints that different sets share; theirs is made from both."""
     t = K.Texts(col, lower=True)
     g, doc = sets(t, shingle)
     size = np.bincount(doc, minlength=t.n)
-    return g, np.concatenate([[0], np.cumsum(size)]), size, fingerprints(g, doc, t.n).view(np.int64)
-
-
-def measured(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, fp, the set's fingerprint, and its sketch (both null for empty sets)."""
+    fp, check = fingerprints(g, doc, t.n), fingerprints(g, doc, t.n, 0x3C6EF372FE94F82B)
+    if clashes:
+        fp = np.where(np.isin(fp.view(np.int64), np.array(clashes, np.int64)), K.mix(fp + K.mix(check)), fp)
+    return g, np.concatenate([[0], np.cumsum(size)]), size, fp.view(np.int64), check.view(np.int64)
 
-    def make(part: pa.RecordBatch) -> dict:
-        g, cut, size, fp = _sets(part.column(1), shingle)
-        bits = [sketch(g[a:b], percent) if b > a else None for a, b in zip(cut[:-1], cut[1:])]
-        return {"doc_id": part.column(0), "n_shingles": size, "fp": pa.array(fp, mask=size == 0), "sketch": pa.array(bits, pa.binary())}
-
-    return arrow_map(pick(docs, "doc_id", "text"), "doc_id long, n_shingles long, fp long, sketch binary", make)
 
-
-def signed(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Signatures: key and fp of each set that a task sees for the first time."""
+def measured(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, clashes: tuple = ()) -> DataFrame:
+    """doc_id, n_shingles, fp and check, the set's fingerprints, its sketch (all null for empty sets), and keys: signatures of each
+    set that a task sees for the first time."""
 
     def run(batches: Batches) -> Batches:
         seen: set[int] = set()
         for batch in batches:
             for part in K.slices(batch):
-                g, cut, size, fp = _sets(part.column(0), shingle)
-                keys, own = [], []
+                g, cut, size, fp, check = _sets(part.column(1), shingle, clashes)
+                bits, keys = [None] * len(size), [None] * len(size)
                 for i in np.flatnonzero(size):
-                    if (f := int(fp[i])) not in seen:
-                        if len(seen) > REMEMBERED:
+                    own, f = g[cut[i] : cut[i + 1]], int(fp[i])
+                    bits[i] = sketch(own, percent)
+                    if f not in seen:
+                        if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(f)
-                        keys.append(np.unique(signatures(g[cut[i] : cut[i + 1]], percent)))
-                        own.append(np.full(len(keys[-1]), f, np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(own))], ["key", "fp"])
+                        keys[i] = np.unique(signatures(own, percent)).view(np.int64)
+                empty = size == 0
+                columns = [part.column(0), pa.array(size), pa.array(fp, mask=empty), pa.array(check, mask=empty), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fp", "check", "sketch", "keys"])
 
-    return pick(docs, "text").mapInArrow(run, "key long, fp long")
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long, check long, sketch binary, keys array<long>")
+
+
+def vertices(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, tuple]:
+    """All documents as measured; fp, n_shingles and sketch of each distinct set; fingerprints that clashed."""
+    clashes: tuple = ()
+    while True:
+        members = written(measured(docs, shingle, percent, clashes), "members")
+        sizes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high"))
+        sizes = written(sizes, "sizes")
+        found = tuple(r[0] for r in sizes.filter("low <> high").select("fp").limit(CLASHES + 1).collect())
+        if not found:
+            return members, sizes.drop("low", "high"), clashes
+        clashes += found
+        if len(clashes) > CLASHES:
+            raise ValueError(f"over {CLASHES} fingerprints stand for several sets")
 
 
 def _grouped(batches: Batches) -> Batches:
-    """From rows sorted by key and fp: kind 0, pairs of small groups; kind 1, first and other sets of larger ones; kind 2, key and
-    fp of a task's first and last group, which may go on in another task."""
-    rest_key, rest_fp, first = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+    """From rows sorted by key and fp: kind 0, pairs (a, b) of groups up to SMALL; kind 1, first set (a) and each set (b) of larger
+    ones; kind 2, sets (b) of a task's first and last group, which may go on in another task; kind 3, the first set (b) of a last group that is a larger one.
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+    A group is never held: once it is known to be large, its rows go out as they come."""
 
+    def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(key), pa.array(a), pa.array(b)], ["kind", "key", "a", "b"])
+
+    none = np.zeros(0, np.int64)
+    held_key, held_fp, first, last, large = none, none, None, None, None
     for batch in batches:
-        key = np.concatenate([rest_key, np.asarray(batch.column(0))])
-        fp = np.concatenate([rest_fp, np.asarray(batch.column(1))])
+        key, fp = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         if not len(key):
             continue
-        first = key[0] if first is None else first
-        edge = key == first
-        tail = np.searchsorted(key, key[-1])
-        if edge.any():
-            yield out(2, key[edge], fp[edge])
-        begin = int(edge.sum())
-        if tail <= begin:
-            rest_key, rest_fp = (key[begin:], fp[begin:]) if key[-1] != first else (key[:0], fp[:0])
-            continue
-        rest_key, rest_fp = key[tail:], fp[tail:]
-        key, fp = key[begin:tail], fp[begin:tail]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
+        new[0] = last != (key[0], fp[0])
+        last = (key[-1], fp[-1])
         key, fp = key[new], fp[new]
+        first = last[0] if first is None and not len(key) else key[0] if first is None else first
+        edge = key == first
+        if edge.any():
+            yield out(2, key[edge], fp[edge], fp[edge])
+            key, fp = key[~edge], fp[~edge]
+        if large:
+            more = key == large[0]
+            if more.any():
+                yield out(1, key[more], np.full(more.sum(), large[1]), fp[more])
+                key, fp = key[~more], fp[~more]
+            if not len(key):
+                continue
+            large = None
+        key, fp = np.concatenate([held_key, key]), np.concatenate([held_fp, fp])
+        if not len(key):
+            continue
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
+        held_key, held_fp = none, none
+        if size[-1] > SMALL:
+            large = (key[-1], fp[start[-1]])
+        else:
+            held_key, held_fp = key[start[-1] :], fp[start[-1] :]
+            key, fp, start, size = key[: start[-1]], fp[: start[-1]], start[:-1], size[:-1]
         place = np.arange(len(key)) - np.repeat(start, size)
         few = np.repeat(size <= SMALL, size)
-        pairs = [(fp[i - d], fp[i]) for d in range(1, SMALL) for i in (np.flatnonzero(few & (place >= d)),)]
-        yield out(0, np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
-        many = np.flatnonzero(~few & (place > 0))
-        yield out(1, np.repeat(fp[start], size)[many], fp[many])
-    if len(rest_key):
-        yield out(2, rest_key, rest_fp)
-
-
-def candidates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of fingerprints from small groups, and star links (a, b) of larger groups."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = signed(docs, shingle, percent).repartitionByRange(n, "key", "fp").sortWithinPartitions("key", "fp").mapInArrow(_grouped, "kind int, a long, b long")
-    found = written(rows, "candidates")
-    edge = found.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("fp")).distinct()
-    groups = edge.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead")).filter("n > 1")
-    joined = edge.join(groups, "key")
-    small = joined.filter(F.col("n") <= SMALL).select("key", "fp")
+        for d in range(1, SMALL):
+            i = np.flatnonzero(few & (place >= d))
+            if len(i):
+                yield out(0, key[i], fp[i - d], fp[i])
+        many = np.flatnonzero(~few)
+        if len(many):
+            yield out(1, key[many], np.repeat(fp[start], size)[many], fp[many])
+    if large:
+        yield out(3, np.array([large[0]]), np.array([large[1]]), np.array([large[1]]))
+    elif len(held_key):
+        yield out(2, held_key, held_fp, held_fp)
+
+
+def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of fingerprints to check; and larger groups: key, lead and fp of each of their sets, the lead included."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "fp").repartitionByRange(n, "key", "fp").sortWithinPartitions("key", "fp")
+    found = written(rows.mapInArrow(_grouped, "kind int, key long, a long, b long"), "candidates")
+    edge = found.filter("kind >= 2").groupBy("key", F.col("b").alias("fp")).agg(F.max("kind").alias("kind"))
+    across = edge.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead"), (F.max("kind") == 3).alias("big")).filter("n > 1")
+    joined = edge.join(F.broadcast(across), "key")  # two keys a task at most
+    small = joined.filter(f"n <= {SMALL} AND NOT big").select("key", "fp")
     more = small.join(small.select("key", F.col("fp").alias("other")), "key").filter("fp < other").select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    pairs = found.filter("kind = 0").select("a", "b").union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = found.filter("kind = 1").select("a", "b").union(joined.filter((F.col("n") > SMALL) & (F.col("fp") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("fp").alias("b"))).distinct()
-    return written(pairs, "pairs"), stars
+    groups = found.filter("kind = 1").select("key", F.col("a").alias("lead"), F.col("b").alias("fp")).union(joined.filter(f"n > {SMALL} OR big").select("key", "lead", "fp"))
+    pairs = found.filter("kind = 0").select("a", "b").union(more).union(groups.filter("lead <> fp").select("lead", "fp"))
+    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), groups
 
 
 def _slot(fp: np.ndarray) -> np.ndarray:
     return (K.mix(fp.view(U)) & U(FILTER_BITS - 1)).astype(np.int64)
 
 
-def bit_map(vertices: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits as bytes; the bit of each fp is set."""
+def bit_map(some: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits as bytes; the bit of each fp is set. FILTER_BITS / 64 numbers at most come to the driver."""
 
-    def slots(batches: Batches) -> Batches:
+    def words(batches: Batches) -> Batches:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(np.asarray(batch.column(0)))))], ["slot"])
+            hit = np.zeros(FILTER_BITS, bool)
+            hit[_slot(np.asarray(batch.column(0)))] = True
+            bits = np.packbits(hit).view(np.int64)
+            at = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at])], ["word", "bits"])
 
-    hit = np.zeros(FILTER_BITS, bool)
-    hit[[r[0] for r in vertices.mapInArrow(slots, "slot long").distinct().collect()]] = True  # FILTER_BITS rows at most
-    return np.packbits(hit)
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    found = some.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[np.asarray(found["word"])] = np.asarray(found["bits"])
+    return out.view(np.uint8)
 
 
-def texts_of(docs: DataFrame, vertices: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def texts_of(docs: DataFrame, some: DataFrame, shingle: int = SHINGLE, clashes: tuple = ()) -> DataFrame:
     """fp and one text for each vertex (column fp)."""
-    bits = bit_map(vertices)
+    bits = bit_map(some)
 
     def run(batches: Batches) -> Batches:
         known = np.unpackbits(bits).astype(bool)
         seen: set[int] = set()
         for batch in batches:
             for part in K.slices(batch):
-                _, _, size, fp = _sets(part.column(0), shingle)
+                _, _, size, fp, _ = _sets(part.column(0), shingle, clashes)
                 take = []
                 for i in np.flatnonzero((size > 0) & known[_slot(fp)]):
                     if (f := int(fp[i])) not in seen:
-                        if len(seen) > REMEMBERED:
+                        if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(f)
                         take.append(i)
@@ -288,7 +334,7 @@ def texts_of(docs: DataFrame, vertices: DataFrame, shingle: int = SHINGLE) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(fp[take]), part.column(0).take(pa.array(take))], ["fp", "text"])
 
     found = pick(docs, "text").mapInArrow(run, "fp long, text string")
-    return written(found.join(vertices, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    return written(found.join(some, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
 
 
 def linked(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -301,8 +347,8 @@ def checked_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, pe
     right = texts.select(F.col("fp").alias("b"), F.col("text").alias("tb"))
 
     def make(part: pa.RecordBatch) -> dict:
-        x, cx, nx, _ = _sets(part.column(2), shingle)
-        y, cy, ny, _ = _sets(part.column(3), shingle)
+        x, cx, nx, _, _ = _sets(part.column(2), shingle)
+        y, cy, ny, _, _ = _sets(part.column(3), shingle)
         shared = np.array([len(np.intersect1d(x[a:b], y[c:d], assume_unique=True)) for a, b, c, d in zip(cx, cx[1:], cy, cy[1:])], np.int64)
         keep = pa.array(np.flatnonzero(linked(shared, nx, ny, percent)))
         return {"a": part.column(0).take(keep), "b": part.column(1).take(keep)}
@@ -334,9 +380,9 @@ def intersections(g: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return shared.astype(np.int64)
 
 
-def forest(fp: np.ndarray, links: np.ndarray, side: np.ndarray) -> pa.Table:
-    """Links that join what a matrix of links joins, between two blocks (side 0 and 1) or within one (2)."""
-    a, b = np.nonzero(np.triu(links, 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)))
+def forest(fp: np.ndarray, links: np.ndarray, side: np.ndarray, comp: np.ndarray) -> pa.Table:
+    """Links that join what a matrix of links joins, between two blocks (side 0 and 1) or within one (2), and between components."""
+    a, b = np.nonzero(np.triu(links, 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)) & (comp[:, None] != comp[None, :]))
     root = list(range(len(fp)))
 
     def find(i: int) -> int:
@@ -354,47 +400,70 @@ def forest(fp: np.ndarray, links: np.ndarray, side: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-PAIR = ["root", "block", "part", "block2", "part2"]
+def unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Star links (a, b) of the groups whose sets are in several components, and with them all sets that still have to meet."""
+    placed = groups.join(roots, F.col("fp") == F.col("vertex"), "left").select("key", "lead", "fp", F.coalesce("root", "fp").alias("comp"))
+    several = written(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"), "several")
+    return groups.join(several, "key", "left_semi").filter("lead <> fp").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def met_blocks(stars: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Sets of clusters of star links, once for each two blocks that are compared: PAIR, fp, side. sizes: n_shingles of every fp.
+PAIR = ["root", "block", "block2"]
 
-    Blocks hold sets of like sizes, and only blocks with sizes that can link meet, so most of a large cluster never does.
-    """
-    member = components(stars).join(sizes, F.col("vertex") == F.col("fp")).select("root", "fp", F.col("n_shingles").alias("n"))
-    by_size = member.groupBy("root", "n").agg(F.count("*").alias("c"))
-    smaller = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    cut = by_size.select("root", "n", F.floor(F.coalesce(F.sum("c").over(smaller), F.lit(0)) / BLOCK).alias("block"), F.ceil(F.col("c") / BLOCK).alias("of"))
-    placed = member.join(cut, ["root", "n"]).select("root", "fp", "n", "block", F.pmod(F.xxhash64("fp"), F.col("of")).alias("part"))
-    blocks = placed.groupBy("root", "block", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    others = blocks.select("root", *[F.col(c).alias(f"{c}2") for c in ("block", "part", "low", "high")])
-    met = blocks.join(others, "root").filter(f"(block, part) <= (block2, part2) AND 100 * high >= {percent} * low2 AND 100 * high2 >= {percent} * low")
-    met = met.withColumn("own", (F.col("block") == F.col("block2")) & (F.col("part") == F.col("part2")))
-    left = placed.join(met, ["root", "block", "part"]).select(*PAIR, "fp", F.when(F.col("own"), 2).otherwise(0).alias("side"))
-    right = placed.withColumnsRenamed({"block": "block2", "part": "part2"}).join(met.filter("NOT own"), ["root", "block2", "part2"]).select(*PAIR, "fp", F.lit(1).alias("side"))
 
+def met_blocks(stars: DataFrame, sizes: DataFrame, roots: DataFrame, most: tuple[int, int], percent: int = PERCENT) -> DataFrame:
+    """Sets of clusters of star links, once for each two blocks that are compared: PAIR, fp, comp, side. sizes: n_shingles of every fp.
+
+    Blocks hold sets of like sizes, most[0] of them or most[1] shingles at most, and only blocks with sizes that can link
+    meet. A component that could fill a block has blocks of its own, which don't meet each other.
+    """
+    count, budget = most
+    member = components(stars).join(sizes.select("fp", F.col("n_shingles").alias("n")), F.col("vertex") == F.col("fp")).select(F.col("root").alias("cluster"), "fp", "n")
+    member = member.join(roots, F.col("fp") == F.col("vertex"), "left").select(F.col("cluster").alias("root"), "fp", "n", F.coalesce("root", "fp").alias("comp"))
+    member = written(member, "met")
+    own = written(member.groupBy("root", "comp").agg(F.count("*").alias("c")).filter(F.col("c") >= count).select("root", "comp", F.col("comp").alias("own")), "own")
+    member = member.join(own, ["root", "comp"], "left")
+    room = F.greatest("n", F.lit(budget // count))
+    by_size = member.groupBy("root", "own", "n").agg(F.sum(room).alias("room"))
+    smaller = Window.partitionBy("root", "own").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cut = by_size.select("root", F.coalesce("own", F.lit(0)).alias("own_key"), F.col("own").isNull().alias("mixed"), "n", F.floor(F.coalesce(F.sum("room").over(smaller), F.lit(0)) / budget).alias("run"), F.ceil(F.col("room") / budget).alias("of"))
+    keyed = member.withColumns({"own_key": F.coalesce("own", F.lit(0)), "mixed": F.col("own").isNull()})
+    name = F.concat_ws("/", F.coalesce(F.col("own").cast("string"), F.lit("mixed")), "run", F.pmod(F.xxhash64("fp"), F.col("of")))
+    placed = written(keyed.join(cut, ["root", "own_key", "mixed", "n"]).select("root", "fp", "comp", "n", "own", name.alias("block")), "placed")
+    blocks = written(placed.groupBy("root", "own", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
+    others = blocks.select("root", *[F.col(c).alias(f"{c}2") for c in ("own", "block", "low", "high")])
+    large = blocks.filter("own IS NOT NULL").select("root", "own").distinct()
+    two = large.join(large.select("root", F.col("own").alias("own2")), "root").filter("own < own2")
+    met = (
+        blocks.join(others.filter("own2 IS NULL"), "root").filter("own IS NOT NULL OR block <= block2").select("root", "block", "block2", "low", "high", "low2", "high2")
+        .union(blocks.join(two, ["root", "own"]).join(others, ["root", "own2"]).select("root", "block", "block2", "low", "high", "low2", "high2"))
+    ).filter(f"100 * high >= {percent} * low2 AND 100 * high2 >= {percent} * low").select(*PAIR)
+    met = written(met, "met")
+    left = placed.join(met, ["root", "block"]).select(*PAIR, "fp", "comp", F.when(F.col("block") == F.col("block2"), 2).otherwise(0).alias("side"))
+    right = placed.withColumnRenamed("block", "block2").join(met.filter("block <> block2"), ["root", "block2"]).select(*PAIR, "fp", "comp", F.lit(1).alias("side"))
     return left.union(right)
 
 
-def ruled_clusters(stars: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Forest of the links that sketches allow within clusters. sizes: fp, n_shingles, sketch."""
+def ruled_clusters(stars: DataFrame, sizes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Forest of the links between components that sketches allow within clusters. sizes: fp, n_shingles, sketch."""
 
     def check(t: pa.Table) -> pa.Table:
-        fp, n, side = (np.asarray(t.column(c).combine_chunks()) for c in ("fp", "n_shingles", "side"))
-        return forest(fp, possible(t.column("sketch").to_pylist(), n, percent), side)
+        fp, n, side, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("fp", "n_shingles", "side", "comp"))
+        return forest(fp, possible(t.column("sketch").to_pylist(), n, percent), side, comp)
 
-    return met_blocks(stars, sizes, percent).join(sizes, "fp").select(*PAIR, "fp", "side", "n_shingles", "sketch").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+    rows = met_blocks(stars, sizes, roots, SKETCH_BLOCK, percent).join(sizes, "fp")
+    return rows.select(*PAIR, "fp", "comp", "side", "n_shingles", "sketch").groupBy(*PAIR).applyInArrow(check, "a long, b long")
 
 
-def checked_clusters(stars: DataFrame, sizes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Forest of the links within clusters."""
+def checked_clusters(stars: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Forest of the links between components within clusters."""
 
     def check(t: pa.Table) -> pa.Table:
-        g, cut, size, fp = _sets(t.column("text").combine_chunks(), shingle)
-        return forest(fp, linked(intersections(g, cut), size[:, None], size[None, :], percent), np.asarray(t.column("side").combine_chunks()))
+        g, cut, size, _, _ = _sets(pa.concat_arrays([c.cast(pa.large_string()) for c in t.column("text").chunks]), shingle)
+        fp, side, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("fp", "side", "comp"))
+        return forest(fp, linked(intersections(g, cut), size[:, None], size[None, :], percent), side, comp)
 
-    return met_blocks(stars, sizes, percent).join(texts, "fp").select(*PAIR, "side", "text").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+    rows = met_blocks(stars, sizes, roots, SET_BLOCK, percent).join(texts, "fp")
+    return rows.select(*PAIR, "fp", "comp", "side", "text").groupBy(*PAIR).applyInArrow(check, "a long, b long")
 
 
 def ruled_pairs(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -410,23 +479,41 @@ def ruled_pairs(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
+def ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("fp")).union(links.select("b")).distinct()
+
+
+def linked_sets(docs: DataFrame, members: DataFrame, sizes: DataFrame, clashes: tuple, shingle: int, percent: int) -> DataFrame:
+    """vertex and root of each set that links with another."""
+    pairs, groups = candidates(members)
+    pairs = written(ruled_pairs(pairs, sizes, percent), "ruled")
+    texts = texts_of(docs, written(ends(pairs), "vertices"), shingle, clashes)
+    roots = written(components(checked_pairs(pairs, texts, shingle, percent)), "roots")
+    stars = written(unsettled(groups, roots), "groups")
+    if stars.isEmpty():
+        return roots
+    stars = written(ruled_clusters(stars, sizes, roots, percent), "clusters")
+    if stars.isEmpty():
+        return roots
+    texts = texts_of(docs, written(ends(stars), "vertices"), shingle, clashes)
+    more = checked_clusters(stars, sizes, roots, texts, shingle, percent)
+    return components(roots.select(F.col("root").alias("a"), F.col("vertex").alias("b")).union(more))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and fp, the fingerprint of its set."""
-    members = written(measured(docs, shingle, percent), "members")
-    sizes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    sizes = written(sizes, "sizes")
-    pairs, stars = candidates(docs, shingle, percent)
-    pairs = written(ruled_pairs(pairs, sizes, percent), "ruled")
-    stars = written(ruled_clusters(written(stars, "groups"), sizes, percent), "clusters")
-    vertices = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(stars.select("a")).union(stars.select("b")).distinct()
-    texts = texts_of(docs, written(vertices, "vertices"), shingle)
-    links = checked_pairs(pairs, texts, shingle, percent).union(checked_clusters(stars, sizes.select("fp", "n_shingles"), texts, shingle, percent))
-    roots = components(links)
+    return _near_duplicates(docs, shingle, percent)[0]
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, tuple]:
+    members, sizes, clashes = vertices(docs, shingle, percent)
+    roots = linked_sets(docs, members, sizes, clashes, shingle, percent)
     classes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = classes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = known.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = known.join(of_root, "root").select("fp", "component")
-    return members.join(of_class, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "fp")
+    of_class = written(known.join(of_root, "root").select("fp", "component"), "classes")
+    out = members.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "fp"), clashes
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -439,7 +526,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     names = [f"c{i}" for i in range(len(columns))]
     plain = docs.toDF(*names)
     at_text, own_id = columns.index("text"), F.col(f"c{columns.index('doc_id')}")
-    rows = near_duplicates(docs, shingle, percent).filter("fp IS NOT NULL")
+    rows, clashes = _near_duplicates(docs, shingle, percent)
+    rows = rows.filter("fp IS NOT NULL")
     classes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component"), F.min("doc_id").alias("least"))
     others = written(classes.filter("n > 1 OR component IS NULL OR least IS NULL OR component <> least").select("fp", "component"), "others")
     bits = bit_map(others.select("fp"))
@@ -450,7 +538,7 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
             for batch in batches:
                 at = 0
                 for part in K.slices(pa.RecordBatch.from_arrays([batch.column(at_text)], ["text"])):
-                    _, _, size, fp = _sets(part.column(0), shingle)
+                    _, _, size, fp, _ = _sets(part.column(0), shingle, clashes)
                     mine = batch.slice(at, part.num_rows)
                     at += part.num_rows
                     hit = (size > 0) & known[_slot(fp)]

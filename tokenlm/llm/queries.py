@@ -28,7 +28,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.describe(transport_stream.store(table(spark, sf_dir, "documents")))
+    return transport_stream.describe(transport_stream.stored_media(table(spark, sf_dir, "documents")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

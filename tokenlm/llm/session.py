@@ -1,29 +1,24 @@
-"""Tables of a run, and the shared folder for tables that cut a plan's lineage."""
+"""Tables of a run, the shared folder for tables that cut a plan's lineage, and the size of batches that go to Python."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenlm.sources.shared import shared_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["bounded", "shared_dir", "table", "written"]
 
+#: Bytes of a batch of rows that goes to Python. Batches otherwise hold 10,000 texts, however long.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one is set only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tokenlm-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: lost executors cost no work done before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's bound on batches to BATCH_BYTES, unless it is lower; a single longer row is a batch of its own."""
+    now = str(spark.conf.get(_SETTING)).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))

@@ -7,9 +7,13 @@ is marked as a random-access point. Reading takes nothing for granted but the pa
 follows the tables to the elementary stream, checks their checksums and the continuity counters, reassembles elementary packets by
 payload-unit starts, and returns the payload with each unit's timestamp, offset and random-access flag.
 
+As the standard has it, a packet that repeats the one before it counts once, packets with a transport error are left
+out, packets without payload don't count, and a counter may jump where the discontinuity flag is set. Any other jump is a
+continuity error. An elementary packet that has lost a part is left out and counted as damaged; the units around it are read.
+
 Nulls count as empty texts; a payload is never empty, since texts are padded with bytes 255 to a positive multiple of
 576. Equal texts give equal streams. Repeated rows get repeated results, a null doc_id passes through, an empty table
-gives an empty result, and other columns are not read. A stream that can't be read raises a ValueError.
+gives an empty result, and other columns are not read. A stream without sync bytes or tables raises a ValueError.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 
 from tokenlm.llm import kernel as K
 from tokenlm.llm.frames import arrow_map, pick
+from tokenlm.llm.session import written
 
 PACKET, UNIT, KEY_UNITS = 188, 576, 16
 #: A unit lasts 20 ms of the 90 kHz clock; the first is shown after 1 s.
@@ -32,7 +37,8 @@ CLOCK_STEP, CLOCK_START = 1800, 90_000
 PMT_PID, STREAM_PID, PROGRAM = 0x100, 0x101, 1
 #: Private data of ISO/IEC 13818-1: stream type of the map table, and the packets' stream id.
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units array<struct<pts: long, offset: long, random_access: boolean>>"
+UNITS = pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())])
 _HEADER = 14
 
 
@@ -112,13 +118,16 @@ def mux(payload: bytes) -> bytes:
 
 
 class Stream:
-    """What demux finds. payload; timestamps, offsets and random (access points) by unit; cc_errors; streams by pid."""
+    """What demux finds. payload; timestamps, offsets and random (access points) by unit; cc_errors; repeats, packets that repeat
+    the one before; damaged, elementary packets left out; streams by pid."""
 
     payload: bytes
     timestamps: np.ndarray
     offsets: np.ndarray
     random: np.ndarray
     cc_errors: int
+    repeats: int
+    damaged: int
     streams: dict[int, int]
 
 
@@ -160,9 +169,23 @@ def _fields(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     control = rows[:, 3] >> 4 & 3
     at = np.where(control & 2, 5 + rows[:, 4].astype(np.int32), 4)
-    if (at > PACKET).any():
-        raise ValueError("an adaptation field is longer than its packet")
-    return pid, rows[:, 1] & 0x40 > 0, at, control & 1 > 0
+    return pid, rows[:, 1] & 0x40 > 0, np.minimum(at, PACKET), (control & 1 > 0) & (at <= PACKET) & (rows[:, 1] & 0x80 == 0)
+
+
+def _flags(rows: np.ndarray) -> np.ndarray:
+    """The adaptation fields' flags; 0 without such a field."""
+    return np.where((rows[:, 3] & 0x20 > 0) & (rows[:, 4] > 0), rows[:, 5], 0)
+
+
+def _in_order(rows: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Which packets of one pid count, how many repeat the one before, and the errors of the others' counters."""
+    repeat = np.zeros(len(rows), bool)
+    if len(rows) > 1:
+        same = (rows[1:, 3] & 15) == (rows[:-1, 3] & 15)
+        repeat[1:][same] = (rows[1:][same] == rows[:-1][same]).all(1)
+    counter = rows[~repeat, 3].astype(np.int64) & 15
+    jump = (np.diff(counter) - 1) % 16 != 0
+    return ~repeat, int(repeat.sum()), int((jump & (_flags(rows[~repeat])[1:] & 0x80 == 0)).sum())
 
 
 def demux(media: bytes) -> Stream:
@@ -173,35 +196,35 @@ def demux(media: bytes) -> Stream:
         raise ValueError("a packet without its sync byte")
     pid, start, at, full = _fields(rows)
     out = Stream()
-    out.streams = dict(x for k in _maps(rows[pid == 0].tobytes()) for x in _streams(rows[pid == k].tobytes()))
+    out.streams = dict(x for k in _maps(rows[(pid == 0) & full].tobytes()) for x in _streams(rows[(pid == k) & full].tobytes()))
     if not out.streams:
         raise ValueError("no elementary stream")
-    wanted = next(iter(out.streams))
-    mine = np.flatnonzero((pid == wanted) & full)
+    mine = np.flatnonzero((pid == next(iter(out.streams))) & full)
+    use, out.repeats, out.cc_errors = _in_order(rows[mine])
+    mine = mine[use]
+    begun = int(np.argmax(start[mine])) if start[mine].any() else len(mine)
+    mine, lead = mine[begun:], begun > 0
     rows, at, start = rows[mine], at[mine], start[mine]
-    counter = rows[:, 3].astype(np.int64) & 15
-    out.cc_errors = int(((np.diff(counter) - 1) % 16 != 0).sum())
-    if not len(rows) or not start[0]:
-        raise ValueError("the stream doesn't start with an elementary packet")
     data = rows[np.arange(PACKET) >= at[:, None]]
     ends = np.cumsum(PACKET - at)
     first = (ends - (PACKET - at))[start]
-    if (data[first] != 0).any() or (data[first + 1] != 0).any() or (data[first + 2] != 1).any():
-        raise ValueError("an elementary packet without its start code")
-    length = (data[first + 4].astype(np.int64) << 8 | data[first + 5]) + 6
-    head = data[first + 8].astype(np.int64) + 9
+    padded = np.append(data, np.zeros(_HEADER, np.uint8))
+    length = (padded[first + 4].astype(np.int64) << 8 | padded[first + 5]) + 6
+    head = padded[first + 8].astype(np.int64) + 9
     stops = np.append(first[1:], len(data))
-    if (first + length != stops).any():
-        raise ValueError("an elementary packet of another length than it says")
-    b = [data[first + 9 + i].astype(np.int64) for i in range(5)]
+    coded = (padded[first] == 0) & (padded[first + 1] == 0) & (padded[first + 2] == 1) & (padded[first + 7] & 0x80 > 0)
+    good = coded & (first + length == stops) & (head >= _HEADER) & (head <= length)
+    out.damaged = int((~good).sum()) + lead
+    flags = _flags(rows[start])[good]
+    edges = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edges, (first + head)[good], 1)
+    np.add.at(edges, stops[good], -1)
+    out.payload = data[np.cumsum(edges[:-1]) > 0].tobytes()
+    first, length, head = first[good], length[good], head[good]
+    b = [padded[first + 9 + i].astype(np.int64) for i in range(5)]
     out.timestamps = (b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1
-    heads = np.zeros(len(data) + 1, np.int32)
-    np.add.at(heads, first, 1)
-    np.add.at(heads, first + head, -1)
-    out.payload = data[np.cumsum(heads[:-1]) == 0].tobytes()
-    out.offsets = np.concatenate([[0], np.cumsum(length - head)[:-1]])
-    field = (rows[start, 3] & 0x20 > 0) & (rows[start, 4] > 0)
-    out.random = field & (rows[start, 5] & 0x40 > 0)
+    out.offsets = np.cumsum(length - head) - (length - head)
+    out.random = flags & 0x40 > 0
     return out
 
 
@@ -219,6 +242,11 @@ def store(docs: DataFrame) -> DataFrame:
     return arrow_map(pick(docs, "doc_id", "text"), "doc_id long, n_bytes long, media binary", make)
 
 
+def stored_media(docs: DataFrame) -> DataFrame:
+    """The streams of all texts as a column of a table in the shared folder."""
+    return written(store(docs), "media")
+
+
 def units(stored: DataFrame) -> DataFrame:
     """One row per access unit: doc_id, unit, pts, offset in the payload, and whether reading can start there."""
 
@@ -233,22 +261,29 @@ def units(stored: DataFrame) -> DataFrame:
 
 
 def describe(stored: DataFrame) -> DataFrame:
-    """One row per stored stream: digests of what is read back from it, and what its tables and packets say."""
+    """One row per stored stream: digests of what is read back from it, what its tables and packets say, and its units."""
 
     def run(batches):
         for batch in batches:
-            out: dict = {k.split()[0]: [] for k in SCHEMA.split(", ")}
-            out["doc_id"], out["n_bytes"] = batch.column(0), batch.column(1)
+            if not batch.num_rows:
+                continue
+            out: dict = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            found = []
             for m in batch.column(2):
                 media = m.as_buffer()
                 s = demux(media)
+                found.append(s)
                 out["payload_bytes"].append(len(s.payload))
                 out["payload_sha256"].append(hashlib.sha256(s.payload).hexdigest())
                 out["tail_crc32"].append(zlib.crc32(s.payload[-32:]))
                 out["media_bytes"].append(len(media))
                 out["media_sha256"].append(hashlib.sha256(media).hexdigest())
                 pid, kind = next(iter(s.streams.items()))
-                out["feature"].append(f"pid={pid};type={kind};packets={len(media) // PACKET};units={len(s.offsets)};cc_errors={s.cc_errors};pts={s.timestamps[0]}-{s.timestamps[-1]};random_access={int(s.random.sum())}")
-            yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
+                shown = f"{s.timestamps[0]}-{s.timestamps[-1]}" if len(s.timestamps) else "-"
+                out["feature"].append(f"pid={pid};type={kind};packets={len(media) // PACKET};units={len(s.offsets)};cc_errors={s.cc_errors};repeats={s.repeats};damaged={s.damaged};pts={shown};random_access={int(s.random.sum())}")
+            whole = lambda name, none: np.concatenate([getattr(s, name) for s in found] or [np.zeros(0, none)])
+            units = pa.StructArray.from_arrays([pa.array(whole("timestamps", np.int64)), pa.array(whole("offsets", np.int64)), pa.array(whole("random", bool))], fields=list(UNITS))
+            cuts = pa.array(np.concatenate([[0], np.cumsum([len(s.offsets) for s in found])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.values()), pa.ListArray.from_arrays(cuts, units)], ["doc_id", "n_bytes", *out, "units"])
 
     return pick(stored, "doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
