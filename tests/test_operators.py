@@ -77,7 +77,7 @@ def test_kneser_ney_sums_to_one(spark):
 
 def test_no_pairs_seen_twice(spark):
     counted = C.ngram_counts(C.grams(corpus(spark, ["a a a b"]), 1))
-    d = C.discounts(C.counts_of_counts(counted, C.continuations(counted)))
+    d = C.discounts(C.counts_of_counts(C.continuations(counted)))
     assert {r.discount for r in d.collect()} == {0.0}
     assert {r.d1 for r in kneser_ney.modified_discounts(counted).collect()} == {1.0}
 

@@ -1,53 +1,87 @@
-"""Kneser-Ney probabilities as joins, one level of context at a time."""
+"""Kneser-Ney probabilities as joins, one level of context at a time.
+
+statistics puts all that a level needs beside each n-gram: raw and continuation counts, and its context's totals from one
+window over contexts; the empty context, whose rows are the whole vocabulary, is summed and broadcast (a row a corpus).
+A level then joins the level below by the shorter n-gram and nothing else; discounts and vocabulary sizes are broadcast
+(orders times corpora). Statistics and each level that another one needs are written once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokenlm.operators import counts as C
+from tokenlm.sources.shared import written
+
+
+def statistics(counted: DataFrame) -> DataFrame:
+    """corpus, n, ngram, ctx, back, c, w, kn, and of the context total, kn_total and followers; written to the shared folder."""
+    continued = written(C.continuations(counted), "continued")
+    over = Window.partitionBy("corpus", "n", "ctx")
+    sums = {"total": F.sum("c"), "kn_total": F.sum("kn"), "followers": F.count("*")}
+    long = continued.filter("n > 1").withColumns({k: v.over(over) for k, v in sums.items()})
+    empty = continued.filter("n = 1").groupBy("corpus").agg(*[v.alias(k) for k, v in sums.items()])
+    short = continued.filter("n = 1").join(F.broadcast(empty), "corpus")
+    return written(long.unionByName(short), "statistics")
+
+
+def sizes(stats: DataFrame) -> DataFrame:
+    """Vocabulary size v of each corpus."""
+    return stats.filter("n = 1").groupBy("corpus").agg(F.count("*").alias("v"))
+
+
+def discount_of(d: DataFrame, order: int, n: int, fixed: float | Sequence[float] | None) -> float | None:
+    """A manual discount: one for each order if there are as many, else the first."""
+    if fixed is None or isinstance(fixed, (int, float)):
+        return fixed
+    return fixed[n - 1] if len(fixed) == order else fixed[0]
 
 
-def levels(counted: DataFrame, order: int, fixed: float | None = None, use_kn: bool = True) -> dict[int, DataFrame]:
+def levels(counted: DataFrame, order: int, fixed: float | Sequence[float] | None = None, use_kn: bool = True, backoff: DataFrame | None = None, stats: DataFrame | None = None) -> dict[int, DataFrame]:
     """Interpolated probability p of each seen n-gram, by n.
 
     p(w|s) = (max(C - D, 0) + D * followers(s) * p(w|s without its first token)) / total(s), and 1 / V without context.
     C and total are raw counts at full order, continuation counts below. A total of 0 hands down to the level below.
+    fixed: manual discounts. backoff: gram counts of another corpus table, which give discounts and V in place of counted's.
     """
-    continued = C.continuations(counted)
-    ctx, knt = C.contexts(counted), C.continuation_totals(continued)
-    d = C.discounts(C.counts_of_counts(counted, continued))
-    size = counted.filter("n = 1").groupBy("corpus").agg(F.count("*").alias("v"))
+    stats = statistics(counted) if stats is None else stats
+    other = stats if backoff is None else statistics(backoff)
+    d = F.broadcast(C.discounts(C.counts_of_counts(other)))
+    size = F.broadcast(sizes(other))
     out: dict[int, DataFrame] = {}
     for n in range(1, order + 1):
         raw = n == order or not use_kn
-        if raw:
-            rows = counted.filter(F.col("n") == n).select("corpus", "ngram", "ctx", "back", F.col("c").alias("x"))
-            totals = ctx.filter(F.col("n") == n).select("corpus", "ctx", "total", "followers")
-        else:
-            rows = continued.filter(F.col("n") == n).select("corpus", "ngram", "ctx", "back", F.col("kn").alias("x"))
-            totals = ctx.filter(F.col("n") == n).join(knt, ["corpus", "n", "ctx"]).select("corpus", "ctx", F.col("kn_total").alias("total"), "followers")
-        rows = rows.join(totals, ["corpus", "ctx"])
-        if fixed is None:
+        x, total = ("c", "total") if raw else ("kn", "kn_total")
+        rows = stats.filter(F.col("n") == n).select("corpus", "ngram", "back", "w", F.col(x).alias("x"), F.col(total).alias("total"), "followers")
+        manual = discount_of(d, order, n, fixed)
+        if manual is None:
             own = d.filter((F.col("n") == n) & (F.col("kind") == ("raw" if raw else "kn"))).select("corpus", "discount")
             rows = rows.join(own, "corpus")
         else:
-            rows = rows.withColumn("discount", F.lit(fixed))
+            rows = rows.withColumn("discount", F.lit(float(manual)))
         if n == 1:
             rows = rows.join(size, "corpus").withColumn("lower", 1 / F.col("v"))
         else:
             rows = rows.join(out[n - 1].select("corpus", F.col("ngram").alias("back"), F.col("p").alias("lower")), ["corpus", "back"])
-        p = (F.greatest(F.col("x") - F.col("discount"), F.lit(0.0)) + F.col("discount") * F.col("followers") * F.col("lower")) / F.col("total")
-        out[n] = rows.select("corpus", F.lit(n).alias("n"), "ngram", F.col("x"), F.col("total"), "followers", "discount", "lower", F.when(F.col("total") > 0, p).otherwise(F.col("lower")).alias("p"))
+        one = rows.select("corpus", F.lit(n).alias("n"), "ngram", "x", "total", "followers", "discount", "lower", interpolated().alias("p"), "w")
+        out[n] = written(one, f"level{n}") if 1 < n < order else one
     return out
 
 
+def interpolated() -> Column:
+    p = (F.greatest(F.col("x") - F.col("discount"), F.lit(0.0)) + F.col("discount") * F.col("followers") * F.col("lower")) / F.col("total")
+    return F.when(F.col("total") > 0, p).otherwise(F.col("lower"))
+
+
 def entropy(counted: DataFrame, order: int) -> DataFrame:
     """Mean of -ln p over all positions, by corpus: each position's whole n-gram, weighted by how often it occurs."""
-    some = levels(counted, order)
     every = None
-    for n in range(1, order + 1):
-        own = counted.filter((F.col("n") == n) & (F.col("w") > 0)).select("corpus", "ngram", "w").join(some[n].select("corpus", "ngram", "p"), ["corpus", "ngram"])
+    for one in levels(counted, order).values():
+        own = one.filter("w > 0").select("corpus", "w", "p")
         every = own if every is None else every.unionByName(own)
     h = F.sum(F.when(F.col("p") > 0, -F.log("p") * F.col("w"))) / F.sum(F.when(F.col("p") > 0, F.col("w")))
     return every.groupBy("corpus").agg(F.sum("w").alias("n_tokens"), h.alias("entropy"), F.exp(h).alias("perplexity"))
@@ -88,15 +122,19 @@ def modified_discounts(counted: DataFrame) -> DataFrame:
 
 
 def modified(counted: DataFrame, order: int) -> DataFrame:
-    """Probabilities with three discounts over raw counts: (C - D(C) + pool(ctx) * lower) / total, 1 / V at the end."""
-    d = modified_discounts(counted)
-    size = counted.filter("n = 1").groupBy("corpus").agg(F.count("*").alias("v"))
-    pools = counted.groupBy("corpus", "n", "ctx").agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == i).alias(f"k{i}") for i in (1, 2)], F.count_if(F.col("c") >= 3).alias("k3")).join(d, ["corpus", "n"])
-    pools = pools.withColumn("pool", F.col("d1") * F.col("k1") + F.col("d2") * F.col("k2") + F.col("d3") * F.col("k3"))
+    """Probabilities with three discounts over raw counts: (C - D(C) + pool(ctx) * lower) / total, 1 / V at the end.
+
+    A context's pool comes from one window over contexts; the empty one is summed and broadcast."""
+    held = written(counted.join(F.broadcast(modified_discounts(counted)), ["corpus", "n"]), "discounted")
+    cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    over = Window.partitionBy("corpus", "ctx")
+    empty = held.filter("n = 1").groupBy("corpus").agg(F.sum("c").alias("total"), F.sum(cut).alias("pool"), F.count("*").alias("v"))
     lower = None
     for n in range(1, order + 1):
-        rows = counted.filter(F.col("n") == n).select("corpus", "ngram", "ctx", "back", "c").join(pools.filter(F.col("n") == n).drop("n"), ["corpus", "ctx"])
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.join(size, "corpus").withColumn("lower", 1 / F.col("v")) if lower is None else rows.join(lower.select("corpus", F.col("ngram").alias("back"), F.col("p").alias("lower")), ["corpus", "back"])
-        lower = rows.select("corpus", F.lit(n).alias("n"), "ngram", "c", "total", ((F.col("c") - cut + F.col("pool") * F.col("lower")) / F.col("total")).alias("p"))
+        own = held.filter(F.col("n") == n).select("corpus", "ngram", "ctx", "back", "c", cut.alias("cut"))
+        if lower is None:
+            rows = own.join(F.broadcast(empty), "corpus").withColumn("lower", 1 / F.col("v"))
+        else:
+            rows = own.withColumns({"total": F.sum("c").over(over), "pool": F.sum("cut").over(over)}).join(lower.select("corpus", F.col("ngram").alias("back"), F.col("p").alias("lower")), ["corpus", "back"])
+        lower = rows.select("corpus", F.lit(n).alias("n"), "ngram", "c", "total", ((F.col("c") - F.col("cut") + F.col("pool") * F.col("lower")) / F.col("total")).alias("p"))
     return lower

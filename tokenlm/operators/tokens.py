@@ -10,11 +10,17 @@ from pyspark.sql.window import Window
 PATTERN = r'[0-9]+(?:\.[0-9]+)?|\w+|!=|\+\+|--|&&|\|\||===|==|//|<=|>=|\+=|-=|/\*|\*/|"""|[^\s\w]'
 
 
-def lex(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per token; pos counts from 1 within a row. Other columns but the text stay."""
+def lex(docs: DataFrame, text: str = "text", before: int = 0) -> DataFrame:
+    """One row per token; pos counts from 1 within a row. Other columns but the text stay.
+
+    before: adds p1, p2, ..., the tokens so many places earlier (null near the start), which takes no window or shuffle."""
     others = [c for c in docs.columns if c != text]
-    found = docs.select(*others, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("at", "token"))
-    return found.select(*others, (F.col("at") + 1).cast("long").alias("pos"), "token")
+    found = docs.select(*others, F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0)).alias("t"))
+    if not before:
+        return found.select(*others, F.posexplode("t").alias("at", "token")).select(*others, (F.col("at") + 1).cast("long").alias("pos"), "token")
+    shifted = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.col("t")).alias(f"p{k}") for k in range(1, before + 1)]
+    rows = found.select(*others, "t", *shifted).select(*others, F.posexplode(F.arrays_zip("t", *[f"p{k}" for k in range(1, before + 1)])).alias("at", "z")).filter("z.t IS NOT NULL")
+    return rows.select(*others, (F.col("at") + 1).cast("long").alias("pos"), F.col("z.t").alias("token"), *[F.col(f"z.p{k}").alias(f"p{k}") for k in range(1, before + 1)])
 
 
 def offsets(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

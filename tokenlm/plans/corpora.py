@@ -18,9 +18,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """corpus (language), doc, pos, token."""
-    return lex(read(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), F.col("doc_id").alias("doc"), "text"))
+def words(spark: SparkSession, sf_dir: str, before: int = 0) -> DataFrame:
+    """corpus (language), doc, pos, token, and so many tokens before it."""
+    return lex(read(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), F.col("doc_id").alias("doc"), "text"), before=before)
+
+
+def counted_words(spark: SparkSession, sf_dir: str, order: int) -> DataFrame:
+    return counted(words(spark, sf_dir, order - 1), order)
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tokenlm.operators import counts as C
 from tokenlm.operators import deltas, kneser_ney, prequential, rewriting
 from tokenlm.operators import features as G
 from tokenlm.sources.shared import written
-from tokenlm.plans.corpora import CLICKS, STATS, WORDS, clicks, counted, grams_sql, levels_sql, read, words
+from tokenlm.plans.corpora import CLICKS, STATS, WORDS, clicks, counted, counted_words, grams_sql, levels_sql, read, words
 
 QUERIES, SQL = {}, {}
 TRI = f"WITH {WORDS},\n{grams_sql('words', 3)},\n{STATS}"
@@ -51,7 +51,7 @@ def _ngrams(order):
 
     @query(f"ngram_counts_{order}", sql)
     def run(spark, sf_dir):
-        return C.grams(words(spark, sf_dir), order).filter(F.col("n") == order).groupBy("corpus", "ngram").agg(F.count("*").alias("c"))
+        return C.grams(words(spark, sf_dir, order - 1), order, order).groupBy("corpus", "ngram").agg(F.count("*").alias("c"))
 
 
 for _n in (1, 2, 3, 4):
@@ -60,27 +60,26 @@ for _n in (1, 2, 3, 4):
 
 @query("context_totals", f"{TRI} SELECT corpus, n, ctx, CAST(total AS BIGINT) AS total FROM ctxs")
 def context_totals(spark, sf_dir):
-    return C.contexts(counted(words(spark, sf_dir), 3)).select("corpus", "n", "ctx", "total")
+    return C.contexts(counted_words(spark, sf_dir, 3)).select("corpus", "n", "ctx", "total")
 
 
 @query("distinct_followers", f"{TRI} SELECT corpus, n, ctx, followers FROM ctxs")
 def distinct_followers(spark, sf_dir):
-    return C.contexts(counted(words(spark, sf_dir), 3)).select("corpus", "n", "ctx", "followers")
+    return C.contexts(counted_words(spark, sf_dir, 3)).select("corpus", "n", "ctx", "followers")
 
 
 @query("continuation_counts", f"{TRI} SELECT corpus, n, ngram, CAST(kn AS BIGINT) AS kn FROM kns")
 def continuation_counts(spark, sf_dir):
-    return C.continuations(counted(words(spark, sf_dir), 3)).select("corpus", "n", "ngram", "kn")
+    return C.continuations(counted_words(spark, sf_dir, 3)).select("corpus", "n", "ngram", "kn")
 
 
 @query("continuation_totals", f"{TRI} SELECT corpus, n, ctx, CAST(kn_total AS BIGINT) AS kn_total FROM knt")
 def continuation_totals(spark, sf_dir):
-    return C.continuation_totals(C.continuations(counted(words(spark, sf_dir), 3)))
+    return C.continuation_totals(C.continuations(counted_words(spark, sf_dir, 3)))
 
 
 def _coc(spark, sf_dir):
-    c = counted(words(spark, sf_dir), 3)
-    return C.counts_of_counts(c, C.continuations(c))
+    return C.counts_of_counts(C.continuations(counted_words(spark, sf_dir, 3)))
 
 
 @query("counts_of_counts", f"{TRI} SELECT corpus, kind, n, n1, n2 FROM coc")
@@ -96,7 +95,7 @@ def kn_discounts(spark, sf_dir):
 def _prob(name, order, prefix):
     @query(name, f"{prefix},\n{levels_sql(order)} SELECT corpus, ngram, round(p, 9) AS p FROM l{order}")
     def run(spark, sf_dir):
-        return kneser_ney.levels(counted(words(spark, sf_dir), order), order)[order].select("corpus", "ngram", F.round("p", 9).alias("p"))
+        return kneser_ney.levels(counted_words(spark, sf_dir, order), order)[order].select("corpus", "ngram", F.round("p", 9).alias("p"))
 
 
 _prob("kn_prob_bigram", 2, BI)
@@ -110,7 +109,7 @@ every AS (SELECT a.corpus, a.w, b.p FROM cnt a JOIN l1 b ON a.n = 1 AND b.corpus
   UNION ALL SELECT a.corpus, a.w, b.p FROM cnt a JOIN l3 b ON a.n = 3 AND b.corpus = a.corpus AND b.ngram = a.ngram WHERE a.w > 0)
 SELECT corpus AS lang, CAST(sum(w) AS BIGINT) AS n_tokens, round(sum(CASE WHEN p > 0 THEN -ln(p) * w END) / sum(CASE WHEN p > 0 THEN w END), 6) AS entropy FROM every GROUP BY corpus""")
 def kn_entropy_by_lang(spark, sf_dir):
-    return kneser_ney.entropy(counted(words(spark, sf_dir), 3), 3).select(F.col("corpus").alias("lang"), "n_tokens", F.round("entropy", 6).alias("entropy"))
+    return kneser_ney.entropy(counted_words(spark, sf_dir, 3), 3).select(F.col("corpus").alias("lang"), "n_tokens", F.round("entropy", 6).alias("entropy"))
 
 
 @query("kn_explain", f"""{EV},
@@ -131,8 +130,8 @@ FROM bl b LEFT JOIN known k2 ON k2.corpus = b.corpus AND k2.ctx = b.p2 || ' ' ||
 def longest_seen_context(spark, sf_dir):
     from tokenlm.operators.tokens import lex
 
-    bench = lex(read(spark, sf_dir, "benchmark").select(F.lit("en").alias("corpus"), F.col("item_id").alias("doc"), "text"))
-    return kneser_ney.longest_seen(C.grams(bench, 3), counted(words(spark, sf_dir), 3), 3).select("doc", "pos", "context_max_n")
+    bench = lex(read(spark, sf_dir, "benchmark").select(F.lit("en").alias("corpus"), F.col("item_id").alias("doc"), "text"), before=2)
+    return kneser_ney.longest_seen(C.grams(bench, 3), counted_words(spark, sf_dir, 3), 3).select("doc", "pos", "context_max_n")
 
 
 MODIFIED = """m AS (SELECT corpus, n, count(*) FILTER (WHERE c = 1)::DOUBLE AS n1, count(*) FILTER (WHERE c = 2)::DOUBLE AS n2, count(*) FILTER (WHERE c = 3)::DOUBLE AS n3, count(*) FILTER (WHERE c = 4)::DOUBLE AS n4 FROM cnt GROUP BY corpus, n),
@@ -143,7 +142,7 @@ md AS MATERIALIZED (SELECT corpus, n, CASE WHEN e1 BETWEEN 0 AND 1 THEN e1 ELSE
 
 @query("modified_kn_discounts", f"{TRI},\n{MODIFIED} SELECT corpus, n, round(d1, 9) AS d1, round(d2, 9) AS d2, round(d3, 9) AS d3 FROM md")
 def modified_kn_discounts(spark, sf_dir):
-    return kneser_ney.modified_discounts(counted(words(spark, sf_dir), 3)).select("corpus", "n", *[F.round(d, 9).alias(d) for d in ("d1", "d2", "d3")])
+    return kneser_ney.modified_discounts(counted_words(spark, sf_dir, 3)).select("corpus", "n", *[F.round(d, 9).alias(d) for d in ("d1", "d2", "d3")])
 
 
 def _modified_sql():
@@ -156,7 +155,7 @@ def _modified_sql():
 
 @query("modified_kn_prob", f"{TRI},\n{MODIFIED},\n{_modified_sql()} SELECT corpus, ngram, round(p, 9) AS p FROM q3")
 def modified_kn_prob(spark, sf_dir):
-    return kneser_ney.modified(counted(words(spark, sf_dir), 3), 3).select("corpus", "ngram", F.round("p", 9).alias("p"))
+    return kneser_ney.modified(counted_words(spark, sf_dir, 3), 3).select("corpus", "ngram", F.round("p", 9).alias("p"))
 
 
 @query("files_per_token", f"WITH {WORDS} SELECT corpus, token, count(DISTINCT doc) AS docs, count(*) AS c FROM words GROUP BY corpus, token")
@@ -168,7 +167,7 @@ RARE_SQL = """rare AS (SELECT v.corpus, v.ngram AS token, CAST(coalesce(k.kn_tot
 
 
 def _rare(spark, sf_dir):
-    c = counted(words(spark, sf_dir), 3)
+    c = counted_words(spark, sf_dir, 3)
     return rewriting.rare_online(C.continuation_totals(C.continuations(c)), c.filter("n = 1").select("corpus", F.col("ngram").alias("token")))
 
 
@@ -218,12 +217,12 @@ def pattern_rewrite(spark, sf_dir):
 
 @query("followers", f"{TRI} SELECT DISTINCT corpus, n, ctx, split_part(ngram, ' ', n) AS token FROM cnt")
 def followers(spark, sf_dir):
-    return C.followers(C.grams(words(spark, sf_dir), 3))
+    return C.followers(C.grams(words(spark, sf_dir, 2), 3))
 
 
 @query("cumulative_count_dump", f"{BI},\nd AS (SELECT corpus, ngram, c, CAST(sum(c) OVER (PARTITION BY corpus ORDER BY c DESC, ngram ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM cnt WHERE n = 1) SELECT * FROM d WHERE c > 2.9999")
 def cumulative_count_dump(spark, sf_dir):
-    return C.cumulative_dump(counted(words(spark, sf_dir), 2).filter("n = 1"))
+    return C.cumulative_dump(counted_words(spark, sf_dir, 2).filter("n = 1"))
 
 
 RECENCY_SQL = f"""WITH {WORDS},
@@ -257,7 +256,7 @@ SELECT g.corpus, g.doc, g.pos, CASE WHEN b.n IS NULL THEN ',empty' ELSE ',total'
 FROM (SELECT corpus, doc, pos FROM grams WHERE n = 1) g LEFT JOIN best b ON b.corpus = g.corpus AND b.doc = g.doc AND b.pos = g.pos
 LEFT JOIN grams x ON x.corpus = b.corpus AND x.doc = b.doc AND x.pos = b.pos AND x.n = b.n LEFT JOIN ctxs t ON t.corpus = x.corpus AND t.n = x.n AND t.ctx = x.ctx""")
 def bin_annotation(spark, sf_dir):
-    rows = C.grams(words(spark, sf_dir), 3)
+    rows = C.grams(words(spark, sf_dir, 2), 3)
     return G.first_context_bin(rows, C.contexts(C.ngram_counts(rows)), 3)
 
 
@@ -335,7 +334,8 @@ def retract_update(spark, sf_dir):
 
     docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("corpus"), F.col("doc_id").alias("doc"), "text")
     changed = docs.filter("doc % 2 = 0")
-    return deltas.update(counted(lex(docs), 2), lex(changed), lex(changed.withColumn("text", S.upper_by_character(F.col("text")))), 2).select("corpus", "n", "ngram", "c", "w")
+    new = changed.withColumn("text", S.upper_by_character(F.col("text")))
+    return deltas.update(counted(lex(docs, before=1), 2), lex(changed, before=1), lex(new, before=1), 2).select("corpus", "n", "ngram", "c", "w")
 
 
 # --- candidates over event types: small vocabulary, all contexts ---

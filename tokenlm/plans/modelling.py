@@ -213,16 +213,29 @@ def multi_token_paths(spark, sf_dir):
     return found.select("ctx_id", "path", F.round("prob", 6).alias("prob"), "length", F.round("exclusive_prob", 6).alias("exclusive_prob"))
 
 
-@query("acceptance_match", """WITH a AS (SELECT p_partkey, string_split(p_name, ' ') AS old FROM part), b AS (SELECT p_partkey, old, CAST(len(old) / 2 AS BIGINT) AS cursor FROM (SELECT p_partkey, old FROM a))
-SELECT p_partkey, 'new words' AS inserted, CAST(1 AS BIGINT) AS run FROM b""")
+EDITS = """names AS (SELECT p_partkey, string_split(p_name, ' ') AS old, p_partkey % 6 AS kind FROM part),
+halves AS (SELECT *, CAST(floor(len(old) / 2) AS BIGINT) AS cut FROM names),
+edits AS (SELECT p_partkey, old, kind, CASE WHEN kind = 1 THEN cut + 1 ELSE cut END AS cursor, CASE
+  WHEN kind IN (0, 1) THEN old[:cut] || ['new', 'words'] || old[cut + 1:] WHEN kind = 2 THEN old[:cut] || ['new', 'other', 'end'] || old[cut + 1:]
+  WHEN kind = 3 THEN old[:cut - 1] || ['new', 'words'] || old[cut + 1:] WHEN kind = 4 THEN old[:cut] || old[cut + 2:] ELSE old[:cut] || ['words'] || old[cut + 1:] END AS new FROM halves),
+found AS (SELECT *, CASE WHEN len(new) > len(old) AND cursor <= len(old) AND new[:cursor] = old[:cursor] AND new[cursor + 1 + len(new) - len(old):] = old[cursor + 1:]
+  THEN new[cursor + 1:cursor + len(new) - len(old)] END AS ins FROM edits)"""
+
+
+@query("acceptance_match", f"""WITH {EDITS}
+SELECT p_partkey, coalesce(array_to_string(ins, ' '), '') AS inserted, CAST(CASE WHEN ins IS NULL THEN -1 WHEN ins[1] <> 'new' THEN 0 WHEN len(ins) < 2 OR ins[2] <> 'other' THEN 1 ELSE 2 END AS BIGINT) AS run FROM found""")
 def acceptance_match(spark, sf_dir):
-    """Two words are put into every part name; the insertion is found again and matched with a candidate of one of them."""
-    old = F.split("p_name", " ")
-    cursor = F.floor(F.size(old) / 2).cast("int")
-    new = F.concat(F.slice(old, F.lit(1), cursor), F.array(F.lit("new"), F.lit("words")), F.slice(old, cursor + 1, F.size(old)))
+    """Part names are edited: words put in at the cursor, or a place beside it, replaced, or taken out. Only a true insertion
+    at the cursor is found again, and matched with a candidate of two words; others have no words and -1."""
+    old, kind = F.split("p_name", " "), F.col("p_partkey") % 6
+    cut = F.floor(F.size(old) / 2).cast("int")
+    words = lambda *some: F.array(*[F.lit(w) for w in some])
+    put = lambda left, some, right: F.concat(F.slice(old, F.lit(1), left), some, F.slice(old, right + 1, F.size(old)))
+    new = F.when(kind < 2, put(cut, words("new", "words"), cut)).when(kind == 2, put(cut, words("new", "other", "end"), cut)).when(kind == 3, put(cut - 1, words("new", "words"), cut)).when(kind == 4, put(cut, F.array().cast("array<string>"), cut + 1)).otherwise(put(cut, words("words"), cut))
+    cursor = F.when(kind == 1, cut + 1).otherwise(cut)
     rows = read(spark, sf_dir, "part").select("p_partkey", old.alias("old"), new.alias("new"), cursor.alias("cursor"))
     found = rows.withColumn("ins", search.insertion(F.col("old"), F.col("new"), F.col("cursor")))
-    return found.select("p_partkey", F.array_join("ins", " ").alias("inserted"), search.common_run(F.col("ins"), F.array(F.lit("new"), F.lit("other"))).alias("run"))
+    return found.select("p_partkey", F.coalesce(F.array_join("ins", " "), F.lit("")).alias("inserted"), F.when(F.col("ins").isNotNull(), search.common_run(F.col("ins"), words("new", "other"))).otherwise(-1).cast("long").alias("run"))
 
 
 def _lexed(spark, sf_dir):
@@ -240,12 +253,20 @@ def indent_tokens(spark, sf_dir):
     return lexer.lexed(docs).groupBy("ttype").agg(F.count("*").alias("n"))
 
 
-@query("detokenize")
+def _in(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query("detokenize", f"""WITH {WORDS}, pairs AS (SELECT corpus, doc, pos, token, lag(token) OVER (PARTITION BY corpus, doc ORDER BY pos) AS p FROM words)
+SELECT corpus, doc, string_agg(CASE WHEN p IS NULL THEN '' ELSE repeat(' ', CAST(regexp_full_match(p, '\\w+') AND regexp_full_match(token, '\\w+') AS INTEGER) + CAST(p IN ({_in(lexer.BEFORE_BRACKET)}) AND token = '(' AS INTEGER)
+  + CAST(p IN ({_in(lexer.SPACE_AFTER)}) AS INTEGER) + CAST(token IN ({_in(lexer.SPACE_BEFORE)}) AS INTEGER)) END || token, '' ORDER BY pos) AS text FROM pairs GROUP BY corpus, doc""")
 def detokenize(spark, sf_dir):
     return lexer.joined(words(spark, sf_dir), ["corpus", "doc"])
 
 
-@query("powerlaw_docs")
+@query("powerlaw_docs", f"""WITH cells AS (SELECT d AS doc, p AS pos FROM range(200) t(d), range(1, 11) q(p)),
+raw AS (SELECT doc, pos, len(list_filter({synthetic.edges(100, 2.0)}, lambda e: e <= CAST('0x' || substr(md5('1:' || doc || ':' || pos), 1, 10) AS BIGINT)::DOUBLE / 1099511627776)) AS i FROM cells)
+SELECT a.doc, a.pos, 'w' || CASE WHEN a.pos > 1 AND a.pos % 2 = 1 THEN (b.i - a.i + 100) % 100 ELSE a.i END AS token FROM raw a LEFT JOIN raw b ON b.doc = a.doc AND b.pos = a.pos - 1""")
 def powerlaw_docs(spark, sf_dir):
     return synthetic.power_law(spark, 200, bigram=True)
 

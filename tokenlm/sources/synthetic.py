@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def shares(vocabulary: int, alpha: float) -> list[float]:
@@ -14,17 +15,25 @@ def shares(vocabulary: int, alpha: float) -> list[float]:
     return p
 
 
+def edges(vocabulary: int, alpha: float) -> list[float]:
+    """Upper ends of the tokens' shares of [0, 1), but the last one's."""
+    return list(accumulate(shares(vocabulary, alpha)))[:-1]
+
+
 def power_law(spark: SparkSession, documents: int, length: int = 10, vocabulary: int = 100, bigram: bool = False, alpha: float = 2.0, seed: int = 1) -> DataFrame:
-    """doc, pos and token. With bigram, tokens at even positions are relative to the one before (modulo the vocabulary)."""
-    total, edges = 0.0, []
-    for p in shares(vocabulary, alpha):
-        total += p
-        edges.append(total)
+    """doc and pos from 1, and token. A cell's random number comes from a hash of seed, doc and pos.
+
+    With bigram, the third token and every second one after it say how far back the token before lies (modulo the vocabulary).
+    """
+
+    def index(pos):
+        digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc").cast("string"), pos.cast("string"))), 1, 10)
+        u = F.conv(digits, 16, 10).cast("double") / float(1 << 40)
+        return F.size(F.filter(F.array(*[F.lit(e) for e in edges(vocabulary, alpha)]), lambda e: e <= u)).cast("long")
+
     cells = spark.range(documents * length).select((F.col("id") / length).cast("long").alias("doc"), (F.col("id") % length + 1).alias("pos"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc", "pos"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    index = F.size(F.filter(F.array(*[F.lit(e) for e in edges[:-1]]), lambda e: e <= F.col("u"))).cast("long")
-    rows = cells.withColumn("u", u).withColumn("i", index)
+    i = index(F.col("pos"))
     if bigram:
-        before = F.lag("i").over(Window.partitionBy("doc").orderBy("pos"))
-        rows = rows.withColumn("i", F.when(F.col("pos") % 2 == 0, (F.col("i") + before) % vocabulary).otherwise(F.col("i")))
-    return rows.select("doc", "pos", F.concat(F.lit("w"), F.col("i").cast("string")).alias("token"))
+        back = (index(F.col("pos") - 1) - i + vocabulary) % vocabulary
+        i = F.when((F.col("pos") > 1) & (F.col("pos") % 2 == 1), back).otherwise(i)
+    return cells.select("doc", "pos", F.concat(F.lit("w"), i.cast("string")).alias("token"))
