@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenlm.functions.scalars import bin_label, indicator
+from tokenlm.operators.rewriting import RARE, flagged
 
 #: Fixed values of the recency features.
 LOOK_BACK, OWN_WEIGHT = 30, 10
@@ -26,6 +27,14 @@ def recency(tokens: DataFrame) -> DataFrame:
     )
 
 
+def recency_with_token(tokens: DataFrame, common: DataFrame) -> DataFrame:
+    """corpus, doc, pos and fname: the recency flag, and again with the token, where tokens outside of common are <rare>."""
+    rows = flagged(recency(tokens).filter("flag IS NOT NULL"), common, 1)
+    shown = F.when(F.col("r0"), RARE).otherwise(F.col("token"))
+    names = F.explode(F.array(F.col("flag"), F.concat(F.lit("'"), shown, F.lit("',"), F.col("flag"))))
+    return rows.select("corpus", "doc", "pos", names.alias("fname"))
+
+
 def recency_histogram(tokens: DataFrame, longest: int = 499) -> DataFrame:
     return recency(tokens).filter(F.col("distance").between(1, longest)).groupBy("corpus", "distance").agg(F.count("*").alias("n"))
 

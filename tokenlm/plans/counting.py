@@ -212,7 +212,10 @@ SELECT corpus, (CASE WHEN NOT r2 THEN t2 WHEN r1 AND t1 = t2 THEN '<0>' WHEN r1
   (CASE WHEN NOT r0 THEN t0 WHEN r1 AND t0 = t1 THEN '<0>' WHEN r2 AND t0 = t2 THEN (CASE WHEN r1 THEN '<1>' ELSE '<0>' END) ELSE '<rare>' END) AS ngram, count(*) AS c
 FROM wide WHERE t2 IS NOT NULL GROUP BY 1, 2""")
 def pattern_rewrite(spark, sf_dir):
-    return rewriting.pattern_grams(words(spark, sf_dir), _rare(spark, sf_dir), 3).groupBy("corpus", "ngram").agg(F.count("*").alias("c"))
+    tokens = words(spark, sf_dir, 2)
+    common = written(rewriting.common_online(C.continuation_totals(C.continuations(counted(tokens, 3)))), "common")
+    rows = rewriting.pattern_rows(rewriting.flagged(tokens, common, 3), 3).filter("k = 3")
+    return rows.groupBy("corpus", "ngram").agg(F.count("*").alias("c"))
 
 
 @query("followers", f"{TRI} SELECT DISTINCT corpus, n, ctx, split_part(ngram, ' ', n) AS token FROM cnt")
