@@ -9,10 +9,10 @@ be empty also signs under a further seed. Signatures are made once and written w
 Sets that share a signature are candidates, and candidates are checked exactly, in two steps.
 1. Groups of a signature up to SMALL sets give all their pairs, larger ones the pairs of their smallest fingerprint with
    all others. A family of copies mostly becomes one component here, with as many pairs as it has members.
-2. Only groups that still hold sets of several components go on. They form clusters, which are compared block against
-   block, where two blocks of one large component never meet. Sketches are compared first; texts are joined only for
-   sets that sketches leave possible. A task holds two blocks, bounded in sets and in shingles, compares them by a matrix
-   product, and returns a forest of the links it found, not all pairs.
+2. Only groups that still hold sets of several components go on. Groups of one smallest fingerprint form a cluster, which is
+   compared block against block, where two blocks of one large component never meet. Sketches are compared first; texts
+   are joined only for sets that sketches allow to link with one of another component. A task holds two blocks, bounded in
+   sets and in shingles, compares them by a matrix product, and returns a forest of the links it found, not all pairs.
 So no pair is lost, no group is in one task, rows grow with the number of sets for families of copies, and with the
 sets outside the family's component times its blocks beyond them. Equal sets are one vertex from the start.
 Before any text is joined, parity sketches rule pairs out: each element flips one bit, so sets whose sketches differ in
@@ -46,8 +46,8 @@ SHINGLE = 4
 PERCENT = 85
 GROWTH, SLACK, SEEDS = 1.6, 0.15, 8
 SMALL, FILTER_BITS = 8, 1 << 22
-#: A block's sets and shingles at most, for comparing sketches and for comparing sets.
-SKETCH_BLOCK, SET_BLOCK = (1024, 1 << 20), (256, 1 << 17)
+#: A block's sets and shingles at most.
+BLOCK = (256, 1 << 17)
 #: Fingerprints that a task remembers, to sign equal sets once.
 REMEMBERED = 1 << 17
 #: Fingerprints that several sets share by chance, at most; n sets have n^2 / 2^65 of them.
@@ -287,9 +287,9 @@ def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = edge.join(F.broadcast(across), "key")  # two keys a task at most
     small = joined.filter(f"n <= {SMALL} AND NOT big").select("key", "fp")
     more = small.join(small.select("key", F.col("fp").alias("other")), "key").filter("fp < other").select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    groups = found.filter("kind = 1").select("key", F.col("a").alias("lead"), F.col("b").alias("fp")).union(joined.filter(f"n > {SMALL} OR big").select("key", "lead", "fp"))
+    groups = written(found.filter("kind = 1").select("key", F.col("a").alias("lead"), F.col("b").alias("fp")).union(joined.filter(f"n > {SMALL} OR big").select("key", "lead", "fp")), "groups")
     pairs = found.filter("kind = 0").select("a", "b").union(more).union(groups.filter("lead <> fp").select("lead", "fp"))
-    return written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), groups
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), groups
 
 
 def _slot(fp: np.ndarray) -> np.ndarray:
@@ -380,9 +380,9 @@ def intersections(g: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return shared.astype(np.int64)
 
 
-def forest(fp: np.ndarray, links: np.ndarray, side: np.ndarray, comp: np.ndarray) -> pa.Table:
-    """Links that join what a matrix of links joins, between two blocks (side 0 and 1) or within one (2), and between components."""
-    a, b = np.nonzero(np.triu(links, 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2)) & (comp[:, None] != comp[None, :]))
+def forest(fp: np.ndarray, links: np.ndarray) -> pa.Table:
+    """Links that join what a matrix of links joins."""
+    a, b = np.nonzero(np.triu(links, 1))
     root = list(range(len(fp)))
 
     def find(i: int) -> int:
@@ -400,33 +400,29 @@ def forest(fp: np.ndarray, links: np.ndarray, side: np.ndarray, comp: np.ndarray
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def unsettled(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """Star links (a, b) of the groups whose sets are in several components, and with them all sets that still have to meet."""
-    placed = groups.join(roots, F.col("fp") == F.col("vertex"), "left").select("key", "lead", "fp", F.coalesce("root", "fp").alias("comp"))
+def unsettled(groups: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Sets of the groups that hold sets of several components: root (the group's lead), fp, comp and n, once for each lead."""
+    placed = written(groups.join(roots, F.col("fp") == F.col("vertex"), "left").select("key", "lead", "fp", F.coalesce("root", "fp").alias("comp")), "grouped")
     several = written(placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key"), "several")
-    return groups.join(several, "key", "left_semi").filter("lead <> fp").select(F.col("lead").alias("a"), F.col("fp").alias("b")).distinct()
+    open_sets = placed.join(several, "key", "left_semi").select(F.col("lead").alias("root"), "fp", "comp").distinct()
+    return written(open_sets.join(sizes.select("fp", F.col("n_shingles").alias("n")), "fp"), "unsettled")
 
 
 PAIR = ["root", "block", "block2"]
 
 
-def met_blocks(stars: DataFrame, sizes: DataFrame, roots: DataFrame, most: tuple[int, int], percent: int = PERCENT) -> DataFrame:
-    """Sets of clusters of star links, once for each two blocks that are compared: PAIR, fp, comp, side. sizes: n_shingles of every fp.
+def met_blocks(member: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Sets of clusters (root, fp, comp, n), once for each two blocks that are compared: PAIR, fp, comp, side.
 
-    Blocks hold sets of like sizes, most[0] of them or most[1] shingles at most, and only blocks with sizes that can link
+    Blocks hold sets of like sizes, BLOCK[0] of them or BLOCK[1] shingles at most, and only blocks with sizes that can link
     meet. A component that could fill a block has blocks of its own, which don't meet each other.
     """
-    count, budget = most
-    member = components(stars).join(sizes.select("fp", F.col("n_shingles").alias("n")), F.col("vertex") == F.col("fp")).select(F.col("root").alias("cluster"), "fp", "n")
-    member = member.join(roots, F.col("fp") == F.col("vertex"), "left").select(F.col("cluster").alias("root"), "fp", "n", F.coalesce("root", "fp").alias("comp"))
-    member = written(member, "met")
+    count, budget = BLOCK
     own = written(member.groupBy("root", "comp").agg(F.count("*").alias("c")).filter(F.col("c") >= count).select("root", "comp", F.col("comp").alias("own")), "own")
-    member = member.join(own, ["root", "comp"], "left")
-    room = F.greatest("n", F.lit(budget // count))
-    by_size = member.groupBy("root", "own", "n").agg(F.sum(room).alias("room"))
-    smaller = Window.partitionBy("root", "own").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    cut = by_size.select("root", F.coalesce("own", F.lit(0)).alias("own_key"), F.col("own").isNull().alias("mixed"), "n", F.floor(F.coalesce(F.sum("room").over(smaller), F.lit(0)) / budget).alias("run"), F.ceil(F.col("room") / budget).alias("of"))
-    keyed = member.withColumns({"own_key": F.coalesce("own", F.lit(0)), "mixed": F.col("own").isNull()})
+    keyed = member.join(own, ["root", "comp"], "left").withColumns({"own_key": F.coalesce("own", F.lit(0)), "mixed": F.col("own").isNull()})
+    by_size = keyed.groupBy("root", "own_key", "mixed", "n").agg(F.sum(F.greatest("n", F.lit(budget // count))).alias("room"))
+    smaller = Window.partitionBy("root", "own_key", "mixed").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cut = by_size.select("root", "own_key", "mixed", "n", F.floor(F.coalesce(F.sum("room").over(smaller), F.lit(0)) / budget).alias("run"), F.ceil(F.col("room") / budget).alias("of"))
     name = F.concat_ws("/", F.coalesce(F.col("own").cast("string"), F.lit("mixed")), "run", F.pmod(F.xxhash64("fp"), F.col("of")))
     placed = written(keyed.join(cut, ["root", "own_key", "mixed", "n"]).select("root", "fp", "comp", "n", "own", name.alias("block")), "placed")
     blocks = written(placed.groupBy("root", "own", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
@@ -443,27 +439,35 @@ def met_blocks(stars: DataFrame, sizes: DataFrame, roots: DataFrame, most: tuple
     return left.union(right)
 
 
-def ruled_clusters(stars: DataFrame, sizes: DataFrame, roots: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Forest of the links between components that sketches allow within clusters. sizes: fp, n_shingles, sketch."""
+def across(side: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Pairs between two blocks (side 0 and 1) or within one (2), of different components."""
+    return ((side[:, None] != side[None, :]) | (side[:, None] == 2)) & (comp[:, None] != comp[None, :])
+
+
+ROWS = "root long, block string, block2 string, fp long, comp long, side int"
+
+
+def possible_sets(rows: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of the sets of two blocks, those that sketches allow to link with one of another component. sizes: fp, n_shingles, sketch."""
 
     def check(t: pa.Table) -> pa.Table:
-        fp, n, side, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("fp", "n_shingles", "side", "comp"))
-        return forest(fp, possible(t.column("sketch").to_pylist(), n, percent), side, comp)
+        n, side, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("n_shingles", "side", "comp"))
+        hit = (possible(t.column("sketch").to_pylist(), n, percent) & across(side, comp)).any(1)
+        return t.select([*PAIR, "fp", "comp", "side"]).filter(pa.array(hit))
 
-    rows = met_blocks(stars, sizes, roots, SKETCH_BLOCK, percent).join(sizes, "fp")
-    return rows.select(*PAIR, "fp", "comp", "side", "n_shingles", "sketch").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+    held = rows.join(sizes, "fp").select(*PAIR, "fp", "comp", "side", "n_shingles", "sketch")
+    return held.groupBy(*PAIR).applyInArrow(check, ROWS)
 
 
-def checked_clusters(stars: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Forest of the links between components within clusters."""
+def checked_blocks(rows: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Forest of the links between components among the sets of two blocks."""
 
     def check(t: pa.Table) -> pa.Table:
         g, cut, size, _, _ = _sets(pa.concat_arrays([c.cast(pa.large_string()) for c in t.column("text").chunks]), shingle)
         fp, side, comp = (np.asarray(t.column(c).combine_chunks()) for c in ("fp", "side", "comp"))
-        return forest(fp, linked(intersections(g, cut), size[:, None], size[None, :], percent), side, comp)
+        return forest(fp, linked(intersections(g, cut), size[:, None], size[None, :], percent) & across(side, comp))
 
-    rows = met_blocks(stars, sizes, roots, SET_BLOCK, percent).join(texts, "fp")
-    return rows.select(*PAIR, "fp", "comp", "side", "text").groupBy(*PAIR).applyInArrow(check, "a long, b long")
+    return rows.join(texts, "fp").select(*PAIR, "fp", "comp", "side", "text").groupBy(*PAIR).applyInArrow(check, "a long, b long")
 
 
 def ruled_pairs(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -489,14 +493,14 @@ def linked_sets(docs: DataFrame, members: DataFrame, sizes: DataFrame, clashes:
     pairs = written(ruled_pairs(pairs, sizes, percent), "ruled")
     texts = texts_of(docs, written(ends(pairs), "vertices"), shingle, clashes)
     roots = written(components(checked_pairs(pairs, texts, shingle, percent)), "roots")
-    stars = written(unsettled(groups, roots), "groups")
-    if stars.isEmpty():
+    member = unsettled(groups, roots, sizes)
+    if member.isEmpty():
         return roots
-    stars = written(ruled_clusters(stars, sizes, roots, percent), "clusters")
-    if stars.isEmpty():
+    rows = written(possible_sets(met_blocks(member, percent), sizes, percent), "possible")
+    texts = texts_of(docs, written(rows.select("fp").distinct(), "vertices"), shingle, clashes)
+    more = written(checked_blocks(rows, texts, shingle, percent), "more")
+    if more.isEmpty():
         return roots
-    texts = texts_of(docs, written(ends(stars), "vertices"), shingle, clashes)
-    more = checked_clusters(stars, sizes, roots, texts, shingle, percent)
     return components(roots.select(F.col("root").alias("a"), F.col("vertex").alias("b")).union(more))
 
 
