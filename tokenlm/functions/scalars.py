@@ -112,3 +112,44 @@ def looks_binary(content: Column, loose: bool = False) -> Column:
     odd = F.length(F.regexp_replace(pairs, text, "")) / 3
     share = odd > 0.3 * n if loose else odd >= 0.3 * n
     return F.when(n == 0, F.lit(False)).otherwise(pairs.rlike(r"(^| )00 ") | share)
+
+
+def number_text(x: Column) -> Column:
+    """A number as short text: whole ones without a point, tiny ones with an exponent, others with three places."""
+    whole = F.abs(x - x.cast("long")) < 1e-40
+    return F.when(whole, x.cast("long").cast("string")).when(F.abs(x) < 1e-3, F.format_string("%.2e", x)).otherwise(F.format_string("%.3f", x))
+
+
+def query_parameter(query: Column, name: str) -> Column:
+    """A field of a query string, decoded; null if it isn't there."""
+    raw = F.regexp_extract(F.concat(F.lit("&"), query), f"&{name}=([^&]*)", 1)
+    there = F.concat(F.lit("&"), query).contains(f"&{name}=")
+    return F.when(there, F.url_decode(raw))
+
+
+def matches(name: Column, *parts: str, exact: bool = False) -> Column:
+    """Whether a feature's name is one of the parts (exact), or holds all of them; without parts, every name matches."""
+    if exact:
+        return name.isin(*parts)
+    out = F.lit(True)
+    for p in parts:
+        out = out & name.contains(p)
+    return out
+
+
+def decorated(name: Column, cluster: Column | None = None) -> Column:
+    """A feature's name, with the suffix of its cluster if it has one."""
+    return name if cluster is None else F.concat(name, F.lit(",cluster="), cluster.cast("string"))
+
+
+def tests_position(token: Column, line_prefix: Column, known: Column | None = None, least: int = 1, identifiers: bool = False) -> Column:
+    """Whether a benchmark tests a position: not after a comment mark in its line, long enough, if asked for an identifier, and seen."""
+    ok = ~line_prefix.contains("#") & ~line_prefix.contains("//") & (F.length(token) >= least)
+    if identifiers:
+        ok &= starts_as_identifier(token)
+    return ok if known is None else ok & known
+
+
+def is_identifier_position(token: Column, ttype: Column, tctx: Column) -> Column:
+    """An identifier that is real text, outside of comments and strings."""
+    return (ttype == "ACTUAL") & (tctx == "NONE") & is_identifier(token)

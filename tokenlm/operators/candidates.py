@@ -11,10 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenlm.functions import scalars as S
+
 VOCABULARY_LIMIT = 10_000
 
 
 def context_rows(tokens: DataFrame) -> DataFrame:
+    """Positions with their token as truth, and the two tokens before it, brought along (as lex does) or found by a window."""
+    if {"p1", "p2"} <= set(tokens.columns):
+        return tokens.select("corpus", "doc", "pos", F.col("token").alias("truth"), "p1", "p2")
     w = Window.partitionBy("corpus", "doc").orderBy("pos")
     return tokens.select("corpus", "doc", "pos", F.col("token").alias("truth"), F.lag("token", 1).over(w).alias("p1"), F.lag("token", 2).over(w).alias("p2"))
 
@@ -37,6 +42,46 @@ def staged(tokens: DataFrame, known: DataFrame, with_vocabulary: bool = True) ->
     return every.groupBy(*keys, "cand").agg(F.min("stage").alias("stage"))
 
 
+def top_followers(counted: DataFrame, most: int) -> DataFrame:
+    """The most frequent next tokens of each context of one or two tokens, up to most of them; ties by token."""
+    rows = counted.filter("n IN (2, 3)").select("corpus", "n", "ctx", F.substring_index("ngram", " ", -1).alias("token"), "c")
+    place = F.row_number().over(Window.partitionBy("corpus", "n", "ctx").orderBy(F.desc("c"), "token"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("corpus", "n", "ctx", "token")
+
+
+def beam(tokens: DataFrame, known: DataFrame, most: int, look_back: int = 30) -> DataFrame:
+    """Candidates of tokens (with p1 to p<look_back>): those seen after the last two or the last token, then the last look_back
+    tokens; of all, the first most by stage, then token.
+
+    No stage pairs a position with a whole vocabulary or document, so rows are bounded by positions times 2 * most + look_back.
+    """
+    keys = ["corpus", "doc", "pos", "truth"]
+    ctx = context_rows(tokens)
+    f = known.withColumnRenamed("token", "cand")
+    two = ctx.filter("p2 IS NOT NULL").withColumn("ctx", F.concat_ws(" ", "p2", "p1")).join(f.filter("n = 3").drop("n"), ["corpus", "ctx"]).select(*keys, "cand", F.lit(0).alias("stage"))
+    one = ctx.filter("p1 IS NOT NULL").join(f.filter("n = 2").select("corpus", F.col("ctx").alias("p1"), "cand"), ["corpus", "p1"]).select(*keys, "cand", F.lit(1).alias("stage"))
+    near = F.explode(F.array_compact(F.array(*[f"p{k}" for k in range(1, look_back + 1)])))
+    recent = tokens.select("corpus", "doc", "pos", F.col("token").alias("truth"), near.alias("cand"), F.lit(2).alias("stage"))
+    every = two.union(one).union(recent).groupBy(*keys, "cand").agg(F.min("stage").alias("stage"))
+    return capped(every, most)
+
+
+def by_prefix(typed: DataFrame, counts: DataFrame, size: int, most: int) -> DataFrame:
+    """The most frequent words that start with what was typed (doc, base of size characters), up to most of each, smart-case.
+
+    Words meet bases by their first characters in small letters, an equi-join; the case is looked at afterwards."""
+    key = F.lower(F.substring("token", 1, size))
+    rows = typed.withColumn("key", F.lower("base")).join(counts.withColumn("key", key), "key").filter(S.has_base(F.col("token"), F.col("base"), True))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), "token"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).drop("key", "place")
+
+
+def injected(ranked: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Contexts whose truth is not among their candidates, with the truth as a candidate of its own; it has no probability."""
+    hit = ranked.filter("cand = truth").select("corpus", "doc", "pos")
+    return contexts.join(hit, ["corpus", "doc", "pos"], "left_anti").select("corpus", "doc", "pos", "truth", F.col("truth").alias("cand"))
+
+
 def capped(candidates: DataFrame, most: int) -> DataFrame:
     """The first most candidates of each context by stage, then token."""
     w = Window.partitionBy("corpus", "doc", "pos").orderBy("stage", "cand")
@@ -77,6 +122,12 @@ def inferred(ranked: DataFrame, contexts: DataFrame) -> DataFrame:
     return out.select("corpus", "doc", "pos", "truth", F.col("prob").isNotNull().alias("oracle"), F.coalesce(F.col("rank") == 0, F.lit(False)).alias("correct"), "rank", (-F.log("prob")).alias("entropy"), F.coalesce(1.0 / (F.col("rank") + 1), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def identifier_metrics(states: DataFrame, by: list[str]) -> DataFrame:
+    """Means over identifiers alone: accuracy, oracle, entropy and, of those on the beam, reciprocal rank."""
+    ident = states.filter(F.col("truth").rlike(r"^\w+$"))
+    return ident.groupBy(*by).agg(F.count("*").alias("n_identifiers"), F.avg(F.col("correct").cast("double")).alias("ident_accuracy"), F.avg(F.col("oracle").cast("double")).alias("ident_oracle"), F.avg("entropy").alias("ident_entropy"), F.avg(F.when(F.col("oracle"), F.col("reciprocal_rank"))).alias("ident_reciprocal_rank"))
+
+
 def metrics(states: DataFrame, by: list[str]) -> DataFrame:
     ident = F.col("truth").rlike(r"^\w+$")
     mean = lambda c: F.avg(c)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenlm.operators.ordering import running_sums
+
 
 def grams(tokens: DataFrame, order: int, least: int = 1) -> DataFrame:
     """corpus, doc, pos, n (least to order), ngram, ctx (all but the last token), back (all but the first) and whole.
@@ -84,12 +86,6 @@ def documents_per_token(tokens: DataFrame) -> DataFrame:
 
 
 def cumulative_dump(counted: DataFrame, least: float = 2.9999) -> DataFrame:
-    """Values in falling order with their running sum; small values count in the sum but aren't listed.
-
-    The order is over distinct values first, so that the running sum never sorts all rows in one task.
-    """
-    by_value = counted.groupBy("corpus", "c").agg(F.sum("c").alias("s"))
-    w = Window.partitionBy("corpus").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
-    before = by_value.select("corpus", "c", F.coalesce(F.sum("s").over(w), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("corpus", "c").orderBy("ngram"))
-    return counted.filter(F.col("c") > least).join(before, ["corpus", "c"]).select("corpus", "ngram", "c", (F.col("before") + rank * F.col("c")).alias("cumulative"))
+    """Values in falling order with their running sum, ties by n-gram; small values aren't listed (and come last in the sum)."""
+    rows = counted.filter(F.col("c") > least).select("corpus", "ngram", "c")
+    return running_sums(rows, ["corpus"], [-F.col("c"), "ngram"], "c", "cumulative").select("corpus", "ngram", "c", "cumulative")

@@ -8,23 +8,25 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tokenlm.sources.shared import written
 
 
 def gradient(ranked: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Mean over contexts of observed less expected feature values. ranked: cand, truth, prob per candidate."""
+    """Mean over contexts of observed less expected feature values. ranked: cand, truth, prob per candidate.
+
+    Contexts are counted in the same pass, as one more feature."""
     hit = F.col("cand") == F.col("truth")
     coef = hit.cast("double") - F.col("prob")
     held = ranked.withColumn("has", F.max(hit.cast("int")).over(_context())).filter("has = 1")
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), (coef * v).alias("g")) for n, v in values.items()]))
-    n = held.filter(hit).count()
-    return held.select(cells.alias("x")).groupBy("x.feature").agg((F.sum("x.g") / F.lit(float(max(n, 1)))).alias("gradient"))
+    cells = [F.struct(F.lit(n).alias("feature"), (coef * v).alias("g")) for n, v in values.items()] + [F.struct(F.lit("").alias("feature"), hit.cast("double").alias("g"))]
+    sums = held.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.feature").agg(F.sum("x.g").alias("g"))
+    n = F.max(F.when(F.col("feature") == "", F.col("g"))).over(Window.partitionBy(F.lit(1)))  # a row per feature
+    return sums.withColumn("n", n).filter("feature <> ''").select("feature", (F.col("g") / F.greatest("n", F.lit(1.0))).alias("gradient"))
 
 
 def _context():
-    from pyspark.sql.window import Window
-
     return Window.partitionBy("corpus", "doc", "pos")
 
 

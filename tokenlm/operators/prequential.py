@@ -1,15 +1,17 @@
 """Counts as they stood before each position when all positions are counted in one order.
 
-Sums over a key are windows over that key. Sums over the whole corpus go in two levels, blocks and places within a block,
-so no task orders the whole corpus.
+Sums over earlier rows go in two levels, blocks of positions and places within a block, for the whole corpus as for a
+single n-gram or context, so that no task orders all occurrences of a common token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenlm.sources.shared import written
+
 BLOCK = 4096
 
 
@@ -22,32 +24,30 @@ def numbered(tokens: DataFrame) -> DataFrame:
 
 def running_total(rows: DataFrame, order: str, value: str, out: str, keys: list[str] | None = None) -> DataFrame:
     """Adds out: the sum of value over earlier rows of the same keys, by blocks of order."""
-    keys = keys or ["corpus"]
+    return running_totals(rows, order, {out: F.col(value)}, keys or ["corpus"])
+
+
+def running_totals(rows: DataFrame, order: str, values: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Adds for each name the sum of its value over earlier rows of the same keys, all in one pass."""
     rows = rows.withColumn("block", F.floor(F.col(order) / BLOCK))
-    blocks = rows.groupBy(*keys, "block").agg(F.sum(value).alias("s"))
+    blocks = rows.groupBy(*keys, "block").agg(*[F.sum(v).alias(f"{out}_sum") for out, v in values.items()])
     over = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(*keys, "block", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("earlier"))
+    before = blocks.select(*keys, "block", *[F.coalesce(F.sum(f"{out}_sum").over(over), F.lit(0)).alias(f"{out}_before") for out in values])
     inside = Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(before, [*keys, "block"]).withColumn(out, F.col("earlier") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("block", "earlier")
+    joined = rows.join(before, [*keys, "block"])
+    return joined.withColumns({out: F.col(f"{out}_before") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for out, v in values.items()}).drop("block", *[f"{out}_before" for out in values])
 
 
 def counts_before(rows: DataFrame, numbers: DataFrame) -> DataFrame:
-    """c, total, followers, kn and kn_total of each gram before its position. rows: grams; numbers: corpus, doc, pos, g.
-
-    The empty context holds the whole corpus and is summed in two levels; longer contexts are windows.
-    """
+    """c, total, followers, kn and kn_total of each gram before its position. rows: grams; numbers: corpus, doc, pos, g."""
     r = rows.join(numbers.select("corpus", "doc", "pos", "g"), ["corpus", "doc", "pos"])
-    past = lambda *keys: Window.partitionBy("corpus", "n", *keys).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("c", F.count("*").over(past("ngram"))).withColumn("new", (F.col("c") == 0).cast("long"))
+    gram, context, one = ["corpus", "n", "ngram"], ["corpus", "n", "ctx"], F.lit(1).cast("long")
+    r = written(running_totals(r, "g", {"c": one}, gram).withColumn("new", (F.col("c") == 0).cast("long")), "counted_before")
     above = r.filter("n > 1").select("corpus", "g", (F.col("n") - 1).alias("n"), F.col("new").alias("up"))
     r = r.join(above, ["corpus", "g", "n"], "left").withColumn("kd", F.when(F.col("whole"), 1).otherwise(F.coalesce("up", F.lit(0))).cast("long"))
-    r = r.withColumn("kn", F.coalesce(F.sum("kd").over(past("ngram")), F.lit(0)))
-    long = r.filter("n > 1")
-    long = long.withColumns({"total": F.count("*").over(past("ctx")), "followers": F.coalesce(F.sum("new").over(past("ctx")), F.lit(0)), "kn_total": F.coalesce(F.sum("kd").over(past("ctx")), F.lit(0))})
-    empty = r.filter("n = 1").withColumn("total", F.col("g") - 1)
-    empty = running_total(running_total(empty, "g", "new", "followers"), "g", "kd", "kn_total")
-    columns = ["corpus", "doc", "pos", "g", "n", "ngram", "c", "total", "followers", "kn", "kn_total"]
-    return long.select(*columns).unionByName(empty.select(*columns))
+    r = running_totals(r, "g", {"kn": F.col("kd")}, gram)
+    r = running_totals(r, "g", {"total": one, "followers": F.col("new"), "kn_total": F.col("kd")}, context)
+    return r.select("corpus", "doc", "pos", "g", "n", "ngram", "c", "total", "followers", "kn", "kn_total")
 
 
 def entropy(before: DataFrame, order: int, discount: float = 0.5) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenlm.operators.ordering import running_sums
+
 
 def indexed(docs: DataFrame, key: str = "doc") -> DataFrame:
     """Adds idx, the document's number from 0 by key, and n, how many there are, through per-range counts."""
@@ -37,10 +39,8 @@ def supported(docs: DataFrame, least: int = 5) -> DataFrame:
 
 def split_flags(docs: DataFrame, share: float, count_on_tuned: bool = True, least: int = 5) -> DataFrame:
     """Per language the last floor((1 - share) * docs) + 1 documents are tuned, the one before them is the last counted one."""
-    rows = docs.join(supported(docs, least), "lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("doc")))
+    rows = running_sums(docs.join(supported(docs, least), "lang"), ["lang"], [-F.col("doc")], F.lit(1), "place")
     tuned = F.floor(F.round((1 - share) * F.col("docs"), 9)) + 1
-    rows = rows.withColumn("place", place)
     is_tune = F.col("place") <= tuned
     return rows.select(*docs.columns, is_tune.alias("is_tune"), (~is_tune | F.lit(count_on_tuned)).alias("is_count"), (F.col("place") == tuned + 1).alias("is_last_count"))
 

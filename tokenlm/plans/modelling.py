@@ -9,7 +9,8 @@ from tokenlm.functions import scalars as S
 from tokenlm.operators import candidates as K
 from tokenlm.operators import counts as C
 from tokenlm.operators import features as G
-from tokenlm.operators import learning, lexer, mixing, prequential, search, splits
+from tokenlm.operators import contexts, latent, learning, lexer, mixing, prequential, search, splits
+from tokenlm.operators.tokens import PATTERN
 from tokenlm.plans.corpora import CLICKS, WORDS, clicks, counted, read, words
 from tokenlm.plans.counting import CAND, WEIGHTS, ranked, states, values
 from tokenlm.sources import synthetic
@@ -195,6 +196,53 @@ def sgd_weights(spark, sf_dir):
     return learning.sequential(rows.select("corpus", "g", "cand", "truth", *[v.alias(k) for k, v in values().items()]), list(WEIGHTS))
 
 
+# --- latent clusters: two of them, with weights of their own for the counts after one and two tokens ---
+
+CLUSTERS, CLUSTERED = 2, ["c2", "c3"]
+LATENT_WEIGHTS = {"c1": 0.5, "c2,cluster=0": 0.7, "c3,cluster=0": 0.9, "c2,cluster=1": 1.1, "c3,cluster=1": 0.1}
+LATENT = f"""{CAND},
+two AS (SELECT doc, pos, truth, cand, ln(c1 + 1::DOUBLE) AS v1, ln(c2 + 1::DOUBLE) AS v2, ln(c3 + 1::DOUBLE) AS v3 FROM sc),
+zs AS (SELECT *, 0.5::DOUBLE * v1 + 0.7::DOUBLE * v2 + 0.9::DOUBLE * v3 AS s0, 0.5::DOUBLE * v1 + 1.1::DOUBLE * v2 + 0.1::DOUBLE * v3 AS s1 FROM two),
+ze AS (SELECT *, exp(s0 - max(greatest(s0, s1)) OVER w) AS e0, exp(s1 - max(greatest(s0, s1)) OVER w) AS e1 FROM zs WINDOW w AS (PARTITION BY doc, pos)),
+zp AS (SELECT *, e0 / sum(e0 + e1) OVER w AS q0, e1 / sum(e0 + e1) OVER w AS q1 FROM ze WINDOW w AS (PARTITION BY doc, pos))"""
+
+
+def _latent(spark, sf_dir):
+    t = clicks(spark, sf_dir)
+    rows = K.scored(K.staged(t, C.followers(C.grams(t, 3))), t, counted(t, 3))
+    return latent.softmax(rows, latent.scores(values(), LATENT_WEIGHTS, CLUSTERED, CLUSTERS))
+
+
+@query("latent_probabilities", f"{LATENT} SELECT doc, pos, cand, round(q0 + q1, 9) AS prob FROM zp")
+def latent_probabilities(spark, sf_dir):
+    return _latent(spark, sf_dir).select("doc", "pos", "cand", F.round("prob", 9).alias("prob"))
+
+
+@query("latent_posterior", f"{LATENT} SELECT doc, pos, unnest([0, 1]) AS cluster, round(unnest([q0, q1]) / (q0 + q1), 9) AS posterior FROM zp WHERE cand = truth")
+def latent_posterior(spark, sf_dir):
+    return latent.posterior(_latent(spark, sf_dir)).select("doc", "pos", "cluster", F.round("posterior", 9).alias("posterior"))
+
+
+@query("latent_gradient", f"""{LATENT},
+kept AS (SELECT z.*, CASE WHEN z.cand = z.truth THEN 1::DOUBLE ELSE 0 END AS hit FROM zp z JOIN (SELECT doc, pos FROM zp WHERE cand = truth) h ON h.doc = z.doc AND h.pos = z.pos),
+parts AS (SELECT unnest(['c1', 'c2,cluster=0', 'c2,cluster=1', 'c3,cluster=0', 'c3,cluster=1']) AS feature,
+  unnest([(hit - q0 - q1) * v1, (hit * q0 / (q0 + q1) - q0) * v2, (hit * q1 / (q0 + q1) - q1) * v2, (hit * q0 / (q0 + q1) - q0) * v3, (hit * q1 / (q0 + q1) - q1) * v3]) AS g FROM kept)
+SELECT feature, round(sum(g) / (SELECT sum(hit) FROM kept), 6) AS gradient FROM parts GROUP BY feature""")
+def latent_gradient(spark, sf_dir):
+    g = latent.gradient(_latent(spark, sf_dir), values(), CLUSTERED, CLUSTERS)
+    return g.select("feature", F.round("gradient", 6).alias("gradient"))
+
+
+@query("feature_differences", f"""{CAND},
+parts AS (SELECT doc, pos, cand, truth, rank, unnest(['c1', 'c2', 'c3']) AS feature, unnest([0.5::DOUBLE * ln(c1 + 1::DOUBLE), 0.7::DOUBLE * ln(c2 + 1::DOUBLE), 0.9::DOUBLE * ln(c3 + 1::DOUBLE)]) AS part FROM ranked),
+diffs AS (SELECT doc, pos, feature, sum(part * (CASE WHEN cand = truth THEN 1 ELSE 0 END - CASE WHEN rank = 0 THEN 1 ELSE 0 END)) AS d FROM parts WHERE (cand = truth OR rank = 0) AND part <> 0 GROUP BY doc, pos, feature)
+SELECT doc, pos, feature, round(d, 6) AS difference FROM diffs WHERE abs(d) > 1e-12""")
+def feature_differences(spark, sf_dir):
+    """What each feature adds to the true token's score less what it adds to the best candidate's."""
+    r = ranked(spark, sf_dir)
+    return latent.differences(latent.contributions(r, values(), WEIGHTS), r).select("doc", "pos", "feature", F.round("difference", 6).alias("difference"))
+
+
 # --- search, acceptance, lexing, generators, reports ---
 
 PATHS = f"""WITH {CLICKS}, bg AS (SELECT last, token, count(*) AS c FROM (SELECT lag(token, 1) OVER (PARTITION BY doc ORDER BY pos) AS last, token FROM clicks) WHERE last IS NOT NULL GROUP BY last, token),
@@ -238,6 +286,37 @@ def acceptance_match(spark, sf_dir):
     return found.select("p_partkey", F.coalesce(F.array_join("ins", " "), F.lit("")).alias("inserted"), F.when(F.col("ins").isNotNull(), search.common_run(F.col("ins"), words("new", "other"))).otherwise(-1).cast("long").alias("run"))
 
 
+# --- contexts ---
+
+
+@query("line_contexts", f"""WITH lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
+parts AS (SELECT doc_id, k, line, unnest(generate_series(1, len(t))) AS i, unnest(t) AS token FROM (SELECT *, regexp_extract_all(line, '{PATTERN}|\\s') AS t FROM lines)),
+placed AS (SELECT *, CAST(coalesce(sum(length(token)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS loc FROM parts),
+ctx AS (SELECT doc_id, substring(line, 1, loc) AS prefix FROM placed WHERE NOT regexp_full_match(token, '\\s'))
+SELECT doc_id AS doc, CASE WHEN trim(prefix, ' ') = '' THEN 'true' ELSE 'false' END AS "isLineStart", length(regexp_extract(prefix, '^\\s*')) AS indent, count(*) AS n FROM ctx GROUP BY 1, 2, 3""")
+def line_contexts(spark, sf_dir):
+    """How many tokens start a line, and how deep their lines are indented."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    rows = contexts.with_contexts(contexts.line_tokens(docs, "doc"), ["isLineStart", "indentLevel"])
+    return rows.groupBy("doc", "isLineStart", F.length("indentLevel").cast("long").alias("indent")).agg(F.count("*").alias("n"))
+
+
+@query("identifier_recency", f"""WITH {WORDS}, own AS (SELECT *, row_number() OVER (PARTITION BY corpus, doc ORDER BY pos) AS number FROM words WHERE regexp_matches(token, '^\\w')),
+ago AS (SELECT corpus, number - lag(number) OVER (PARTITION BY corpus, doc, token ORDER BY pos) AS d FROM own)
+SELECT corpus, CAST(CASE WHEN d IS NULL THEN -1 ELSE floor(log2(d::DOUBLE) + 1e-12) END AS INTEGER) AS bucket, count(*) AS n FROM ago GROUP BY 1, 2""")
+def identifier_recency(spark, sf_dir):
+    return contexts.identifier_recency(words(spark, sf_dir)).groupBy("corpus", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("chain_counts", f"""WITH {WORDS}, lagged AS (SELECT token, coalesce(lag(token, 1) OVER w, '') AS p1, coalesce(lag(token, 2) OVER w, '') AS p2, coalesce(lag(token, 3) OVER w, '') AS p3 FROM words WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+long AS (SELECT token, unnest([3, 2, 1, 0]) AS level, unnest([p3 || ' ' || p2 || ' ' || p1, p2 || ' ' || p1, p1, '']) AS ctx, unnest([p2 || ' ' || p1, p1, '', NULL]) AS up FROM lagged),
+own AS (SELECT level, ctx, up, token, count(*) AS c FROM long GROUP BY level, ctx, up, token),
+above AS (SELECT level - 1 AS level, up AS ctx, token, count(*) AS kn FROM own WHERE level > 0 GROUP BY level, up, token)
+SELECT CAST(o.level AS INTEGER) AS level, o.ctx, o.token, o.c, coalesce(a.kn, 0) AS kn FROM own o LEFT JOIN above a ON a.level = o.level AND a.ctx = o.ctx AND a.token = o.token""")
+def chain_counts(spark, sf_dir):
+    return contexts.chain_counts(words(spark, sf_dir, 3), contexts.ngram_chain(4))
+
+
 def _lexed(spark, sf_dir):
     return lexer.lexed(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("url").alias("path"), F.col("html").alias("text")))
 

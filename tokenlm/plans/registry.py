@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlm.plans import counting, featuring, modelling
+from tokenlm.plans import counting, featuring, modelling, wording
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES, **featuring.QUERIES, **modelling.QUERIES}
-SQL: dict[str, str] = {**counting.SQL, **featuring.SQL, **modelling.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**counting.QUERIES, **featuring.QUERIES, **modelling.QUERIES, **wording.QUERIES}
+SQL: dict[str, str] = {**counting.SQL, **featuring.SQL, **modelling.SQL, **wording.SQL}

@@ -98,14 +98,73 @@ def token_json(states: DataFrame) -> DataFrame:
 
 
 def annotated_html(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per document the escaped text with a span around every token. tokens: doc, loc, token; docs: doc, text."""
+    """Per document the escaped text with a span around every token. tokens: doc, loc, token; docs: doc, text.
+
+    Every token brings the gap before it, so the parts are joined once, whatever the text's length."""
     listed = tokens.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("loc", "token"))).alias("t"))
-    start = F.struct(F.lit("").alias("s"), F.lit(0).alias("at"))
+    start = lambda x: x["loc"] + F.length(x["token"])
+
+    def part(x, i):
+        at = F.when(i > 0, start(F.get("t", i - 1))).otherwise(0)
+        return F.concat(S.html_escape(F.substr(F.col("text"), at + 1, x["loc"] - at)), F.lit("<span>"), S.html_escape(x["token"]), F.lit("</span>"))
+
+    rest = S.html_escape(F.substr(F.col("text"), start(F.element_at("t", -1)) + 1, F.length("text")))
+    return docs.join(listed, "doc").select("doc", F.concat(F.array_join(F.transform("t", part), ""), rest).alias("html"))
+
+
+def write_predictions(states: DataFrame, path: str) -> None:
+    """A line of name=value fields per position. states: path, ident, context, context_max_n, true, pred, rank, entropy."""
+    fields = ["path", "ident", "context", "context_max_n", "true", "pred", "rank", "entropy"]
+    line = F.concat_ws("\t", *[F.concat(F.lit(f"{f}="), F.coalesce(F.col(f).cast("string"), F.lit("NaN"))) for f in fields])
+    states.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_entropies(states: DataFrame, path: str) -> None:
+    """path, loc, ident, entropy or the state (oov, offBeam) of positions without one, and reciprocal rank; read back by results."""
+    shown = F.coalesce(F.col("entropy").cast("string"), F.col("state"))
+    write_tsv(states.select("path", "loc", F.col("ident").cast("int"), shown.alias("entropy"), "reciprocal_rank"), path)
+
+
+def write_gradient(gradient: DataFrame, path: str) -> None:
+    """Mean gradients, largest first."""
+    gradient.select("feature", "gradient").orderBy(F.desc("gradient"), "feature").write.mode("overwrite").csv(path, sep="\t", emptyValue="")
+
+
+def write_counts(stats: DataFrame, path: str) -> None:
+    """Folders counts1, diversityCounts1 and diversityTotals1: tokens with their count, their distinct predecessors, and the sum of
+    those of their followers, each in falling order with its running sum. stats: as kneser_ney.statistics gives them."""
+    from tokenlm.operators.counts import cumulative_dump
+
+    one = stats.filter("n = 1")
+    totals = stats.filter("n = 2").groupBy("corpus", "ctx").agg(F.max("kn_total").alias("c"))
+    for name, rows in (("counts1", one.select("corpus", "ngram", "c")), ("diversityCounts1", one.select("corpus", "ngram", F.col("kn").alias("c"))), ("diversityTotals1", totals.select("corpus", F.col("ctx").alias("ngram"), "c"))):
+        cumulative_dump(rows).orderBy("corpus", "cumulative").write.mode("overwrite").csv(f"{path}/{name}", sep="\t", emptyValue="")
+
+
+def prediction_summary(ranked: DataFrame, tokens: DataFrame, most: int = 5) -> DataFrame:
+    """corpus, doc, pos, the ten tokens before, the token's first character, the best candidates, and the truth's place from 1 (-1: none).
+
+    tokens bring p1 to p10."""
+    best = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rank") < most, F.struct("rank", "cand")))), lambda x: x["cand"]), " ")
+    by = ranked.groupBy("corpus", "doc", "pos").agg(best.alias("best"), F.coalesce(F.max(F.when(F.col("cand") == F.col("truth"), F.col("rank") + 1)), F.lit(-1)).cast("int").alias("place"))
+    before = F.concat_ws(" ", *[f"p{k}" for k in range(10, 0, -1)])
+    rows = tokens.select("corpus", "doc", "pos", before.alias("before"), F.substring("token", 1, 1).alias("first"))
+    return rows.join(by, ["corpus", "doc", "pos"])
+
+
+def fingerprint(files: DataFrame) -> DataFrame:
+    """One hash of a set of files (path, content): that of their own hashes and paths, in the order of paths.
+
+    A row of some 100 bytes per file meets in one task."""
+    lines = F.sort_array(F.collect_list(F.struct("path", F.sha1("content").alias("hash"))))
+    return files.agg(F.sha1(F.array_join(F.transform(lines, lambda x: F.concat(x["hash"], F.lit("  "), x["path"])), "\n")).alias("fingerprint"))
+
+
+def first_documents(docs: DataFrame, most: int, order: str = "path") -> DataFrame:
+    """The first documents in order, up to a number."""
+    return docs.orderBy(order).limit(most)
 
-    def step(acc, x):
-        gap = S.html_escape(F.substr(F.col("text"), acc["at"] + 1, x["loc"] - acc["at"]))
-        span = F.concat(F.lit("<span>"), S.html_escape(x["token"]), F.lit("</span>"))
-        return F.struct(F.concat(acc["s"], gap, span).alias("s"), (x["loc"] + F.length(x["token"])).cast("int").alias("at"))
 
-    end = lambda a: F.concat(a["s"], S.html_escape(F.substr(F.col("text"), a["at"] + 1, F.length("text"))))
-    return docs.join(listed, "doc").select("doc", F.aggregate("t", start, step, end).alias("html"))
+def pruned(params: DataFrame, least: float) -> DataFrame:
+    """Weights whose size is at least so much."""
+    return params.filter(F.abs("weight") >= least)
