@@ -611,7 +611,7 @@ def test_importance_matches_brute_force(spark):
     labelled = [k for k, (i, _) in enumerate(rows[:300]) if i % 2 == 0 and part(i) in importance.CALIBRATION]
     slope, offset = importance.logistic(np.array([mean[k] for k in labelled]), np.array([int(rows[k][0] % 3 > 0) for k in labelled], float))
     p = 1 / (1 + np.exp(-(slope * np.array([mean[k] for k in labelled]) + offset)))
-    assert abs(np.sum(p - [rows[k][0] % 3 > 0 for k in labelled])) < 0.05  # the likelihood's gradient, but for the ridge
+    assert np.sum([rows[k][0] % 3 > 0 for k in labelled] - p) == pytest.approx(1e-2 * offset, abs=1e-6)  # the likelihood's gradient is the ridge's
     weight = [slope * m + offset if b else 0.0 for m, b in zip(mean, bags)]
 
     def gumbel(i, text):

@@ -58,7 +58,7 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
 def number_cell(c: Column, bits: int = BITS) -> Column:
     """Two cells to a doubling, from 1 up; 0 for nulls."""
     size = F.log2(F.greatest(c.cast("double"), F.lit(0.0)) + 1)
-    return F.coalesce(F.least(F.floor(size * 2) + 1, F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
+    return F.when(c.isNull(), 0).otherwise(F.least(F.floor(size * 2) + 1, F.lit((1 << bits) - 1))).cast("long")
 
 
 def numbered(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame, int]:
@@ -152,8 +152,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
     ranked, _, total = numbered(curved(docs, whole=True), KEYS, "rows")
     placed = cut(ranked, total, shards)
     folder = "shard" if "shard" not in {c.lower() for c in docs.columns} else "hilbert_shard"
-    placed.sortWithinPartitions("shard", "slot").select("row.*", "shard").toDF(*docs.columns, folder).write.partitionBy(folder).parquet(path)
-    return shard_ranges(docs.sparkSession.read.parquet(path).withColumnRenamed(folder, "shard"))
+    placed.sortWithinPartitions("shard", "slot").select("row.*", F.col("shard").alias("sort_shard")).toDF(*docs.columns, folder).write.partitionBy(folder).parquet(path)
+    back = docs.sparkSession.read.parquet(path)
+    return shard_ranges(back.select(F.col(folder).alias("shard"), *NUMBERS, *STRINGS))
 
 
 def prune(ranges: DataFrame, column: str, low, high) -> list[int]:

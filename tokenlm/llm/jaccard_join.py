@@ -506,7 +506,7 @@ def linked_sets(docs: DataFrame, members: DataFrame, sizes: DataFrame, clashes:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and fp, the fingerprint of its set."""
-    return _near_duplicates(docs, shingle, percent)[0]
+    return _near_duplicates(docs, shingle, percent)[0].drop("root", "classes")
 
 
 def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, tuple]:
@@ -514,16 +514,17 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int) -> tuple[DataF
     roots = linked_sets(docs, members, sizes, clashes, shingle, percent)
     classes = members.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     known = classes.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = known.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = written(known.join(of_root, "root").select("fp", "component"), "classes")
+    of_root = known.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("classes"))
+    of_class = written(known.join(of_root, "root").select("fp", "component", "root", "classes"), "classes")
     out = members.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "fp"), clashes
+    return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "fp", "root", "classes"), clashes
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with its columns: of those with the component's doc_id the one whose row hashes least.
 
-    Empty sets stay, all of them. Of a component without any doc_id one row of each set stays. Rows whose set nothing else
+    Empty sets stay, all of them. Of a component without any doc_id one row of each set stays. Components are told apart by
+    their sets, so that two of them stay apart though rows of both have one doc_id. Rows whose set nothing else
     equals or links with are kept where they are read; only the others are joined.
     """
     columns = docs.columns
@@ -532,8 +533,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     at_text, own_id = columns.index("text"), F.col(f"c{columns.index('doc_id')}")
     rows, clashes = _near_duplicates(docs, shingle, percent)
     rows = rows.filter("fp IS NOT NULL")
-    classes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component"), F.min("doc_id").alias("least"))
-    others = written(classes.filter("n > 1 OR component IS NULL OR least IS NULL OR component <> least").select("fp", "component"), "others")
+    classes = rows.groupBy("fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component"), F.first("root").alias("root"), F.first("classes").alias("classes"))
+    others = written(classes.filter("n > 1 OR classes > 1").select("fp", "component", "root"), "others")
     bits = bit_map(others.select("fp"))
 
     def split(want: bool):
@@ -558,5 +559,5 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     same = joined.filter("known IS NULL").select(*names)
     first = joined.filter(F.col("known") & (F.col("component").isNull() | (own_id == F.col("component"))))
     row = F.struct(*names)
-    one = first.groupBy("component", F.when(F.col("component").isNull(), F.col("fp")).alias("which")).agg(F.min_by(row, F.xxhash64(*names)).alias("row"))
+    one = first.groupBy("root", F.when(F.col("component").isNull(), F.col("fp")).alias("which")).agg(F.min_by(row, F.xxhash64(*names)).alias("row"))
     return apart.union(same).union(one.select(*[f"row.{c}" for c in names])).toDF(*columns)
