@@ -899,12 +899,12 @@ def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
     assert len(set(rows["doc_id"].to_pylist())) == rows.num_rows > 10 and sum(map(len, rows["text"].to_pylist())) <= 4000
 
 
-@pytest.mark.skipif(not glob.glob("/root/testdata/sf0.01/labels.parquet"), reason="no test data")
+@pytest.mark.skipif(not glob.glob("/root/testdata/sf0.1/labels.parquet"), reason="no test data")
 def test_held_out_figures(spark):
-    """On rows that training never sees, both classifiers tell the labels apart."""
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    """On rows that training never sees, some 400 and 1,000, both classifiers tell the labels apart."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     y = {x.doc_id: (x.quality, x.toxic) for x in labels.collect()}
     tox = [(x.predicted, y[x.doc_id][1]) for x in toxicity.toxicity(docs, labels).collect() if x.held_out and x.doc_id in y]
-    assert np.mean([a == b for a, b in tox]) > 0.97
+    assert len(tox) > 500 and np.mean([a == b for a, b in tox]) > 0.97
     good = [(x.log_weight > 0, y[x.doc_id][0]) for x in importance.resample(docs, labels).collect() if x.doc_id in y and zlib.crc32(str(x.doc_id).encode()) % 10 == 9]
-    assert len(good) > 20 and np.mean([a == b for a, b in good]) > 0.95
+    assert len(good) > 200 and np.mean([a == b for a, b in good]) > 0.98

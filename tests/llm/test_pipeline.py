@@ -44,8 +44,8 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
     base = [text(5) for _ in range(12)]
     long = text(4000)
     rows = [(i, t) for i, t in enumerate(base)] + [(20, base[0]), (20, base[0]), (None, base[1]), (None, base[1]), (21, None), (22, ""), (23, " \n "), (24, long), (25, base[2] + "\nWrite to a@mail.example or call (212) 555-0187 for the rest of it."), (26, "| a | b |\n" * 30), (0, base[3])]
-    kinds = "doc_id long, text string, lang string, source string, n_chars long, TEXT2 string, fp long, kept boolean, key string"
-    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "x", 1, None, "k") for i, t in rows], kinds).withColumnRenamed("TEXT2", "Text")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, c1 string, fp long, known boolean, root string"
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "x", 1, None, "k") for i, t in rows], kinds)
     spark.createDataFrame([(i, int(i != 26), 0) for i in [*range(0, 12, 2), 26]] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     from tokenlm.llm.session import written
 
@@ -54,7 +54,7 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         for name, stage in C.STAGES[:4]:
             before, now = now, written(stage(spark, now, str(tmp_path)), name)
             assert now.columns == docs.columns
-            extra = lambda df: {(x["Text"], x.fp, x.kept, x.key) for x in df.collect()}
+            extra = lambda df: {(x.c1, x.fp, x.known, x.root) for x in df.collect()}
             assert extra(now) <= extra(before)
         left = [(x.doc_id, x.text) for x in now.collect()]
         packed = C.STAGES[4][1](spark, now, str(tmp_path)).collect()
