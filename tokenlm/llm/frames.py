@@ -9,7 +9,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenlm.llm.session import bounded
+from tokenlm.llm.session import bounded, tidy
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -33,7 +33,7 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], dict
                 if out is not None:
                     yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def arrow_rewrite(df: DataFrame, change: Callable[[pa.RecordBatch], tuple]) -> DataFrame:
@@ -70,4 +70,4 @@ def arrow_rewrite(df: DataFrame, change: Callable[[pa.RecordBatch], tuple]) -> D
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(kind.fields)])
-    return plain.mapInArrow(run, schema).toDF(*columns)
+    return plain.mapInArrow(tidy(run), schema).toDF(*columns)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenlm.llm.frames import Batches, pick
-from tokenlm.llm.session import written
+from tokenlm.llm.session import tidy, written
 
 SHARDS, BITS, ROW_BYTES = 40, 6, 16
 NUMBERS, STRINGS = ("n_chars",), ("lang", "source")
@@ -113,7 +113,7 @@ def curved(docs: DataFrame, numbers: tuple = NUMBERS, strings: tuple = STRINGS,
                 index = curve_index(np.stack([np.asarray(c) for c in batch.columns[n:]], 1), bits)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(index)], [*kept.names, "curve"])
 
-    return narrow.mapInArrow(run, T.StructType([*kept.fields, T.StructField("curve", T.LongType())]))
+    return narrow.mapInArrow(tidy(run), T.StructType([*kept.fields, T.StructField("curve", T.LongType())]))
 
 
 KEYS = ["curve", "doc_id", "text_crc32", "size"]

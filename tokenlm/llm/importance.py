@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tokenlm.llm import kernel as K
 from tokenlm.llm.frames import Batches, arrow_map, arrow_rewrite, pick
-from tokenlm.llm.session import written
+from tokenlm.llm.session import tidy, written
 
 BUCKETS = 1 << 16
 #: At most so many labelled rows are read, those of the smallest hash of doc_id.
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, shapes: bool = True) -> Model:
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at.astype(np.int32)), "raw": pa.array(raw[at]), "target": pa.array(target[at])})
 
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in two.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
+    for r in two.mapInArrow(tidy(count), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[r[0]], target[r[0]] = r[1], r[2]
     if not target.any():
         return Model(np.zeros(BUCKETS), 0.0, 50.0, shapes)

@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from tokenlm.llm import kernel as K
 from tokenlm.llm.components import components
 from tokenlm.llm.frames import Batches, arrow_map, pick
-from tokenlm.llm.session import written
+from tokenlm.llm.session import tidy, written
 
 SHINGLE = 4
 #: Two sets link when PERCENT * |union| <= 100 * |intersection|.
@@ -200,7 +200,7 @@ def measured(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, cl
                 columns = [part.column(0), pa.array(size), pa.array(fp, mask=empty), pa.array(check, mask=empty), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "fp", "check", "sketch", "keys"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long, check long, sketch binary, keys array<long>")
+    return pick(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, fp long, check long, sketch binary, keys array<long>")
 
 
 def vertices(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, tuple]:
@@ -281,7 +281,7 @@ def candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of fingerprints to check; and larger groups: key, lead and fp of each of their sets, the lead included."""
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = members.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "fp").repartitionByRange(n, "key", "fp").sortWithinPartitions("key", "fp")
-    found = written(rows.mapInArrow(_grouped, "kind int, key long, a long, b long"), "candidates")
+    found = written(rows.mapInArrow(tidy(_grouped), "kind int, key long, a long, b long"), "candidates")
     edge = found.filter("kind >= 2").groupBy("key", F.col("b").alias("fp")).agg(F.max("kind").alias("kind"))
     across = edge.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lead"), (F.max("kind") == 3).alias("big")).filter("n > 1")
     joined = edge.join(F.broadcast(across), "key")  # two keys a task at most
@@ -308,7 +308,7 @@ def bit_map(some: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at])], ["word", "bits"])
 
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    found = some.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = some.mapInArrow(tidy(words), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out[np.asarray(found["word"])] = np.asarray(found["bits"])
     return out.view(np.uint8)
 
@@ -333,7 +333,7 @@ def texts_of(docs: DataFrame, some: DataFrame, shingle: int = SHINGLE, clashes:
                 if take:
                     yield pa.RecordBatch.from_arrays([pa.array(fp[take]), part.column(0).take(pa.array(take))], ["fp", "text"])
 
-    found = pick(docs, "text").mapInArrow(run, "fp long, text string")
+    found = pick(docs, "text").mapInArrow(tidy(run), "fp long, text string")
     return written(found.join(some, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
 
 
@@ -359,7 +359,7 @@ def checked_pairs(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, pe
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_pydict(make(part))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 def intersections(g: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -480,7 +480,7 @@ def ruled_pairs(pairs: DataFrame, sizes: DataFrame, percent: int = PERCENT) -> D
             keep = [i for i in range(len(a)) if possible([sa[i], sb[i]], np.array([na[i], nb[i]]), percent)[0, 1]]
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(tidy(run), "a long, b long")
 
 
 def ends(links: DataFrame) -> DataFrame:
@@ -553,8 +553,8 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         return run
 
     kept_types = [T.StructField(c, f.dataType, True) for c, f in zip(names, docs.schema.fields, strict=True)]
-    apart = plain.mapInArrow(split(False), T.StructType(kept_types))
-    met = plain.mapInArrow(split(True), T.StructType([*kept_types, T.StructField("fp", T.LongType())]))
+    apart = plain.mapInArrow(tidy(split(False)), T.StructType(kept_types))
+    met = plain.mapInArrow(tidy(split(True)), T.StructType([*kept_types, T.StructField("fp", T.LongType())]))
     joined = met.join(others.withColumn("known", F.lit(True)), "fp", "left")
     same = joined.filter("known IS NULL").select(*names)
     first = joined.filter(F.col("known") & (F.col("component").isNull() | (own_id == F.col("component"))))

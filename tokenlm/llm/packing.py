@@ -30,10 +30,10 @@ from pyspark.sql.window import Window
 
 from tokenlm.llm import kernel as K
 from tokenlm.llm.frames import Batches, pick
-from tokenlm.llm.session import written
+from tokenlm.llm.session import tidy, written
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
-#: Bytes of the table of known chunks, and known words; either is emptied beyond this, and both when a task ends.
+#: Bytes of the table of known chunks, and known words; either is emptied beyond this, and both go with the tokenizer when a task ends.
 TABLE_BYTES, CORES = 32 << 20, 100_000
 #: Longer chunks are encoded anew each time.
 CHUNK_BYTES = 64
@@ -174,11 +174,11 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
                             seen[n] += 1
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         finally:
-            encoder(path).clear()
+            encoder.cache_clear()
 
     names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "task", "number"]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, start long, length int, doc_tokens long, ids_crc32 long, ids binary, task int, number long")
+    return pick(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, start long, length int, doc_tokens long, ids_crc32 long, ids binary, task int, number long")
 
 
 def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -330,6 +330,6 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "place"]
-    placed = numbered.mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in names]))
+    placed = numbered.mapInArrow(tidy(run), T.StructType([T.StructField(c, T.LongType()) for c in names]))
     before = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("place")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenlm.sources.shared import shared_dir, written
 
-__all__ = ["bounded", "shared_dir", "table", "written"]
+__all__ = ["bounded", "shared_dir", "table", "tidy", "written"]
 
 #: Bytes of a batch of rows that goes to Python. Batches otherwise hold 10,000 texts, however long.
 BATCH_BYTES = 4 << 20
@@ -22,3 +27,24 @@ def bounded(spark: SparkSession) -> None:
     now = str(spark.conf.get(_SETTING)).rstrip("bB")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    name = ctypes.util.find_library("c")
+    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches, and then release: the worker of a task that has ended stays, and other workers need its memory."""
+
+    def out(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from tokenlm.llm import kernel as K
 from tokenlm.llm.frames import arrow_map, pick
-from tokenlm.llm.session import written
+from tokenlm.llm.session import tidy, written
 
 PACKET, UNIT, KEY_UNITS = 188, 576, 16
 #: A unit lasts 20 ms of the 90 kHz clock; the first is shown after 1 s.
@@ -257,7 +257,7 @@ def units(stored: DataFrame) -> DataFrame:
                 n = len(s.offsets)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i] * n, pa.int64()), "unit": pa.array(np.arange(n)), "pts": pa.array(s.timestamps), "offset": pa.array(s.offsets.astype(np.int64)), "random_access": pa.array(s.random)})
 
-    return pick(stored, "doc_id", "media").mapInArrow(run, "doc_id long, unit long, pts long, offset long, random_access boolean")
+    return pick(stored, "doc_id", "media").mapInArrow(tidy(run), "doc_id long, unit long, pts long, offset long, random_access boolean")
 
 
 def describe(stored: DataFrame) -> DataFrame:
@@ -286,4 +286,4 @@ def describe(stored: DataFrame) -> DataFrame:
             cuts = pa.array(np.concatenate([[0], np.cumsum([len(s.offsets) for s in found])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out.values()), pa.ListArray.from_arrays(cuts, units)], ["doc_id", "n_bytes", *out, "units"])
 
-    return pick(stored, "doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
+    return pick(stored, "doc_id", "n_bytes", "media").mapInArrow(tidy(run), SCHEMA)
