@@ -46,8 +46,8 @@ SHINGLE = 4
 PERCENT = 85
 GROWTH, SLACK, SEEDS = 1.6, 0.15, 8
 SMALL, FILTER_BITS = 8, 1 << 22
-#: A block's sets and shingles at most.
-BLOCK = (256, 1 << 17)
+#: A block's sets and shingles at most, and sets of a component that has blocks of its own.
+BLOCK, OWN = (1024, 1 << 17), 256
 #: Fingerprints that a task remembers, to sign equal sets once.
 REMEMBERED = 1 << 17
 #: Fingerprints that several sets share by chance, at most; n sets have n^2 / 2^65 of them.
@@ -415,10 +415,10 @@ def met_blocks(member: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Sets of clusters (root, fp, comp, n), once for each two blocks that are compared: PAIR, fp, comp, side.
 
     Blocks hold sets of like sizes, BLOCK[0] of them or BLOCK[1] shingles at most, and only blocks with sizes that can link
-    meet. A component that could fill a block has blocks of its own, which don't meet each other.
+    meet. A component of OWN sets or more has blocks of its own, which don't meet each other.
     """
     count, budget = BLOCK
-    own = written(member.groupBy("root", "comp").agg(F.count("*").alias("c")).filter(F.col("c") >= count).select("root", "comp", F.col("comp").alias("own")), "own")
+    own = written(member.groupBy("root", "comp").agg(F.count("*").alias("c")).filter(F.col("c") >= OWN).select("root", "comp", F.col("comp").alias("own")), "own")
     keyed = member.join(own, ["root", "comp"], "left").withColumns({"own_key": F.coalesce("own", F.lit(0)), "mixed": F.col("own").isNull()})
     by_size = keyed.groupBy("root", "own_key", "mixed", "n").agg(F.sum(F.greatest("n", F.lit(budget // count))).alias("room"))
     smaller = Window.partitionBy("root", "own_key", "mixed").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
