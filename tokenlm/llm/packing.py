@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import array
 import functools
+import os
 import zlib
 
 import numpy as np
@@ -53,6 +54,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # One core a task: threads of its own would take cores of other tasks, and the C library keeps memory for each thread.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
