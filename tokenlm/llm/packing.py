@@ -34,7 +34,7 @@ from tokenlm.llm.frames import Batches, pick
 from tokenlm.llm.session import tidy, written
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
-#: Bytes of the table of known chunks, and known words; either is emptied beyond this, and both go with the tokenizer when a task ends.
+#: Bytes of the table of known chunks, and known words; either is emptied beyond this. A worker keeps both for its next task.
 TABLE_BYTES, CORES = 32 << 20, 100_000
 #: Longer chunks are encoded anew each time.
 CHUNK_BYTES = 64
@@ -67,8 +67,8 @@ class Encoder:
         """Forgets all words and chunks: hashes in order, their places, and the bytes and ids of each place."""
         self.cores: dict[str, bytes] = {"": b""}
         self.keys, self.place = np.zeros(0, K.U), np.zeros(0, np.int32)
-        self.data, self.data_cuts = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        self.flat, self.cuts = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.data, self.data_cuts = np.zeros(0, np.uint8), np.zeros(1, np.int32)  # 32 bits: TABLE_BYTES and a slice are less
+        self.flat, self.cuts = np.zeros(0, self.kind), np.zeros(1, np.int32)
 
     def parts(self, chunk: str) -> tuple[str, str]:
         """A chunk's core and the marks after it; their ids in a row are the chunk's."""
@@ -83,11 +83,12 @@ class Encoder:
         if len(self.cores) > CORES:
             self.cores = {"": b""}
         code = "H" if self.kind.itemsize == 2 else "I"
-        split = [self.parts(c) for c in chunks]
-        new = list({p: None for both in split for p in both if p not in self.cores})
+        split = [(c, "") if c[-1] not in _MARKS and c.isascii() else self.parts(c) for c in chunks]
+        cores = self.cores
+        new = list(dict.fromkeys([core for core, _ in split if core not in cores] + [tail for _, tail in split if tail and tail not in cores]))
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
-            self.cores[c] = array.array(code, e.ids).tobytes()
-        found = [self.cores[core] + self.cores[tail] for core, tail in split]
+            cores[c] = array.array(code, e.ids).tobytes()
+        found = [cores[core] + cores[tail] if tail else cores[core] for core, tail in split]
         return np.frombuffer(b"".join(found), self.kind), np.cumsum(np.array([len(x) for x in found], np.int64)) // self.kind.itemsize
 
     def known(self, spans: K.Spans, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +98,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         place, met = self.place[at].astype(np.int64), self.keys[at] == hashes
         same = np.flatnonzero(met)
-        same = same[K.equal(spans, first[same], K.ranges(self.data, self.data_cuts), place[same])]
+        same = same[K.equal(spans, first[same], K.ranges(self.data, self.data_cuts.astype(np.int64)), place[same])]
         out = np.full(len(hashes), -1, np.int64)
         out[same] = place[same]
         return out, ~met
@@ -108,8 +109,8 @@ class Encoder:
         self.place = np.insert(self.place, where, np.arange(len(self.cuts) - 1, len(self.cuts) - 1 + len(hashes)))
         self.keys = np.insert(self.keys, where, hashes)
         self.data = np.concatenate([self.data, np.frombuffer(b"".join(chunks), np.uint8)])
-        self.data_cuts = np.concatenate([self.data_cuts, self.data_cuts[-1] + np.cumsum([len(c) for c in chunks])])
-        self.flat, self.cuts = np.concatenate([self.flat, flat]), np.concatenate([self.cuts, self.cuts[-1] + cuts])
+        self.data_cuts = np.concatenate([self.data_cuts, (self.data_cuts[-1] + np.cumsum([len(c) for c in chunks])).astype(np.int32)])
+        self.flat, self.cuts = np.concatenate([self.flat, flat]), np.concatenate([self.cuts, (self.cuts[-1] + cuts).astype(np.int32)])
 
     def encode_column(self, col: pa.Array) -> list[np.ndarray]:
         if sum(x.nbytes for x in (self.keys, self.place, self.data, self.data_cuts, self.flat, self.cuts)) > TABLE_BYTES:
@@ -123,7 +124,7 @@ class Encoder:
         first = np.concatenate([first, odd])
         fresh = np.concatenate([fresh & (spans.ends[first[: len(hashes)]] - spans.starts[first[: len(hashes)]] <= CHUNK_BYTES), np.zeros(len(odd), bool)])
         place = np.concatenate([place, np.full(len(odd), -1)])
-        flat, cuts = self.flat, self.cuts
+        flat, cuts = self.flat, self.cuts.astype(np.int64)
         raw = t.data.tobytes()
         for store in (True, False):
             new = np.flatnonzero((place < 0) & (fresh == store))
@@ -134,7 +135,7 @@ class Encoder:
             place[new] = len(cuts) - 1 + np.arange(len(new))
             if store:
                 self.keep(hashes[new], chunks, ids, ends)
-                flat, cuts = self.flat, self.cuts
+                flat, cuts = self.flat, self.cuts.astype(np.int64)
             else:
                 flat, cuts = np.concatenate([flat, ids]), np.concatenate([cuts, cuts[-1] + ends])
         of = place[which]
@@ -165,19 +166,16 @@ def cut(docs: DataFrame, path: str) -> DataFrame:
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(WINDOW + 1, np.int64)
-        try:
-            for batch in batches:
-                for part in K.slices(batch):
-                    rows: list[tuple] = []
-                    for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).encode_column(part.column(1)), strict=True):
-                        for start in range(0, len(ids), WINDOW):
-                            piece = ids[start : start + WINDOW]
-                            n = len(piece)
-                            rows.append((doc_id, start, n, len(ids), crc(piece), None if n == WINDOW else piece.tobytes(), task, int(seen[n])))
-                            seen[n] += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        finally:
-            encoder.cache_clear()
+        for batch in batches:
+            for part in K.slices(batch):
+                rows: list[tuple] = []
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path).encode_column(part.column(1)), strict=True):
+                    for start in range(0, len(ids), WINDOW):
+                        piece = ids[start : start + WINDOW]
+                        n = len(piece)
+                        rows.append((doc_id, start, n, len(ids), crc(piece), None if n == WINDOW else piece.tobytes(), task, int(seen[n])))
+                        seen[n] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "task", "number"]
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,8 +32,7 @@ def bounded(spark: SparkSession) -> None:
 def release() -> None:
     """Gives memory that is free in this process back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
-    name = ctypes.util.find_library("c")
-    trim = getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # finding the library by name starts processes
     if trim is not None:
         trim(0)
 
