@@ -15,9 +15,17 @@ from tokenlm.operators import kneser_ney
 FIELDS = ("c", "kn", "total", "kn_total", "followers", "discount")
 
 
-def looked_up(rows: DataFrame, stats: DataFrame, order: int) -> DataFrame:
-    """Adds k, v (the vocabulary's size) and l1, l2, ...: c, kn, total, kn_total, followers and discount of each suffix; 0 if unseen."""
-    d = C.discounts(C.counts_of_counts(stats))
+def contexts(rows: DataFrame, order: int) -> DataFrame:
+    """corpus, n and ctx of all suffixes of n-grams with a context."""
+    cells = [F.when(F.size(F.split("ngram", " ")) >= n, F.struct(F.lit(n).alias("n"), F.substring_index(F.substring_index("ngram", " ", -n), " ", n - 1).alias("ctx"))) for n in range(2, order + 1)]
+    return rows.select("corpus", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("corpus", "x.*").distinct()
+
+
+def looked_up(rows: DataFrame, stats: DataFrame, order: int, every: DataFrame | None = None) -> DataFrame:
+    """Adds k, v (the vocabulary's size) and l1, l2, ...: c, kn, total, kn_total, followers and discount of each suffix; 0 if unseen.
+
+    every: all continuations, for the discounts, where stats holds only the n-grams of the rows' contexts."""
+    d = C.discounts(C.counts_of_counts(stats if every is None else every))
     raw = lambda n: "raw" if n == order else "kn"
     constants = d.groupBy("corpus").agg(*[F.max(F.when((F.col("n") == n) & (F.col("kind") == raw(n)), F.col("discount"))).alias(f"d{n}") for n in range(1, order + 1)])
     out = rows.withColumn("k", F.size(F.split("ngram", " "))).join(F.broadcast(constants.join(kneser_ney.sizes(stats), "corpus")), "corpus")
