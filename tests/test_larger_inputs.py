@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
-from tokenlm.operators import counts, kn_features, kneser_ney
+from tokenlm.operators import counts, kn_features, kneser_ney, latent
 from tokenlm.operators.tokens import lex
 
 
@@ -16,3 +17,13 @@ def test_statistics_of_some_contexts(spark):
     assert some.filter("n > 1").count() < full.filter("n > 1").count() and some.filter("n = 1").count() == full.filter("n = 1").count()
     shown = lambda t: sorted((r.ngram, round(r.p, 12)) for r in t.select("ngram", kn_features.probability(3).alias("p")).collect())
     assert shown(kn_features.looked_up(rows, some, 3, every)) == shown(kn_features.looked_up(rows, full, 3))
+
+
+def test_differences_in_one_pass(spark):
+    """Without a join, differences are those of all contributions; a truth that is the best candidate has none."""
+    rows = [("c", 1, 1, "a", "b", 0, 1.0, 0.0), ("c", 1, 1, "b", "b", 1, 0.5, 2.0), ("c", 1, 1, "d", "b", 2, 0.1, 0.3), ("c", 1, 2, "a", "a", 0, 1.0, 1.0), ("c", 1, 3, "a", "z", 0, 0.0, 3.0)]
+    ranked = spark.createDataFrame(rows, "corpus string, doc long, pos long, cand string, truth string, rank int, x double, y double")
+    values, weights = {"x": F.col("x"), "y": F.col("y")}, {"x": 0.5, "y": 2.0}
+    got, want = latent.differences_of(ranked, values, weights), latent.differences(latent.contributions(ranked, values, weights), ranked)
+    shown = lambda t: sorted((r.pos, r.feature, round(r.difference, 9)) for r in t.collect())
+    assert shown(got) == shown(want) == [(1, "x", -0.25), (1, "y", 4.0), (3, "y", -6.0)]

@@ -79,6 +79,14 @@ def contributions(rows: DataFrame, values: dict[str, Column], weights: dict[str,
     return rows.select(*CONTEXT, "cand", F.posexplode(ordered).alias("place", "f")).select(*CONTEXT, "cand", "place", "f.feature", "f.value", "f.part")
 
 
+def differences_of(ranked: DataFrame, values: dict[str, Column], weights: dict[str, float]) -> DataFrame:
+    """differences of all contributions, in one pass over the truth and the best candidate of each context."""
+    sign = (F.col("cand") == F.col("truth")).cast("int") - (F.col("rank") == 0).cast("int")
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(weights.get(n, 0.0)) * v * sign).alias("part")) for n, v in values.items()])
+    both = ranked.filter("cand = truth OR rank = 0").select(*CONTEXT, F.explode(cells).alias("x"))
+    return both.groupBy(*CONTEXT, "x.feature").agg(F.sum("x.part").alias("difference")).filter(F.abs("difference") > 1e-12)
+
+
 def differences(parts: DataFrame, ranked: DataFrame) -> DataFrame:
     """By context and feature, what it adds to the truth's score less what it adds to the best candidate's."""
     keys = [*CONTEXT, "cand"]
