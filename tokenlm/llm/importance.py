@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tokenlm.llm import kernel as K
 from tokenlm.llm.frames import Batches, arrow_map, arrow_rewrite, pick
-from tokenlm.llm.session import tidy, written
+from tokenlm.llm.session import local_rows, tidy, written
 
 BUCKETS = 1 << 16
 #: At most so many labelled rows are read, those of the smallest hash of doc_id.
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, shapes: bool = True) -> Model:
         return Model(np.zeros(BUCKETS), 0.0, 50.0, shapes)
     model = Model(np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum()), shapes=shapes)
     use = share(ids, y, CALIBRATION, {0, 1})
-    small = F.broadcast(two.sparkSession.createDataFrame([(int(i), int(v)) for i, v in zip(ids[use], y[use], strict=True)], "doc_id long, y int"))
+    small = F.broadcast(local_rows(two.sparkSession, doc_id=pa.array(ids[use], pa.int64()), y=pa.array(y[use], pa.int32())))
 
     def mean(part: pa.RecordBatch) -> dict:
         n, x = model.means(K.Texts(part.column(1)))

@@ -35,7 +35,7 @@ from tokenlm.llm.session import tidy, written
 
 WINDOW, STEP, DEPTH, END_ID = 2048, 8, 3, 1
 #: Bytes of the table of known chunks, and known words; either is emptied beyond this. A worker keeps both for its next task.
-TABLE_BYTES, CORES = 32 << 20, 100_000
+TABLE_BYTES, CORES = 16 << 20, 50_000
 #: Longer chunks are encoded anew each time.
 CHUNK_BYTES = 64
 _MARKS = ".,;:!?|%$&*#"

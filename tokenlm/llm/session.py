@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tokenlm.sources.shared import shared_dir, written
 
-__all__ = ["bounded", "shared_dir", "table", "tidy", "written"]
+__all__ = ["bounded", "local_rows", "shared_dir", "table", "tidy", "written"]
 
 #: Bytes of a batch of rows that goes to Python. Batches otherwise hold 10,000 texts, however long.
 BATCH_BYTES = 4 << 20
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def local_rows(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A table of the driver's own columns. From rows, Spark would make it in Python workers of another kind, whose parent process
+    then stays beside the one of the text kernels in every executor."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def bounded(spark: SparkSession) -> None:
     """Lowers the session's bound on batches to BATCH_BYTES, unless it is lower; a single longer row is a batch of its own."""
     now = str(spark.conf.get(_SETTING)).rstrip("bB")
