@@ -9,14 +9,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlm.sources.shared import shared_dir, written
+from tokenlm.sources.shared import bounded, shared_dir, written
 
 __all__ = ["bounded", "local_rows", "shared_dir", "table", "tidy", "written"]
 
-#: Bytes of a batch of rows that goes to Python. Batches otherwise hold 10,000 texts, however long.
-BATCH_BYTES = 4 << 20
-_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,13 +24,6 @@ def local_rows(spark: SparkSession, **columns: pa.Array) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
-def bounded(spark: SparkSession) -> None:
-    """Lowers the session's bound on batches to BATCH_BYTES, unless it is lower; a single longer row is a batch of its own."""
-    now = str(spark.conf.get(_SETTING)).rstrip("bB")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(_SETTING, str(BATCH_BYTES))
-
-
 def release() -> None:
     """Gives memory that is free in this process back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
