@@ -30,3 +30,13 @@ def test_groups_hold_over_batches(spark):
     whole = pa.Table.from_batches(list(prequential._by_groups(iter([batch]))))
     parts = pa.Table.from_batches(list(prequential._by_groups(iter([batch.slice(i, 4) for i in range(0, len(rows), 4)]), least=8)))
     assert whole.to_pylist() == parts.to_pylist()
+
+
+def test_word_entropy_takes_no_join_of_grams(spark, monkeypatch):
+    from tokenlm.plans.counting import QUERIES
+
+    def refuse(*args):
+        raise AssertionError("grams are joined with their positions")
+
+    monkeypatch.setattr(prequential, "counts_before", refuse)
+    assert "entropy" in QUERIES["word_prequential_entropy"](spark, "/root/testdata/sf0.001").columns
