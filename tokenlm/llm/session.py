@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import ctypes
-import os
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenlm.sources.shared import bounded, shared_dir, written
+from tokenlm.sources.shared import bounded, shared_dir, tidy, written
 
 __all__ = ["bounded", "local_rows", "shared_dir", "table", "tidy", "written"]
 
@@ -22,23 +18,3 @@ def local_rows(spark: SparkSession, **columns: pa.Array) -> DataFrame:
     """A table of the driver's own columns. From rows, Spark would make it in Python workers of another kind, whose parent process
     then stays beside the one of the text kernels in every executor."""
     return spark.createDataFrame(pa.table(columns))
-
-
-def release() -> None:
-    """Gives memory that is free in this process back to the system, where the C library can."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # finding the library by name starts processes
-    if trim is not None:
-        trim(0)
-
-
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run over batches, and then release: the worker of a task that has ended stays, and other workers need its memory."""
-
-    def out(batches: Iterator) -> Iterator:
-        try:
-            yield from run(batches)
-        finally:
-            release()
-
-    return out

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tokenlm.operators.packed import RUN, _packed, _unpacked
 from tokenlm.operators.tokens import PATTERN
-from tokenlm.sources.shared import bounded, written
+from tokenlm.sources.shared import bounded, tidy, written
 
 Batches = Iterator[pa.RecordBatch]
 _ONE = "id long, first long, bucket int, cell binary, corpus string, token string, n long, followers long"
@@ -40,6 +40,27 @@ def _ints(cell: dict[str, pa.Array], *names: str) -> list[np.ndarray]:
     return [np.asarray(cell[n]).astype(np.int64) for n in names]
 
 
+def _joined(words: pa.Array) -> pa.Array:
+    """Tokens, which hold no blank, as one text: their offsets would take as much room again."""
+    return pa.array([" ".join(words.to_pylist())])
+
+
+def _split(text: pa.Array) -> pa.Array:
+    return pa.array(text[0].as_py().split(" "), pa.string())
+
+
+def _steps(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rising numbers in groups of these sizes, each but a group's first less the one before it."""
+    out, starts = np.diff(x, prepend=0), np.cumsum(size) - size
+    out[starts] = x[starts]
+    return out
+
+
+def _risen(steps: np.ndarray, size: np.ndarray) -> np.ndarray:
+    sums, starts = np.cumsum(steps), np.cumsum(size) - size
+    return sums - np.repeat(sums[starts] - steps[starts], size)
+
+
 def _rows(**columns) -> pa.RecordBatch:
     """Rows of _ONE; a column that isn't named is null."""
     n = max(len(c) for c in columns.values())
@@ -66,7 +87,7 @@ def _sums(key: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def _dense(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+    return np.unique(key, return_inverse=True)[1].astype(np.int32)
 
 
 def _by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
@@ -76,22 +97,26 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
 
 
 class _Tokens:
-    """A run as it is written. code: each token's place in words; q: its corpus' place in names; place: from 0 in its document."""
+    """A run as it is written. code: each token's place in words, which are in order; q: its corpus' place in names; place: from 0 in its document."""
 
     def __init__(self, cell: bytes):
         c = _unpacked(cell)
-        self.names, self.words = c["names"], c["words"]
-        corpus, sizes, self.code = _ints(c, "corpus", "sizes", "code")
+        self.names, words = c["names"], _split(c["words"])
+        order = pc.sort_indices(words)
+        self.words, self.v = words.take(order), len(words)
+        rank = np.empty(self.v, np.int64)
+        rank[np.asarray(order)] = np.arange(self.v)
+        corpus, sizes = _ints(c, "corpus", "sizes")
+        self.code = rank[np.asarray(c["code"])]
         self.q = np.repeat(corpus, sizes)
-        self.place = np.arange(len(self.code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.v = len(self.words)
+        self.place = (np.arange(len(self.code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
 class _Grams(_Tokens):
     """Its trigrams in the order of corpus, middle, first and last token. A second token's first is code v, no token.
 
     groups: corpus and middle token; contexts: and the first; grams: and the last; pairs: group and last token.
-    ctx, gram, pair, group: of each position of at."""
+    ctx, gram: of each position of at."""
 
     def __init__(self, cell: bytes):
         super().__init__(cell)
@@ -99,13 +124,16 @@ class _Grams(_Tokens):
         self.at = np.flatnonzero(self.place >= 1)
         self.far = self.place[self.at] >= 2
         first = np.where(self.far, self.code[self.at - 2], v)
-        contexts, self.ctx = np.unique((self.q[self.at] * v + self.code[self.at - 1]) * (v + 1) + first, return_inverse=True)
-        grams, self.gram, self.count = np.unique(self.ctx * v + self.code[self.at], return_inverse=True, return_counts=True)
+        contexts, ctx = np.unique((self.q[self.at] * v + self.code[self.at - 1]) * (v + 1) + first, return_inverse=True)
+        del first
+        grams, gram, self.count = np.unique(ctx * v + self.code[self.at], return_inverse=True, return_counts=True)
+        self.ctx, self.gram = ctx.astype(np.int32), gram.astype(np.int32)
+        del ctx, gram
         self.token, self.gram_ctx = grams % max(1, v), grams // max(1, v)
         self.first = contexts % (v + 1)
         self.groups, self.ctx_group = np.unique(contexts // (v + 1), return_inverse=True)
-        self.pairs, self.gram_pair = np.unique(self.ctx_group[self.gram_ctx] * v + self.token, return_inverse=True)
-        self.pair, self.group = self.gram_pair[self.gram], self.ctx_group[self.ctx]
+        self.pairs, gram_pair = np.unique(self.ctx_group[self.gram_ctx] * v + self.token, return_inverse=True)
+        self.gram_pair = gram_pair.astype(np.int32)
 
     def parts(self, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Of each bucket: places of its groups, contexts, grams and pairs."""
@@ -127,8 +155,9 @@ class _Grams(_Tokens):
             used = np.unique(np.concatenate([middle, first[first < self.v], last]))
             spot[used] = np.arange(len(used))
             yield b, _packed({
-                "names": self.names, "words": self.words.take(pa.array(used)), "corpus": _small(self.groups[groups] // v), "middle": _small(spot[middle]), "contexts": _small(per_group[groups]),
-                "first": _small(np.where(first < self.v, spot[first] + 1, 0)), "grams": _small(per_context[contexts]), "last": _small(spot[last]), "count": _small(self.count[grams]),
+                "names": self.names, "words": _joined(self.words.take(pa.array(used))), "corpus": _small(self.groups[groups] // v), "middle": _small(spot[middle]), "contexts": _small(per_group[groups]),
+                "first": _small(_steps(np.where(first < self.v, spot[first], len(used)), per_group[groups])), "grams": _small(per_context[contexts]),
+                "last": _small(_steps(spot[last], per_context[contexts])), "count": _small(self.count[grams]),
             })
 
 
@@ -143,7 +172,7 @@ def _cut(run: int, batches: Batches) -> Batches:
         coded = pa.chunked_array(tokens).combine_chunks().dictionary_encode()
         names = list(dict.fromkeys(corpus))
         of = {c: i for i, c in enumerate(names)}
-        cell = _packed({"names": pa.array(names, pa.string()), "words": coded.dictionary.cast(pa.string()), "corpus": _small(np.array([of[c] for c in corpus], np.int64)), "sizes": _small(np.array(sizes, np.int64)), "code": _small(np.asarray(coded.indices))})
+        cell = _packed({"names": pa.array(names, pa.string()), "words": _joined(coded.dictionary), "corpus": _small(np.array([of[c] for c in corpus], np.int64)), "sizes": _small(np.array(sizes, np.int64)), "code": _small(np.asarray(coded.indices))})
         return _rows(id=[id_], first=[first], bucket=[-3], cell=[cell])
 
     for batch in batches:
@@ -190,6 +219,8 @@ def _earlier_runs(kept: list[tuple[int, int, int, bytes]]) -> Batches:
     """Of a bucket's cells: what earlier runs hold, a cell for each, and the tokens of bigrams that are new in a run."""
     kept = sorted(kept, key=lambda x: (x[1], x[0]))
     cells = [_unpacked(x[3]) for x in kept]
+    for c in cells:
+        c["words"] = _split(c["words"])
     words = pa.concat_arrays([c["words"] for c in cells]).dictionary_encode()
     names = pa.concat_arrays([c["names"] for c in cells]).dictionary_encode()
     word, name, v = *(np.asarray(x.indices).astype(np.int64) for x in (words, names)), len(words.dictionary)
@@ -199,25 +230,33 @@ def _earlier_runs(kept: list[tuple[int, int, int, bytes]]) -> Batches:
         corpus, middle, contexts, first, grams, last, count = _ints(c, "corpus", "middle", "contexts", "first", "grams", "last", "count")
         own = word[at : at + len(c["words"])]
         group = name[name_at + corpus] * v + own[middle]
-        before = np.where(first > 0, own[first - 1] + 1, 0)
-        parts.append((group, group_at + np.repeat(np.arange(len(contexts)), contexts), before, ctx_at + np.repeat(np.arange(len(grams)), grams), own[last], last, count))
+        first, last = _risen(first, contexts), _risen(last, grams)
+        before = np.append(own, -1)[first] + 1
+        one = (group_at + np.repeat(np.arange(len(contexts)), contexts), before, ctx_at + np.repeat(np.arange(len(grams)), grams), own[last], last, count)
+        parts.append((group, *(x.astype(np.int32) for x in one)))
         at, name_at, group_at, ctx_at = at + len(c["words"]), name_at + len(c["names"]), group_at + len(group), ctx_at + len(first)
     sizes = np.array([[len(p[0]), len(p[1]), len(p[3])] for p in parts])
-    group, ctx_group, first, gram_ctx, token, local, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts, cells
-    corpus, group = group // v, _dense(group)
+    del cells
+    columns = list(zip(*parts, strict=True))
+    del parts, one, before, first, last, grams, count, own
+    group, ctx_group, first, gram_ctx, token, local, count = (np.concatenate(columns.pop(0)) for _ in range(7))
+    corpus, group = group // v, _dense(group).astype(np.int64)
     ctx = _dense(group[ctx_group] * (v + 1) + first)
     far = first[gram_ctx] > 0
-    (c3,) = _before(_dense(ctx[gram_ctx] * v + token), count)
+    del first
+    (c3,) = _before(_dense(ctx[gram_ctx].astype(np.int64) * v + token), count)
     new3 = far & (c3 == 0)
     t3, f3 = _before(ctx, _sums(gram_ctx, count, len(ctx)), _sums(gram_ctx, new3, len(ctx)))
+    del ctx
     # A cell's pairs, in the order of its own codes.
-    pairs, which = np.unique(ctx_group[gram_ctx] * most + local, return_inverse=True)
+    pairs, which = np.unique(ctx_group[gram_ctx].astype(np.int64) * most + local, return_inverse=True)
+    del local, gram_ctx, ctx_group
     pair_group, pair_token = pairs // most, np.zeros(len(pairs), np.int64)
     pair_token[which] = token
     kd = _sums(which, np.where(far, new3, count), len(pairs))
     kn2, c2 = _before(_dense(group[pair_group] * v + pair_token), kd, _sums(which, count, len(pairs)))
     new2 = c2 == 0
+    del which, token, count, far, new3
     k2, f2 = _before(group, _sums(pair_group, kd, len(group)), _sums(pair_group, new2, len(group)))
     ends = np.cumsum(sizes, 0)
     pair_ends = np.searchsorted(pair_group, ends[:, 0])
@@ -253,18 +292,29 @@ def _scores(cell: bytes, returned: dict[int, bytes], rows: pa.Table, buckets: in
             c = _unpacked(returned[b])
             for k, places in (("c3", grams), ("t3", contexts), ("f3", contexts), ("kn2", pairs), ("new2", pairs), ("k2", groups), ("f2", groups)):
                 base[k][places] = np.asarray(c[k])
-    one = np.ones(len(r.at), np.int64)
+    def level(x, followers, total):
+        """p of a level is the first plus the second times p of the level below."""
+        none, total = total == 0, np.maximum(total, 1)
+        return np.where(none, 0.0, np.maximum(x - discount, 0.0) / total), np.where(none, 1.0, discount * followers / total)
+
+    one = np.ones(len(r.at), np.int8)
     (c3,) = _before(r.gram, one)
     c3 += base["c3"][r.gram]
     new3 = r.far & (c3 == 0)
-    t3, f3 = _before(r.ctx, one, new3)
-    t3, f3 = t3 + base["t3"][r.ctx], f3 + base["f3"][r.ctx]
-    kd2 = np.where(r.far, new3, 1)
-    kn2, c2 = _before(r.pair, kd2, one)
-    kn2 += base["kn2"][r.pair]
-    new2 = (base["new2"][r.pair] > 0) & (c2 == 0)
-    k2, f2 = _before(r.group, kd2, new2)
-    k2, f2 = k2 + base["k2"][r.group], f2 + base["f2"][r.group]
+    t3, f3 = (x + base[k][r.ctx] for k, x in zip(("t3", "f3"), _before(r.ctx, one, new3), strict=True))
+    a3, b3 = (np.where(r.far, x, other) for x, other in zip(level(c3, f3, t3), (0.0, 1.0), strict=True))
+    del c3, t3, f3
+    pair, group, kd2 = r.gram_pair[r.gram], r.ctx_group[r.ctx].astype(np.int32), np.where(r.far, new3, True)
+    del r.gram, r.ctx
+    kn2, c2 = _before(pair, kd2, one)
+    kn2 += base["kn2"][pair]
+    new2 = (base["new2"][pair] > 0) & (c2 == 0)
+    del c2, pair
+    k2, f2 = (x + base[k][group] for k, x in zip(("k2", "f2"), _before(group, kd2, new2), strict=True))
+    a2, b2 = level(kn2, f2, k2)
+    a3 += b3 * a2
+    b3 *= b2
+    del kn2, k2, f2, a2, b2, group, base
 
     corpus = np.asarray(pc.index_in(rows["corpus"].combine_chunks(), r.names)).astype(np.int64)
     token = pc.index_in(rows["token"].combine_chunks(), r.words, skip_nulls=True)
@@ -275,7 +325,7 @@ def _scores(cell: bytes, returned: dict[int, bytes], rows: pa.Table, buckets: in
     held[corpus[~whole] * r.v + token[~whole]] = n[~whole]
     totals = np.zeros((2, len(r.names)), np.int64)
     totals[0, corpus[whole]], totals[1, corpus[whole]] = n[whole], followers[whole]
-    kd1 = np.ones(len(r.code), np.int64)
+    kd1 = np.ones(len(r.code), bool)
     kd1[r.at] = new2
     key = r.q * r.v + r.code
     (kn1,) = _before(key, kd1)
@@ -283,12 +333,9 @@ def _scores(cell: bytes, returned: dict[int, bytes], rows: pa.Table, buckets: in
     k1, f1 = _before(r.q, kd1, kn1 == 0)  # a token's first occurrence counts in kn
     k1, f1 = k1 + totals[0, r.q], f1 + totals[1, r.q]
 
-    def level(x, followers, total, p):
-        return np.where(total > 0, (np.maximum(x - discount, 0.0) + discount * followers * p) / np.maximum(total, 1), p)
-
-    p = level(kn1, f1, k1, 1 / (f1 + 1))
-    two = level(kn2, f2, k2, p[r.at])
-    p[r.at] = np.where(r.far, level(c3, f3, t3, two), two)
+    a1, b1 = level(kn1, f1, k1)
+    p = a1 + b1 / (f1 + 1)
+    p[r.at] = a3 + b3 * p[r.at]
     return r.names.to_pylist(), np.bincount(r.q, minlength=len(r.names)), np.bincount(r.q, -np.log(p), len(r.names))
 
 
@@ -325,10 +372,10 @@ def entropy(docs: DataFrame, discount: float = 0.5, run: int = RUN) -> DataFrame
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = docs.filter("corpus IS NOT NULL AND doc IS NOT NULL").select("corpus", F.col("doc").cast("long").alias("doc"), "text")
     lexed = known.repartitionByRange(n, "doc").sortWithinPartitions("doc").select("corpus", "doc", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("t"))
-    runs = written(lexed.mapInArrow(functools.partial(_cut, run), _ONE), "runs")
-    cells = runs.mapInArrow(functools.partial(_to_buckets, n), _ONE).repartition(n, "bucket").sortWithinPartitions("bucket")
-    past = written(cells.mapInArrow(_buckets, _ONE), "earlier")
-    tokens = past.filter("bucket IS NULL").union(runs.mapInArrow(_starts, _ONE)).groupBy("corpus", "token", "first", "id").agg(F.sum("n").alias("n"))
+    runs = written(lexed.mapInArrow(tidy(functools.partial(_cut, run)), _ONE), "runs")
+    cells = runs.mapInArrow(tidy(functools.partial(_to_buckets, n)), _ONE).repartition(n, "bucket").sortWithinPartitions("bucket")
+    past = written(cells.mapInArrow(tidy(_buckets), _ONE), "earlier")
+    tokens = past.filter("bucket IS NULL").union(runs.mapInArrow(tidy(_starts), _ONE)).groupBy("corpus", "token", "first", "id").agg(F.sum("n").alias("n"))
     rows_before = lambda *keys: Window.partitionBy(*keys).orderBy("first", "id").rowsBetween(Window.unboundedPreceding, -1)
     tokens = written(tokens.withColumn("kn", F.coalesce(F.sum("n").over(rows_before("corpus", "token")), F.lit(0))), "tokens")
     totals = tokens.groupBy("corpus", "first", "id").agg(F.sum("n").alias("n"), F.sum((F.col("kn") == 0).cast("long")).alias("new"))
@@ -336,5 +383,5 @@ def entropy(docs: DataFrame, discount: float = 0.5, run: int = RUN) -> DataFrame
     one = tokens.select("id", "first", F.lit(-2).alias("bucket"), null.cast("binary").alias("cell"), "corpus", "token", F.col("kn").alias("n"), null.cast("long").alias("followers"))
     all_ = totals.select("id", "first", F.lit(-1).alias("bucket"), null.cast("binary").alias("cell"), "corpus", null.cast("string").alias("token"), *[F.coalesce(F.sum(c).over(rows_before("corpus")), F.lit(0)).alias(d) for c, d in (("n", "n"), ("new", "followers"))])
     rows = runs.union(one).union(all_).union(past.filter("bucket IS NOT NULL")).repartition(2 * n, "id").sortWithinPartitions("id", "bucket")
-    sums = rows.mapInArrow(functools.partial(_final, n, discount), "corpus string, n_tokens long, total double")
+    sums = rows.mapInArrow(tidy(functools.partial(_final, n, discount)), "corpus string, n_tokens long, total double")
     return sums.filter("n_tokens > 0").groupBy("corpus").agg(F.sum("n_tokens").alias("n_tokens"), (F.sum("total") / F.sum("n_tokens")).alias("entropy"))
