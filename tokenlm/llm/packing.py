@@ -39,6 +39,13 @@ TABLE_BYTES, CORES = 16 << 20, 50_000
 #: Longer chunks are encoded anew each time.
 CHUNK_BYTES = 64
 _MARKS = ".,;:!?|%$&*#"
+#: The steps before merging that Encoder.plain goes without, as the tokenizer library writes them.
+_STEPS: list[bytes] = [
+    b'{"type":"Sequence","normalizers":[{"type":"NFC"},{"type":"Replace","pattern":{"Regex":"\\\\s+"},"content":" "},{"type":"Lowercase"}]}',
+    b'{"type":"Sequence","pretokenizers":[{"type":"Split","pattern":{"Regex":"\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"},"behavior":"Removed","invert":true},{"type":"ByteLevel","add_prefix_space":false,"trim_offsets":true,"use_regex":false}]}',
+]
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(_MARKS.encode())] = _LETTER[0x61:0x7B] = True
 #: Bytes of chunks: all but these four kinds of white space, which no token of the tokenizer spans.
 _CHUNK = np.ones(256, bool)
 _CHUNK[list(b" \n\t\r")] = False
@@ -57,9 +64,16 @@ class Encoder:
         # One core a task: threads of its own would take cores of other tasks, and the C library keeps memory for each thread.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.steps, self.plain_steps = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer), (None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)]))
+        #: Of each id, whether it ends a word; None where the tokenizer isn't of the kind that plain() knows.
+        self.last: np.ndarray | None = None
+        if [x and x.__getstate__() for x in self.steps] == _STEPS and getattr(self.tokenizer.model, "end_of_word_suffix", None) == "</w>":
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.clear()
 
@@ -78,6 +92,19 @@ class Encoder:
             core, tail = chunk, ""
         return (core if core.isascii() or max(core) > "\xff" else core.lower()), tail
 
+    def plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of small Latin letters only, many in one text: the tokenizer's other steps leave such words as they are,
+        and its last id of a word is one that ends words."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.plain_steps
+        try:
+            found = self.tokenizer.encode_batch_fast([" ".join(words[i : i + 4096]) for i in range(0, len(words), 4096)], add_special_tokens=False)
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in found])
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
+        flat = ids.tobytes()
+        return {w: flat[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
     def ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks in a row, and where each chunk's end."""
         if len(self.cores) > CORES:
@@ -86,6 +113,10 @@ class Encoder:
         split = [(c, "") if c[-1] not in _MARKS and c.isascii() else self.parts(c) for c in chunks]
         cores = self.cores
         new = list(dict.fromkeys([core for core, _ in split if core not in cores] + [tail for _, tail in split if tail and tail not in cores]))
+        words = [c for c in new if c.isalpha() and (c.isascii() or max(c) <= "\xff")] if self.last is not None else []
+        if words:
+            cores.update(self.plain(words))
+            new = [c for c in new if c not in cores]
         for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else (), strict=True):
             cores[c] = array.array(code, e.ids).tobytes()
         found = [cores[core] + cores[tail] if tail else cores[core] for core, tail in split]
@@ -117,6 +148,9 @@ class Encoder:
             self.clear()
         t = K.Texts(col, lower=True)
         spans = t.runs(_CHUNK)
+        long = spans.ends[spans.ends - spans.starts > 1]
+        marks = long[_MARK[t.data[long - 1]] & _LETTER[t.data[long - 2]]] - 1  # a mark after a letter is a chunk, as parts() has it
+        spans = K.Spans(t, np.sort(np.concatenate([spans.starts, marks]), kind="stable"), np.sort(np.concatenate([spans.ends, marks]), kind="stable"))
         hashes, first, which = np.unique(spans.hashes(), return_index=True, return_inverse=True)
         odd = np.flatnonzero(~K.equal(spans, np.arange(len(spans)), spans, first[which]))  # unequal chunks of one hash
         which[odd] = len(hashes) + np.arange(len(odd))
