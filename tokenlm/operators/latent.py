@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tokenlm.operators import candidates as K
+from tokenlm.sources.shared import written
+
 CONTEXT = ["corpus", "doc", "pos"]
 
 
@@ -87,6 +90,43 @@ def differences_of(ranked: DataFrame, values: dict[str, Column], weights: dict[s
     return both.groupBy(*CONTEXT, "x.feature").agg(F.sum("x.part").alias("difference")).filter(F.abs("difference") > 1e-12)
 
 
+def differences_of_all(tokens: DataFrame, values: dict[str, Column], weights: dict[str, float]) -> DataFrame:
+    """differences where the whole vocabulary are the candidates, ranked by score, then token, and no position meets it.
+
+    values: increasing functions of c1, c2 and c3 that are 0 at 0, with weights that are not negative. So a candidate's score
+    is least where it was never seen after the context, and the best of all is the best of three: of those seen after the last
+    two tokens, of those after the last one by c1 and c2 alone, and of all by c1. What a position has depends on its last two
+    tokens and its truth: each such triple is looked at once, and positions only look it up."""
+    if min(weights.values()) < 0:
+        raise ValueError("a negative weight: a candidate may be best for not being seen")
+    ctx = written(K.context_rows(tokens), "contexts")
+    triple = ["corpus", "p2", "p1", "truth"]
+    grams = written(ctx.groupBy(*triple).agg(F.count("*").alias("c")), "grams")
+    ones = grams.filter("truth IS NOT NULL").groupBy("corpus", "truth").agg(F.sum("c").alias("c1"))
+    twos = grams.filter("truth IS NOT NULL AND p1 IS NOT NULL").groupBy("corpus", "p1", "truth").agg(F.sum("c").alias("c2"))
+    known = F.col("p2").isNotNull() & F.col("p1").isNotNull() & F.col("truth").isNotNull()
+    rows = grams.join(ones, ["corpus", "truth"], "left").join(twos, ["corpus", "p1", "truth"], "left")
+    rows = rows.select(*triple, F.coalesce("c1", F.lit(0)).alias("c1"), F.coalesce("c2", F.lit(0)).alias("c2"), F.when(known, F.col("c")).otherwise(0).alias("c3"))
+    parts = F.array(*[F.lit(weights.get(n, 0.0)) * v for n, v in values.items()]).alias("parts")
+
+    def best(seen: DataFrame, name: str, *keys: str) -> DataFrame:
+        scored = K.log_linear(seen, weights, values).select("*", parts)
+        return scored.groupBy(*keys).agg(F.min(F.struct((-F.round("score", 9)).alias("minus"), F.col("truth").alias("cand"), "parts")).alias(name))
+
+    zero = F.lit(0).cast("long")
+    rows = rows.join(best(rows.filter(known), "after_two", "corpus", "p2", "p1"), ["corpus", "p2", "p1"], "left")
+    rows = rows.join(best(twos.join(ones, ["corpus", "truth"]).withColumn("c3", zero), "after_one", "corpus", "p1"), ["corpus", "p1"], "left")
+    rows = rows.join(best(ones.withColumns({"c2": zero, "c3": zero}), "any", "corpus"), "corpus", "left")
+    top = F.least("after_two", "after_one", "any")
+    less = lambda i: F.coalesce(top["parts"][i], F.lit(0.0))
+    hit = F.coalesce(top["cand"] == F.col("truth"), F.lit(False))
+    cells = F.array(*[F.struct(F.lit(n).alias("feature"), (F.lit(weights.get(n, 0.0)) * v - less(i)).alias("difference")) for i, (n, v) in enumerate(values.items())])
+    found = rows.filter(~hit).select(*[F.col(c).alias(f"its_{c}") for c in triple], F.filter(cells, lambda x: F.abs(x["difference"]) > 1e-12).alias("x")).filter(F.size("x") > 0)
+    found = written(found, "differences")
+    same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in triple]
+    return ctx.join(found, same).select(*CONTEXT, F.explode("x").alias("x")).select(*CONTEXT, "x.*")
+
+
 def differences(parts: DataFrame, ranked: DataFrame) -> DataFrame:
     """By context and feature, what it adds to the truth's score less what it adds to the best candidate's."""
     keys = [*CONTEXT, "cand"]
