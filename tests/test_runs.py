@@ -37,3 +37,31 @@ def test_word_entropy_shuffles_no_row_per_position(spark, monkeypatch):
 
     monkeypatch.setattr(prequential, "trigrams_before", refuse)
     assert {"corpus", "n_tokens", "entropy"} == set(QUERIES["word_prequential_entropy"](spark, "/root/testdata/sf0.001").columns)
+
+
+@pytest.mark.parametrize("run", [1, 60, 1 << 20])
+def test_runs_give_counts_before(spark, run):
+    r = random.Random(6)
+    docs = [(c, d + (c == "en"), " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 60)))) for c in ("de", "en") for d in range(0, 90_000, 4000)]
+    docs += [("en", 7, ""), ("en", 8, None), ("fr", 1, "a"), ("it", 2, ""), (None, 9, "a b c"), ("en", None, "a b c"), ("de", -5, "é 1.5 x_1 a b"), ("es", 3, "a a a a" * 20_000)]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "corpus string, doc long, text string").repartition(3)
+    want = prequential.trigrams_before(df)
+    got = runs.counts(df, run=run)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_runs_leave_the_session_as_it_was(spark):
+    from tokenlm.sources.shared import _CLEANUP
+
+    before = spark.conf.get(_CLEANUP)
+    assert runs.counts(spark.createDataFrame([], "corpus string, doc long, text string")).collect() == []
+    assert spark.conf.get(_CLEANUP) == before
+
+
+def test_word_counts_shuffle_no_row_per_position(spark):
+    from tokenlm.plans.counting import QUERIES
+
+    plan = QUERIES["word_prequential_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "token" in plan and "p1" not in plan and "Join" not in plan

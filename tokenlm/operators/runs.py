@@ -1,4 +1,4 @@
-"""Entropy in predict-then-count order where a shuffled row per position would be many times larger than the texts.
+"""Counts before each position, and entropy by them, where a shuffled row per position would be many times larger than the texts.
 
 Documents in their order are cut into runs of about RUN tokens. What a position meets is what earlier runs hold, the same for
 all positions of a run, and what its own run holds before it. So only the distinct trigrams of a run, with their counts,
@@ -22,12 +22,15 @@ from pyspark.sql.window import Window
 
 from tokenlm.operators.packed import RUN, _packed, _unpacked
 from tokenlm.operators.tokens import PATTERN
-from tokenlm.sources.shared import bounded, tidy, written
+from tokenlm.sources.shared import bounded, shuffles_end, tidy, written
 
 Batches = Iterator[pa.RecordBatch]
-_ONE = "id long, first long, bucket int, cell binary, corpus string, token string, n long, followers long"
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+_ONE = "id long, first long, bucket int, cell binary, corpus string, token string, n long, followers long, c long"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 _NAMES = [c.split()[0] for c in _ONE.split(", ")]
+_COUNTS = "corpus string, g long, n int, ngram string, c long, total long, followers long, kn long, kn_total long"
+#: Positions whose rows go out at once.
+SLICE = 1 << 14
 
 
 def _small(x: np.ndarray) -> pa.Array:
@@ -207,16 +210,18 @@ def _to_buckets(buckets: int, batches: Batches) -> Batches:
 
 
 def _starts(batches: Batches) -> Batches:
-    """Of each run, all tokens and how many documents begin with each."""
+    """Of each run, all tokens, how often each occurs (c) and how many documents begin with it (n)."""
     for id_, first, _, cell in _each(batches):
         t = _Tokens(cell)
-        key, which = np.unique(t.q * t.v + t.code, return_inverse=True)
+        key, which, c = np.unique(t.q * t.v + t.code, return_inverse=True, return_counts=True)
         n = np.bincount(which, t.place == 0, len(key)).astype(np.int64)
-        yield _rows(id=np.full(len(key), id_), first=np.full(len(key), first), corpus=t.names.take(pa.array(key // t.v)), token=t.words.take(pa.array(key % t.v)), n=n)
+        yield _rows(id=np.full(len(key), id_), first=np.full(len(key), first), corpus=t.names.take(pa.array(key // t.v)), token=t.words.take(pa.array(key % t.v)), n=n, c=c)
 
 
-def _earlier_runs(kept: list[tuple[int, int, int, bytes]]) -> Batches:
-    """Of a bucket's cells: what earlier runs hold, a cell for each, and the tokens of bigrams that are new in a run."""
+def _earlier_runs(full: bool, kept: list[tuple[int, int, int, bytes]]) -> Batches:
+    """Of a bucket's cells: what earlier runs hold, a cell for each, and the tokens of bigrams that are new in a run.
+
+    full: counts of bigrams and of their contexts too, instead of which bigrams are new."""
     kept = sorted(kept, key=lambda x: (x[1], x[0]))
     cells = [_unpacked(x[3]) for x in kept]
     for c in cells:
@@ -256,13 +261,15 @@ def _earlier_runs(kept: list[tuple[int, int, int, bytes]]) -> Batches:
     kd = _sums(which, np.where(far, new3, count), len(pairs))
     kn2, c2 = _before(_dense(group[pair_group] * v + pair_token), kd, _sums(which, count, len(pairs)))
     new2 = c2 == 0
+    own2 = _sums(which, count, len(pairs)) if full else kd
     del which, token, count, far, new3
-    k2, f2 = _before(group, _sums(pair_group, kd, len(group)), _sums(pair_group, new2, len(group)))
+    k2, f2, t2 = _before(group, *(_sums(pair_group, x, len(group)) for x in (kd, new2, own2)))
     ends = np.cumsum(sizes, 0)
     pair_ends = np.searchsorted(pair_group, ends[:, 0])
     g0 = x0 = t0 = p0 = 0
     for (id_, run_first, bucket, _), (g, x, t), p in zip(kept, ends.tolist(), pair_ends.tolist(), strict=True):
-        cell = _packed({"c3": _small(c3[t0:t]), "t3": _small(t3[x0:x]), "f3": _small(f3[x0:x]), "kn2": _small(kn2[p0:p]), "new2": _small(new2[p0:p]), "k2": _small(k2[g0:g]), "f2": _small(f2[g0:g])})
+        more = {"c2": _small(c2[p0:p]), "t2": _small(t2[g0:g])} if full else {"new2": _small(new2[p0:p])}
+        cell = _packed({"c3": _small(c3[t0:t]), "t3": _small(t3[x0:x]), "f3": _small(f3[x0:x]), "kn2": _small(kn2[p0:p]), "k2": _small(k2[g0:g]), "f2": _small(f2[g0:g])} | more)
         yield _rows(id=[id_], first=[run_first], bucket=[bucket], cell=[cell])
         new = p0 + np.flatnonzero(new2[p0:p])
         key, n = np.unique(corpus[pair_group[new]] * v + pair_token[new], return_counts=True)
@@ -271,27 +278,49 @@ def _earlier_runs(kept: list[tuple[int, int, int, bytes]]) -> Batches:
         g0, x0, t0, p0 = g, x, t, p
 
 
-def _buckets(batches: Batches) -> Batches:
+def _buckets(full: bool, batches: Batches) -> Batches:
     bucket, kept = None, []
     for row in _each(batches):
         if row[2] != bucket and kept:
-            yield from _earlier_runs(kept)
+            yield from _earlier_runs(full, kept)
             kept = []
         bucket = row[2]
         kept.append(row)
     if kept:
-        yield from _earlier_runs(kept)
+        yield from _earlier_runs(full, kept)
+
+
+def _returned(r: _Grams, returned: dict[int, bytes], buckets: int, of: dict[str, int]) -> dict[str, np.ndarray]:
+    """What earlier runs hold of a run's groups (0), contexts (1), grams (2) or pairs (3)."""
+    sizes = (len(r.groups), len(r.first), len(r.count), len(r.pairs))
+    base = {k: np.zeros(sizes[i], np.int64) for k, i in of.items()}
+    for b, places in enumerate(r.parts(buckets)):
+        if len(places[0]):
+            c = _unpacked(returned[b])
+            for k, i in of.items():
+                base[k][places[i]] = np.asarray(c[k])
+    return base
+
+
+def _held(r: _Tokens, rows: pa.Table, *columns: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each column, what earlier runs hold of each corpus and token, and of each corpus."""
+    corpus = np.asarray(pc.index_in(rows["corpus"].combine_chunks(), r.names)).astype(np.int64)
+    token = pc.index_in(rows["token"].combine_chunks(), r.words, skip_nulls=True)
+    whole = np.asarray(token.is_null())
+    token = np.asarray(token.fill_null(0)).astype(np.int64)
+    for name in columns:
+        x = np.asarray(rows[name].combine_chunks().fill_null(0))
+        held, totals = np.zeros(len(r.names) * r.v, np.int64), np.zeros(len(r.names), np.int64)
+        held[corpus[~whole] * r.v + token[~whole]] = x[~whole]
+        totals[corpus[whole]] = x[whole]
+        yield held, totals
 
 
 def _scores(cell: bytes, returned: dict[int, bytes], rows: pa.Table, buckets: int, discount: float) -> tuple[list, np.ndarray, np.ndarray]:
     """Corpora of a run, their tokens and their sums of -ln p. rows: what earlier runs hold of its tokens and, without a token, of its corpora."""
     r = _Grams(cell)
-    base = {k: np.zeros(n, np.int64) for k, n in (("c3", len(r.count)), ("t3", len(r.first)), ("f3", len(r.first)), ("kn2", len(r.pairs)), ("new2", len(r.pairs)), ("k2", len(r.groups)), ("f2", len(r.groups)))}
-    for b, (groups, contexts, grams, pairs) in enumerate(r.parts(buckets)):
-        if len(groups):
-            c = _unpacked(returned[b])
-            for k, places in (("c3", grams), ("t3", contexts), ("f3", contexts), ("kn2", pairs), ("new2", pairs), ("k2", groups), ("f2", groups)):
-                base[k][places] = np.asarray(c[k])
+    base = _returned(r, returned, buckets, {"c3": 2, "t3": 1, "f3": 1, "kn2": 3, "new2": 3, "k2": 0, "f2": 0})
+
     def level(x, followers, total):
         """p of a level is the first plus the second times p of the level below."""
         none, total = total == 0, np.maximum(total, 1)
@@ -316,22 +345,14 @@ def _scores(cell: bytes, returned: dict[int, bytes], rows: pa.Table, buckets: in
     b3 *= b2
     del kn2, k2, f2, a2, b2, group, base
 
-    corpus = np.asarray(pc.index_in(rows["corpus"].combine_chunks(), r.names)).astype(np.int64)
-    token = pc.index_in(rows["token"].combine_chunks(), r.words, skip_nulls=True)
-    whole = np.asarray(token.is_null())
-    token = np.asarray(token.fill_null(0)).astype(np.int64)
-    n, followers = np.asarray(rows["n"]), np.asarray(rows["followers"].combine_chunks().fill_null(0))
-    held = np.zeros(len(r.names) * r.v, np.int64)
-    held[corpus[~whole] * r.v + token[~whole]] = n[~whole]
-    totals = np.zeros((2, len(r.names)), np.int64)
-    totals[0, corpus[whole]], totals[1, corpus[whole]] = n[whole], followers[whole]
+    (held, kn_total), (_, followers) = _held(r, rows, "n", "followers")
     kd1 = np.ones(len(r.code), bool)
     kd1[r.at] = new2
     key = r.q * r.v + r.code
     (kn1,) = _before(key, kd1)
     kn1 += held[key]
     k1, f1 = _before(r.q, kd1, kn1 == 0)  # a token's first occurrence counts in kn
-    k1, f1 = k1 + totals[0, r.q], f1 + totals[1, r.q]
+    k1, f1 = k1 + kn_total[r.q], f1 + followers[r.q]
 
     a1, b1 = level(kn1, f1, k1)
     p = a1 + b1 / (f1 + 1)
@@ -339,49 +360,111 @@ def _scores(cell: bytes, returned: dict[int, bytes], rows: pa.Table, buckets: in
     return r.names.to_pylist(), np.bincount(r.q, minlength=len(r.names)), np.bincount(r.q, -np.log(p), len(r.names))
 
 
-def _final(buckets: int, discount: float, batches: Batches) -> Batches:
-    """Rows come by run: the run, what earlier runs hold of its tokens and corpora, and its buckets' cells."""
+def _kept(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) if int(x.max(initial=0)) < 1 << 32 else x
+
+
+def _positions(cell: bytes, returned: dict[int, bytes], rows: pa.Table, buckets: int) -> Batches:
+    """Rows of _COUNTS of a run. rows: as in _scores, with c: occurrences of a token, and of all tokens of a corpus."""
+    r = _Grams(cell)
+    base = _returned(r, returned, buckets, {"c3": 2, "t3": 1, "f3": 1, "kn2": 3, "c2": 3, "k2": 0, "f2": 0, "t2": 0})
+    one = np.ones(len(r.at), np.int8)
+    (c3,) = _before(r.gram, one)
+    c3 += base["c3"][r.gram]
+    new3 = r.far & (c3 == 0)
+    t3, f3 = (_kept(x + base[k][r.ctx]) for k, x in zip(("t3", "f3"), _before(r.ctx, one, new3), strict=True))
+    three = (_kept(c3), t3, f3)
+    pair, group, kd2 = r.gram_pair[r.gram], r.ctx_group[r.ctx].astype(np.int32), np.where(r.far, new3, True)
+    del c3, t3, f3, new3, r.gram, r.ctx
+    kn2, c2 = (_kept(x + base[k][pair]) for k, x in zip(("kn2", "c2"), _before(pair, kd2, one), strict=True))
+    del pair
+    new2 = c2 == 0
+    t2, f2, k2 = (_kept(x + base[k][group]) for k, x in zip(("t2", "f2", "k2"), _before(group, one, new2, kd2), strict=True))
+    two = (c2, t2, f2, kn2, k2)
+    del c2, t2, f2, kn2, k2, kd2, group, base
+    (kn_held, kn_total), (_, followers), (c_held, tokens) = _held(r, rows, "n", "followers", "c")
+    kd1 = np.ones(len(r.code), bool)
+    kd1[r.at] = new2
+    key = r.q * r.v + r.code
+    kn1, c1 = _before(key, kd1, np.ones(len(key), np.int8))
+    kn1, c1 = _kept(kn1 + kn_held[key]), _kept(c1 + c_held[key])
+    del key
+    t1, f1, k1 = _before(r.q, np.ones(len(r.q), np.int8), c1 == 0, kd1)
+    one = (c1, _kept(t1 + tokens[r.q]), _kept(f1 + followers[r.q]), kn1, _kept(k1 + kn_total[r.q]))
+    del c1, t1, f1, kn1, k1, kd1
+    ends = np.searchsorted(r.at, np.arange(SLICE, len(r.code) + SLICE, SLICE))
+    start = 0
+    for i, end in enumerate(ends.tolist()):
+        own, later = slice(i * SLICE, (i + 1) * SLICE), np.arange(start, end)
+        start, far = end, later[r.far[later]]
+        at, places = r.at[later], np.concatenate([np.arange(len(r.code))[own], r.at[later], r.at[far]])
+        of = lambda at, k: r.words.take(pa.array(r.code[at - k]))
+        grams = [of(places[: len(places) - len(later) - len(far)], 0), pc.binary_join_element_wise(of(at, 1), of(at, 0), " "), pc.binary_join_element_wise(of(r.at[far], 2), of(r.at[far], 1), of(r.at[far], 0), " ")]
+        g = one[1][places].astype(np.int64) + 1
+        n = np.repeat(np.array([1, 2, 3], np.int32), [len(x) for x in grams])
+        numbers = [np.concatenate([a[own], b[later], three[j][far]]).astype(np.int64) for a, b, j in zip(one, two, (0, 1, 2, 0, 1), strict=True)]
+        yield pa.RecordBatch.from_arrays([r.names.take(pa.array(r.q[places])), pa.array(g), pa.array(n), pa.concat_arrays(grams), *map(pa.array, numbers)], [c.split()[0] for c in _COUNTS.split(", ")])
+
+
+def _final(buckets: int, discount: float | None, batches: Batches) -> Batches:
+    """Rows come by run: the run, what earlier runs hold of its tokens and corpora, and its buckets' cells. Without a discount, counts go out."""
     now, cell, returned, held = None, None, {}, []
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> Batches:
+        if discount is None:
+            yield from _positions(cell, returned, pa.Table.from_batches(held), buckets)
+            return
         names, n, total = _scores(cell, returned, pa.Table.from_batches(held), buckets, discount)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n), pa.array(total)], ["corpus", "n_tokens", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n), pa.array(total)], ["corpus", "n_tokens", "total"])
 
     for batch in batches:
         ids, kinds = np.asarray(batch.column(0)), np.asarray(batch.column(2))
         cuts = np.flatnonzero((np.diff(ids) != 0) | (np.diff(kinds) != 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
             if ids[a] != now and now is not None:
-                yield flush()
+                yield from flush()
                 cell, returned, held = None, {}, []
             now = ids[a]
             if kinds[a] == -3:
                 cell = batch.column(3)[a].as_py()
             elif kinds[a] < 0:
-                held.append(batch.slice(a, b - a).select(["corpus", "token", "n", "followers"]))
+                held.append(batch.slice(a, b - a).select(["corpus", "token", "n", "followers", "c"]))
             else:
                 returned[int(kinds[a])] = batch.column(3)[a].as_py()
     if now is not None:
-        yield flush()
+        yield from flush()
 
 
-def entropy(docs: DataFrame, discount: float = 0.5, run: int = RUN) -> DataFrame:
-    """prequential.entropy of order 3 over prequential.trigrams_before(docs): corpus, n_tokens, entropy. docs: corpus, doc, text."""
+def _by_run(docs: DataFrame, run: int, full: bool) -> tuple[DataFrame, int]:
+    """Rows for _final, and the number of buckets. Shuffles end with the table that is written from them."""
     spark = docs.sparkSession
     bounded(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = docs.filter("corpus IS NOT NULL AND doc IS NOT NULL").select("corpus", F.col("doc").cast("long").alias("doc"), "text")
     lexed = known.repartitionByRange(n, "doc").sortWithinPartitions("doc").select("corpus", "doc", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("t"))
-    runs = written(lexed.mapInArrow(tidy(functools.partial(_cut, run)), _ONE), "runs")
-    cells = runs.mapInArrow(tidy(functools.partial(_to_buckets, n)), _ONE).repartition(n, "bucket").sortWithinPartitions("bucket")
-    past = written(cells.mapInArrow(tidy(_buckets), _ONE), "earlier")
-    tokens = past.filter("bucket IS NULL").union(runs.mapInArrow(tidy(_starts), _ONE)).groupBy("corpus", "token", "first", "id").agg(F.sum("n").alias("n"))
-    rows_before = lambda *keys: Window.partitionBy(*keys).orderBy("first", "id").rowsBetween(Window.unboundedPreceding, -1)
-    tokens = written(tokens.withColumn("kn", F.coalesce(F.sum("n").over(rows_before("corpus", "token")), F.lit(0))), "tokens")
-    totals = tokens.groupBy("corpus", "first", "id").agg(F.sum("n").alias("n"), F.sum((F.col("kn") == 0).cast("long")).alias("new"))
+    with shuffles_end(spark):
+        runs = written(lexed.mapInArrow(tidy(functools.partial(_cut, run)), _ONE), "runs")
+        cells = runs.mapInArrow(tidy(functools.partial(_to_buckets, n)), _ONE).repartition(n, "bucket").sortWithinPartitions("bucket")
+        past = written(cells.mapInArrow(tidy(functools.partial(_buckets, full)), _ONE), "earlier")
+        tokens = past.filter("bucket IS NULL").union(runs.mapInArrow(tidy(_starts), _ONE)).groupBy("corpus", "token", "first", "id").agg(F.sum("n").alias("n"), F.sum("c").alias("own"))
+        rows_before = lambda *keys: Window.partitionBy(*keys).orderBy("first", "id").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = lambda c, *keys: F.coalesce(F.sum(c).over(rows_before(*keys)), F.lit(0))
+        tokens = written(tokens.withColumns({"kn": earlier("n", "corpus", "token"), "c": earlier("own", "corpus", "token")}), "tokens")
+    totals = tokens.groupBy("corpus", "first", "id").agg(F.sum("n").alias("n"), F.sum((F.col("kn") == 0).cast("long")).alias("new"), F.sum("own").alias("own"))
     null = F.lit(None)
-    one = tokens.select("id", "first", F.lit(-2).alias("bucket"), null.cast("binary").alias("cell"), "corpus", "token", F.col("kn").alias("n"), null.cast("long").alias("followers"))
-    all_ = totals.select("id", "first", F.lit(-1).alias("bucket"), null.cast("binary").alias("cell"), "corpus", null.cast("string").alias("token"), *[F.coalesce(F.sum(c).over(rows_before("corpus")), F.lit(0)).alias(d) for c, d in (("n", "n"), ("new", "followers"))])
-    rows = runs.union(one).union(all_).union(past.filter("bucket IS NOT NULL")).repartition(2 * n, "id").sortWithinPartitions("id", "bucket")
+    one = tokens.select("id", "first", F.lit(-2).alias("bucket"), null.cast("binary").alias("cell"), "corpus", "token", F.col("kn").alias("n"), null.cast("long").alias("followers"), (F.col("c") if full else null.cast("long")).alias("c"))
+    all_ = totals.select("id", "first", F.lit(-1).alias("bucket"), null.cast("binary").alias("cell"), "corpus", null.cast("string").alias("token"), *[earlier(c, "corpus").alias(d) for c, d in (("n", "n"), ("new", "followers"), ("own", "c"))])
+    return runs.union(one).union(all_).union(past.filter("bucket IS NOT NULL")).repartition(2 * n, "id").sortWithinPartitions("id", "bucket"), n
+
+
+def entropy(docs: DataFrame, discount: float = 0.5, run: int = RUN) -> DataFrame:
+    """prequential.entropy of order 3 over prequential.trigrams_before(docs): corpus, n_tokens, entropy. docs: corpus, doc, text."""
+    rows, n = _by_run(docs, run, False)
     sums = rows.mapInArrow(tidy(functools.partial(_final, n, discount)), "corpus string, n_tokens long, total double")
     return sums.filter("n_tokens > 0").groupBy("corpus").agg(F.sum("n_tokens").alias("n_tokens"), (F.sum("total") / F.sum("n_tokens")).alias("entropy"))
+
+
+def counts(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """prequential.trigrams_before(docs): corpus, g, n, ngram and the five counts. docs: corpus, doc, text."""
+    rows, n = _by_run(docs, run, True)
+    return rows.mapInArrow(tidy(functools.partial(_final, n, None)), _COUNTS)
