@@ -39,6 +39,28 @@ def _small(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64))
 
 
+def _closed(columns: dict[str, pa.Array]) -> bytes:
+    """A cell, with the first bytes of wide numbers before their second ones, and so on: alike bytes beside each other take less room."""
+    out = {}
+    for name, x in columns.items():
+        if pa.types.is_integer(x.type) and x.type.bit_width > 8:
+            wide = np.ascontiguousarray(np.asarray(x))
+            name, x = f"{name}/{wide.dtype.str}", pa.array(wide.view(np.uint8).reshape(len(wide), -1).T.ravel())
+        out[name] = x
+    return _packed(out)
+
+
+def _opened(cell: bytes) -> dict[str, pa.Array]:
+    out = {}
+    for name, x in _unpacked(cell).items():
+        name, _, kind = name.partition("/")
+        if kind:
+            bytes_ = np.asarray(x).reshape(np.dtype(kind).itemsize, -1)
+            x = pa.array(np.ascontiguousarray(bytes_.T).view(kind).ravel())
+        out[name] = x
+    return out
+
+
 def _ints(cell: dict[str, pa.Array], *names: str) -> list[np.ndarray]:
     return [np.asarray(cell[n]).astype(np.int64) for n in names]
 
@@ -103,7 +125,7 @@ class _Tokens:
     """A run as it is written. code: each token's place in words, which are in order; q: its corpus' place in names; place: from 0 in its document."""
 
     def __init__(self, cell: bytes):
-        c = _unpacked(cell)
+        c = _opened(cell)
         self.names, words = c["names"], _split(c["words"])
         order = pc.sort_indices(words)
         self.words, self.v = words.take(order), len(words)
@@ -157,7 +179,7 @@ class _Grams(_Tokens):
             middle, first, last = self.groups[groups] % v, self.first[contexts], self.token[grams]
             used = np.unique(np.concatenate([middle, first[first < self.v], last]))
             spot[used] = np.arange(len(used))
-            yield b, _packed({
+            yield b, _closed({
                 "names": self.names, "words": _joined(self.words.take(pa.array(used))), "corpus": _small(self.groups[groups] // v), "middle": _small(spot[middle]), "contexts": _small(per_group[groups]),
                 "first": _small(_steps(np.where(first < self.v, spot[first], len(used)), per_group[groups])), "grams": _small(per_context[contexts]),
                 "last": _small(_steps(spot[last], per_context[contexts])), "count": _small(self.count[grams]),
@@ -175,7 +197,10 @@ def _cut(run: int, batches: Batches) -> Batches:
         coded = pa.chunked_array(tokens).combine_chunks().dictionary_encode()
         names = list(dict.fromkeys(corpus))
         of = {c: i for i, c in enumerate(names)}
-        cell = _packed({"names": pa.array(names, pa.string()), "words": _joined(coded.dictionary), "corpus": _small(np.array([of[c] for c in corpus], np.int64)), "sizes": _small(np.array(sizes, np.int64)), "code": _small(np.asarray(coded.indices))})
+        code, order = np.asarray(coded.indices), np.argsort(-np.bincount(coded.indices, minlength=len(coded.dictionary)), kind="stable")
+        rank = np.empty(len(order), np.int64)  # common tokens get small codes
+        rank[order] = np.arange(len(order))
+        cell = _closed({"names": pa.array(names, pa.string()), "words": _joined(coded.dictionary.take(pa.array(order))), "corpus": _small(np.array([of[c] for c in corpus], np.int64)), "sizes": _small(np.array(sizes, np.int64)), "code": _small(rank[code])})
         return _rows(id=[id_], first=[first], bucket=[-3], cell=[cell])
 
     for batch in batches:
@@ -223,7 +248,7 @@ def _earlier_runs(full: bool, kept: list[tuple[int, int, int, bytes]]) -> Batche
 
     full: counts of bigrams and of their contexts too, instead of which bigrams are new."""
     kept = sorted(kept, key=lambda x: (x[1], x[0]))
-    cells = [_unpacked(x[3]) for x in kept]
+    cells = [_opened(x[3]) for x in kept]
     for c in cells:
         c["words"] = _split(c["words"])
     words = pa.concat_arrays([c["words"] for c in cells]).dictionary_encode()
@@ -269,7 +294,7 @@ def _earlier_runs(full: bool, kept: list[tuple[int, int, int, bytes]]) -> Batche
     g0 = x0 = t0 = p0 = 0
     for (id_, run_first, bucket, _), (g, x, t), p in zip(kept, ends.tolist(), pair_ends.tolist(), strict=True):
         more = {"c2": _small(c2[p0:p]), "t2": _small(t2[g0:g])} if full else {"new2": _small(new2[p0:p])}
-        cell = _packed({"c3": _small(c3[t0:t]), "t3": _small(t3[x0:x]), "f3": _small(f3[x0:x]), "kn2": _small(kn2[p0:p]), "k2": _small(k2[g0:g]), "f2": _small(f2[g0:g])} | more)
+        cell = _closed({"c3": _small(c3[t0:t]), "t3": _small(t3[x0:x]), "f3": _small(f3[x0:x]), "kn2": _small(kn2[p0:p]), "k2": _small(k2[g0:g]), "f2": _small(f2[g0:g])} | more)
         yield _rows(id=[id_], first=[run_first], bucket=[bucket], cell=[cell])
         new = p0 + np.flatnonzero(new2[p0:p])
         key, n = np.unique(corpus[pair_group[new]] * v + pair_token[new], return_counts=True)
@@ -296,7 +321,7 @@ def _returned(r: _Grams, returned: dict[int, bytes], buckets: int, of: dict[str,
     base = {k: np.zeros(sizes[i], np.int64) for k, i in of.items()}
     for b, places in enumerate(r.parts(buckets)):
         if len(places[0]):
-            c = _unpacked(returned[b])
+            c = _opened(returned[b])
             for k, i in of.items():
                 base[k][places[i]] = np.asarray(c[k])
     return base
@@ -452,8 +477,8 @@ def _by_run(docs: DataFrame, run: int, full: bool) -> tuple[DataFrame, int]:
         tokens = written(tokens.withColumns({"kn": earlier("n", "corpus", "token"), "c": earlier("own", "corpus", "token")}), "tokens")
     totals = tokens.groupBy("corpus", "first", "id").agg(F.sum("n").alias("n"), F.sum((F.col("kn") == 0).cast("long")).alias("new"), F.sum("own").alias("own"))
     null = F.lit(None)
-    one = tokens.select("id", "first", F.lit(-2).alias("bucket"), null.cast("binary").alias("cell"), "corpus", "token", F.col("kn").alias("n"), null.cast("long").alias("followers"), (F.col("c") if full else null.cast("long")).alias("c"))
-    all_ = totals.select("id", "first", F.lit(-1).alias("bucket"), null.cast("binary").alias("cell"), "corpus", null.cast("string").alias("token"), *[earlier(c, "corpus").alias(d) for c, d in (("n", "n"), ("new", "followers"), ("own", "c"))])
+    one = tokens.select("id", null.cast("long").alias("first"), F.lit(-2).alias("bucket"), null.cast("binary").alias("cell"), "corpus", "token", F.col("kn").alias("n"), null.cast("long").alias("followers"), (F.col("c") if full else null.cast("long")).alias("c"))
+    all_ = totals.select("id", null.cast("long").alias("first"), F.lit(-1).alias("bucket"), null.cast("binary").alias("cell"), "corpus", null.cast("string").alias("token"), *[earlier(c, "corpus").alias(d) for c, d in (("n", "n"), ("new", "followers"), ("own", "c"))])
     return runs.union(one).union(all_).union(past.filter("bucket IS NOT NULL")).repartition(2 * n, "id").sortWithinPartitions("id", "bucket"), n
 
 
